@@ -1,0 +1,33 @@
+"""Connected components of an edge table, by smallest-label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stage
+
+MAX_ROUNDS = 60
+
+
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """edges (a, b), any direction, repeats and loops allowed; returns (node, label), one row per node in an edge.
+
+    label is the smallest node of the component. Each round is written to the shared folder, so the plan stays short
+    and a lost executor costs one round. Every node passes its label to its neighbours and then takes the label of its
+    label, so the number of rounds follows the logarithm of the longest path. Null ends are left out.
+    """
+    both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
+    both = stage(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
+    start = both.groupBy("a").agg(F.min("b").alias("low"))
+    labels = stage(start.select(F.col("a").alias("node"), F.least("a", "low").alias("label")), f"{name}-0")
+    for k in range(1, MAX_ROUNDS):
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
+        moved = stage(labels.join(near, labels.node == near.a).select("node", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")), f"{name}-{k}-near")
+        jump = moved.select(F.col("node").alias("at"), F.col("label").alias("above"))
+        jumped = moved.join(jump, moved.label == jump["at"]).select("node", F.least("label", "above").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved"))
+        jumped = stage(jumped, f"{name}-{k}")
+        labels = jumped.select("node", "label")
+        if not jumped.where("moved").take(1):
+            return labels
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
