@@ -20,22 +20,24 @@ from pyspark.sql import functions as F
 from .common import map_batches, pa_schema, stage, table
 
 WORD = re.compile(r"\w+")
-HEAD = 5
+#: Letters of a word that stand for its derivations.
+HEADS = (4, 5)
 CACHE = 300_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """dim: size of the hashed space, a power of two; sample: labelled rows to train on, about, at most."""
+    """dim: size of the hashed space, a power of two; sample: labelled rows to train on, about, at most; shard_rows: of these,
+    about as many train one after the other in a task."""
 
     dim: int = 1 << 20
-    sample: int = 30_000
-    shards: int = 6
-    epochs: int = 3
-    alpha: float = 0.15
+    sample: int = 20_000
+    shard_rows: int = 10_000
+    epochs: int = 6
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 0.5
+    l1: float = 4.0
+    l2: float = 0.0
     threshold: float = 0.3
 
 
@@ -63,12 +65,11 @@ class Features:
         except KeyError:
             for w in words:
                 if w not in cache:
-                    cache[w] = zlib.crc32(w.encode()) << 32 | zlib.crc32(w[:HEAD].encode())
+                    cache[w] = (zlib.crc32(w.encode()), *(zlib.crc32(w[:n].encode()) for n in HEADS))
             both = list(map(cache.__getitem__, words))
-        pair = np.array(both, np.uint64)
-        h, head = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
+        h, *heads = np.array(both, np.uint64).T
         a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-        parts = [h * a, head * b + np.uint64(1), h[:-1] * a + h[1:] * b + np.uint64(2), h[:-2] * a + h[2:] * c + np.uint64(3)]
+        parts = [h * a, *(x * b + np.uint64(n) for n, x in zip(HEADS, heads, strict=True)), h[:-1] * a + h[1:] * b + np.uint64(2), h[:-2] * a + h[2:] * c + np.uint64(3)]
         return self._mixed(np.concatenate(parts)).astype(np.int64)
 
 
@@ -100,19 +101,19 @@ def train(examples: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarr
     return kept, w[kept]
 
 
-def fit(labelled: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """labelled (doc_id, text, toxic), already a bounded sample. Returns weights by number, at most dim + 1 of them."""
+def fit(labelled: DataFrame, rows: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """labelled (doc_id, text, toxic), a bounded sample of about so many rows. Returns weights by number, at most dim + 1 of them."""
     out = pa_schema(labelled.sparkSession, "feature int, weight double, shard int")
 
     def shard(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
         features = Features(s.dim)
-        examples = [(np.unique(features.of(t)), y) for t, y in zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True)]
+        examples = [(np.unique(features.of(t)).astype(np.int32), y) for t, y in zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True)]
         kept, w = train(examples, s)
         return pa.table([pa.array(kept, pa.int32()), pa.array(w), pa.array(np.full(len(kept), rows["shard"][0].as_py()), pa.int32())], schema=out)
 
     dealt = labelled.select("doc_id", "text", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("turn"))
-    dealt = dealt.withColumn("shard", F.pmod("turn", F.lit(s.shards)).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod("turn", F.lit(max(1, round(rows / s.shard_rows)))).cast("int"))
     models = dealt.groupBy("shard").applyInArrow(shard, "feature int, weight double, shard int")
     # a noisy weight that one shard alone keeps is shrunk: the sum over its shards is divided by one more than their number
     merged = models.groupBy("feature").agg((F.sum("weight") / F.when(F.col("feature") == s.dim, F.count("*")).otherwise(F.count("*") + 0.5)).alias("weight"))
@@ -124,13 +125,14 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """Labelled rows that are not held out, about s.sample of them, picked by a hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """Labelled rows that are not held out, about s.sample of them, picked by a hash of doc_id; and about how many."""
     known = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stage(known, "toxicity-labels")
-    share = min(1.0, s.sample / max(1, known.count()))
+    rows = known.count()
+    share = min(1.0, s.sample / max(1, rows))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # s.sample rows of two numbers
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), min(rows, s.sample)  # s.sample rows of two numbers
 
 
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
@@ -141,7 +143,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     held out and is scored.
     """
     spark, keep = docs.sparkSession, keep or []
-    numbers, values = fit(training_sample(docs, labels, settings), settings)
+    numbers, values = fit(*training_sample(docs, labels, settings), settings)
     model = spark.sparkContext.broadcast((numbers.astype(np.int32), values.astype(np.float32)))
     dim, threshold = settings.dim, settings.threshold
     held: dict = {}
