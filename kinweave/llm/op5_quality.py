@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, stage, table
 
 #: What a coordinate may vary at least, as a standard deviation; keeps the covariance regular where all rows are equal.
-FEATURES = {"x_length": 0.08, "x_symbols": 0.05, "x_punct": 0.06, "x_upper": 0.06, "x_lines": 0.08, "x_repeat": 0.08}
+FEATURES = {"x_length": 0.08, "x_symbols": 0.05, "x_punct": 0.06, "x_upper": 0.06, "x_lines": 0.12, "x_repeat": 0.12}
 SHARE = 0.75
 #: Quantile SHARE of the chi-squared distribution with as many degrees of freedom as features.
 CHI2_SHARE = 7.8408
@@ -56,7 +56,7 @@ def statistics(text: str | None) -> tuple:
                     last = i + 3
     kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=3)
     some, size = max(n, 1), max(chars, 1)
-    vector = (np.log1p(chars / some), np.sqrt(symbols / some), np.sqrt(kinds[1] / size), np.sqrt(kinds[2] / size), np.sqrt(doubled / max(len(lines), 1)), np.sqrt(repeats / some))
+    vector = (np.log1p(chars / some), np.sqrt(symbols / some), np.sqrt(kinds[1] / size), np.sqrt(kinds[2] / size), doubled / max(len(lines), 1), repeats / some)
     return (n, chars, symbols, doubled, repeats, *map(float, vector))
 
 
