@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Domains that anchor the domain axis of near misses.
 KNOWN_DOMAINS = ["gmail.com", "hotmail.com", "hotmail.sg", "yahoo.com", "yahoo.com.sg", "outlook.com", "icloud.com", "live.com"]
@@ -44,17 +45,17 @@ def jaro_winkler_of(a: str, b: str, weight: float = 0.1) -> float:
     return base + common * weight * (1 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def best_name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best pair of two lists of names; null where a side has none."""
     return pd.Series([max(jaro_winkler_of(x, y) for x in p for y in q) if p is not None and q is not None and len(p) and len(q) else None for p, q in zip(a, b, strict=True)], dtype="float64")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,13 @@ from ..functions.predicates import edge_active
 def cut(df: DataFrame, name: str = "round") -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir) and read back: loops keep short plans that outlive executors.
 
-    Sessions without that folder (tests) keep the plan as it is.
+    Only where the setting is missing, as in tests, a local folder takes its place.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
+        folder = "file://" + tempfile.mkdtemp(prefix="kinweave-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/kinweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

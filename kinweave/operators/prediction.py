@@ -16,6 +16,10 @@ from .connections import cut
 LIVE = ("active", "pending_review")
 
 
+def micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def _order() -> list:
     return ["event_at", "head_version", "event_id"]
 
@@ -58,11 +62,9 @@ def amount_version(entries: DataFrame, versions: DataFrame) -> DataFrame:
 def retrospective_labels(events: DataFrame, versions: DataFrame, entities: list, cutoff: Column, horizon: str = "30 days", invalid: DataFrame | None = None, authority: bool = True) -> DataFrame:
     """One row per episode entry: status and reason, the first that holds of eleven, with its amount version."""
     timeline = Window.partitionBy("parent").orderBy(*_order())
-    later = Window.partitionBy("parent").orderBy(F.desc("event_at"), F.desc("head_version"), F.desc("event_id"))
     # the next win strictly after an event, carried back along the timeline; wins of the same moment do not count
-    won_at = F.min(F.when(F.col("mapped_state") == "won", F.unix_micros("event_at"))).over(Window.partitionBy("parent").orderBy(F.unix_micros("event_at")).rangeBetween(1, Window.unboundedFollowing))
+    won_at = F.min(F.when(F.col("mapped_state") == "won", micros("event_at"))).over(Window.partitionBy("parent").orderBy(micros("event_at")).rangeBetween(1, Window.unboundedFollowing))
     at_moment = F.first("mapped_state").over(Window.partitionBy("parent", "event_at").orderBy(F.desc("head_version"), F.desc("event_id")))
-    del later
     seen = events.withColumns({"next_won": won_at, "state_at": at_moment})
     entry = (F.col("mapped_state") == "open") & ~F.coalesce(F.lag("mapped_state").over(timeline) == "open", F.lit(False))
     entries = seen.withColumn("entry", entry).where("entry").drop("entry")
@@ -72,7 +74,7 @@ def retrospective_labels(events: DataFrame, versions: DataFrame, entities: list,
     mature = end <= cutoff
     currency = F.col("v.currency_status")
     is_ = lambda c: F.coalesce(c, F.lit(False))
-    won = F.col("next_won") <= F.unix_micros(end)
+    won = F.col("next_won") <= F.unix_micros(end.cast("timestamp"))
     steps = [
         (F.lit(not authority), "censored", "source_authority_incomplete"),
         (F.col("bad"), "censored", "invalid_stage_timestamp"),
@@ -94,12 +96,11 @@ def retrospective_labels(events: DataFrame, versions: DataFrame, entities: list,
 
 def features(events: DataFrame, versions: DataFrame) -> DataFrame:
     """Features of each episode entry at its moment S; counts and the previous event lie strictly before S."""
-    micros = F.unix_micros("event_at")
     rows = Window.partitionBy("parent").orderBy(*_order())
     before = Window.partitionBy("parent").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("parent").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     prev = F.lag("mapped_state").over(rows)
-    marked = events.withColumns({"at": micros, "entry": (F.col("mapped_state") == "open") & ~F.coalesce(prev == "open", F.lit(False)), "turn": F.coalesce(prev != F.col("mapped_state"), F.lit(False))})
+    marked = events.withColumns({"at": micros("event_at"), "entry": (F.col("mapped_state") == "open") & ~F.coalesce(prev == "open", F.lit(False)), "turn": F.coalesce(prev != F.col("mapped_state"), F.lit(False))})
     counted = marked.withColumns({
         "episode": F.sum(F.col("entry").cast("int")).over(rows),
         "deal_age_days": (F.col("at") - F.min("at").over(upto)) / 86400e6,
@@ -107,7 +108,7 @@ def features(events: DataFrame, versions: DataFrame) -> DataFrame:
         "prior_transitions": F.count_if("turn").over(before), "prior_won": F.count_if(F.col("mapped_state") == "won").over(before), "prior_lost": F.count_if(F.col("mapped_state") == "lost").over(before),
     })
     out = amount_version(counted.where("entry"), versions)
-    age = (F.col("at") - F.unix_micros(F.col("v.observed_at"))) / 86400e6
+    age = (F.col("at") - micros("v.observed_at")) / 86400e6
     state, currency = F.coalesce(F.col("v.amount_state"), F.lit("not_reconstructable")), F.coalesce(F.col("v.currency_status"), F.lit("not_reconstructable"))
     gone = ("not_reconstructable", "missing", "unavailable")
     missing = state.isin(*gone).cast("int") + currency.isin(*gone).cast("int") + F.col("v.amount_value").isNull().cast("int") + age.isNull().cast("int")

@@ -80,10 +80,11 @@ def owner_conflicts(v: Views):
 
 @query(f"""
     WITH c AS (SELECT * FROM {CLEAN})
-    SELECT DISTINCT a.observation_id AS ask_id, b.observation_id FROM c a JOIN c b ON a.lta_tag = b.lta_tag OR (a.serial_number = b.serial_number AND a.product_sku = b.product_sku) WHERE a.person_id % 50 = 3""")
+    SELECT ask_id, count(*) AS found FROM (SELECT a.observation_id AS ask_id, b.observation_id FROM c a JOIN c b ON a.lta_tag = b.lta_tag UNION SELECT a.observation_id, b.observation_id FROM c a JOIN c b ON a.serial_number = b.serial_number AND a.product_sku = b.product_sku) GROUP BY ask_id""")
 def vehicle_by_tag_or_serial(v: Views):
     own = sales.clean_observations(v.vehicle_observation)
-    return sales.tag_or_serial(own, own.where("person_id % 50 = 3").select(F.col("observation_id").alias("ask_id"), "lta_tag", "serial_number", "product_sku"))
+    found = sales.tag_or_serial(own, own.select(F.col("observation_id").alias("ask_id"), "lta_tag", "serial_number", "product_sku"))
+    return found.groupBy("ask_id").agg(F.count("*").alias("found"))
 
 
 @query(f"""
@@ -95,10 +96,11 @@ def vehicle_match(v: Views):
 
 
 @query("""
-    SELECT person_id, lta_tag AS vehicle_id, CASE WHEN bool_or(person_id % 3 = 0) THEN 'owns' ELSE 'bought' END AS relation FROM vehicle_observation WHERE lta_tag IS NOT NULL GROUP BY ALL""")
+    SELECT person_id, lta_tag AS vehicle_id, CASE WHEN bool_or(product_sku = 'K1') THEN 'owns' ELSE 'bought' END AS relation FROM vehicle_observation WHERE lta_tag IS NOT NULL GROUP BY ALL""")
 def vehicles_per_person(v: Views):
-    seen = v.vehicle_observation.where("lta_tag is not null").select("person_id", F.col("lta_tag").alias("vehicle_id"), F.lit(True).alias("is_active"))
-    return sales.vehicles_per_person(seen.where("person_id % 3 = 0"), seen)
+    seen = v.vehicle_observation.where("lta_tag is not null").select("person_id", F.col("lta_tag").alias("vehicle_id"), "product_sku", F.lit(True).alias("is_active"))
+    owned = seen.where("product_sku = 'K1'")
+    return sales.vehicles_per_person(owned, seen)
 
 
 @query("SELECT person_id, source_key, arg_max(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT), struct_pack(a := observed_at, b := record_id)) AS points FROM source_record GROUP BY person_id, source_key")
@@ -241,10 +243,10 @@ def golden_profile(v: Views):
 
 @query("""
     WITH b AS (SELECT person_id, attribute_name, arg_max(attribute_value, struct_pack(t := 5 - CAST(right(trust_tier, 1) AS INT), o := observed_at, r := -record_id)) AS value FROM fact WHERE quality_flag NOT IN ('invalid_format', 'placeholder_value') GROUP BY ALL),
-    c AS (SELECT person_id, 'full_name' AS attribute_name, 'Custom ' || person_id AS custom_value FROM person WHERE person_id % 40 = 0)
+    c AS (SELECT person_id, 'full_name' AS attribute_name, 'Custom ' || person_id AS custom_value FROM person WHERE status = 'suppressed')
     SELECT coalesce(b.person_id, c.person_id) AS person_id, coalesce(c.custom_value, b.value) AS preferred_full_name FROM (SELECT * FROM b WHERE attribute_name = 'full_name') b FULL JOIN c ON c.person_id = b.person_id""")
 def golden_profile_overrides(v: Views):
-    custom = v.person.where("person_id % 40 = 0").select("person_id", F.lit("full_name").alias("attribute_name"), F.concat(F.lit("Custom "), F.col("person_id").cast("string")).alias("custom_value"))
+    custom = v.person.where("status = 'suppressed'").select("person_id", F.lit("full_name").alias("attribute_name"), F.concat(F.lit("Custom "), F.col("person_id").cast("string")).alias("custom_value"))
     return lc.golden_profile(v.fact, v.identified_by, v.lives_at, custom, page=True).where("preferred_full_name is not null").select("person_id", "preferred_full_name")
 
 
@@ -257,29 +259,30 @@ def scd2_activation(v: Views):
 
 
 @query("""
-    WITH held AS (SELECT source_record_id, arg_max(record_hash, record_id) AS h, max(record_id % 7) AS newest, arg_max(CASE WHEN record_id % 3 = 0 THEN 'pending_review' ELSE 'active' END, record_id) AS s FROM source_record WHERE record_id < 5000 GROUP BY 1),
-    inc AS (SELECT source_record_id, arg_max(record_hash, record_id) AS record_hash FROM source_record WHERE record_id >= 5000 GROUP BY 1)
+    WITH held AS (SELECT source_record_id, arg_max(record_hash, record_id) AS h, max(record_id % 7) AS newest, arg_max(CASE WHEN record_id % 3 = 0 THEN 'pending_review' ELSE 'active' END, record_id) AS s FROM source_record WHERE observed_at < TIMESTAMP '2024-01-15' GROUP BY 1),
+    inc AS (SELECT source_record_id, arg_max(record_hash, record_id) AS record_hash FROM source_record WHERE observed_at >= TIMESTAMP '2024-01-15' GROUP BY 1)
     SELECT i.source_record_id, i.record_hash, CASE WHEN i.record_hash = h.h THEN 'duplicate' WHEN h.newest IS NULL THEN 'first' ELSE 'next' END AS plan, CASE WHEN i.record_hash = h.h THEN NULL ELSE coalesce(h.newest, 0) + 1 END AS version, coalesce(i.record_hash <> h.h AND h.s = 'pending_review', false) AS rejects_pending
     FROM inc i LEFT JOIN held h USING (source_record_id)""")
 def version_planning(v: Views):
     last = lambda c: F.max_by(c, "record_id")
-    old, new = v.source_record.where("record_id < 5000"), v.source_record.where("record_id >= 5000")
+    old, new = v.source_record.where("observed_at < TIMESTAMP '2024-01-15'"), v.source_record.where("observed_at >= TIMESTAMP '2024-01-15'")
     held = old.groupBy("source_record_id").agg(last("record_hash").alias("record_hash"), F.max(F.col("record_id") % 7).alias("version"), last(F.when(F.col("record_id") % 3 == 0, "pending_review").otherwise("active")).alias("lifecycle_status"))
     return lc.planned_versions(new.groupBy("source_record_id").agg(last("record_hash").alias("record_hash")), held)
 
 
-@query("SELECT DISTINCT person_id FROM source_record WHERE record_id % 50 = 1 AND person_id NOT IN (SELECT person_id FROM source_record WHERE record_id % 50 = 2)")
+@query("SELECT DISTINCT person_id FROM source_record WHERE observed_at < TIMESTAMP '2024-01-02' AND person_id NOT IN (SELECT person_id FROM source_record WHERE observed_at >= TIMESTAMP '2024-01-29')")
 def retire_missing(v: Views):
-    return lc.retired(v.source_record.where("record_id % 50 = 1"), v.source_record.where("record_id % 50 = 2"), "person_id")
+    return lc.retired(v.source_record.where("observed_at < TIMESTAMP '2024-01-02'"), v.source_record.where("observed_at >= TIMESTAMP '2024-01-29'"), "person_id")
 
 
 @query("""
-    SELECT person_id, preferred_phone, coalesce(CASE WHEN person_id % 3 = 0 THEN 'x' || person_id END, preferred_email) AS preferred_email FROM person WHERE person_id % 2 = 0
-    UNION ALL SELECT person_id, NULL, 'x' || person_id FROM person WHERE person_id % 2 = 1 AND person_id % 3 = 0""")
+    SELECT person_id, preferred_phone, CASE WHEN status = 'suppressed' THEN 'x' || person_id ELSE preferred_email END AS preferred_email FROM person
+    UNION ALL SELECT -1 - person_id, preferred_phone, 'new' FROM person WHERE status = 'merged'""")
 def graph_upsert(v: Views):
     cols = ["person_id", "preferred_phone", "preferred_email"]
-    changes = v.person.where("person_id % 3 = 0").select("person_id", F.lit(None).cast("string").alias("preferred_phone"), F.concat(F.lit("x"), F.col("person_id").cast("string")).alias("preferred_email"))
-    return lc.upsert(v.person.where("person_id % 2 = 0").select(*cols), changes, ["person_id"])
+    changed = v.person.where("status = 'suppressed'").select("person_id", F.lit(None).cast("string").alias("preferred_phone"), F.concat(F.lit("x"), F.col("person_id").cast("string")).alias("preferred_email"))
+    added = v.person.where("status = 'merged'").select((-1 - F.col("person_id")).alias("person_id"), "preferred_phone", F.lit("new").alias("preferred_email"))
+    return lc.upsert(v.person.select(*cols), changed.union(added), ["person_id"])
 
 
 @query("SELECT DISTINCT person_id FROM (SELECT person_id FROM sales_order WHERE status = 'P' UNION SELECT person_id FROM source_record WHERE record_type = 'identity' UNION SELECT absorbed FROM merge_event UNION SELECT survivor FROM merge_event)")

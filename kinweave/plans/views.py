@@ -42,7 +42,7 @@ VIEWS = {
           CASE WHEN a.person_id % 8 = 0 THEN NULL ELSE a.person_id % 10 <> 0 END AS is_active
         FROM {person} a JOIN {person} b ON b.person_id = a.person_id + 1 + a.person_id % 3""",
     "merged_into": "SELECT person_id AS absorbed, person_id - 1 AS survivor FROM {person} WHERE status = 'merged'",
-    "no_match_lock": "SELECT person_id AS a, person_id + 1 AS b, CASE WHEN person_id % 24 = 0 THEN 100 END AS expires_at FROM {person} WHERE person_id % 12 = 0",
+    "no_match_lock": "SELECT person_id AS a, person_id + 1 AS b, CASE WHEN person_id % 24 = 0 THEN 100 END AS expires_at FROM {person} WHERE segment = 'FURNITURE'",
     "entity": "SELECT n_nationkey AS entity_key, n_name AS display_name, r_name AS entity_type FROM {nation} JOIN {region} ON n_regionkey = r_regionkey",
     "source_system": "SELECT s_suppkey AS source_key, s_name AS source_name, s_nationkey AS entity_key FROM {supplier}",
     "source_record": """
@@ -71,11 +71,11 @@ VIEWS = {
     "match_decision": """
         SELECT o_orderkey AS decision_id, o_custkey AS left_id, o_custkey + 1 AS right_id, (o_orderkey % 100) / CAST(100 AS DOUBLE) AS confidence,
           CASE WHEN o_orderkey % 100 >= 40 THEN 'merge' WHEN o_orderkey % 100 >= 20 THEN 'review' ELSE 'no_match' END AS decision, CASE WHEN o_orderkey % 3 = 0 THEN 'deterministic' ELSE 'heuristic' END AS engine
-        FROM {orders} WHERE o_orderkey % 5 = 0""",
+        FROM {orders}""",
     "review_case": """
-        SELECT o_orderkey + 1 AS case_id, o_orderkey AS decision_id, CASE o_orderkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' WHEN 2 THEN 'resolved' ELSE 'deferred' END AS queue_state,
+        SELECT o_orderkey + 1 AS case_id, decision_id, CASE o_orderkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' WHEN 2 THEN 'resolved' ELSE 'deferred' END AS queue_state,
           1 + o_orderkey % 3 AS priority, o_orderdate AS created_at, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 30 END AS sla_days, CASE WHEN o_orderkey % 4 = 1 THEN 'user' || CAST(o_orderkey % 6 AS STRING) END AS assigned_to
-        FROM {orders} WHERE o_orderkey % 5 = 0 AND o_orderkey % 100 >= 20 AND o_orderkey % 100 < 40""",
+        FROM {orders} JOIN {match_decision} ON decision_id = o_orderkey WHERE decision = 'review'""",
     "merge_event": "SELECT person_id AS event_id, person_id AS absorbed, person_id - 1 AS survivor, CASE WHEN person_id % 87 = 0 THEN 'unmerge' WHEN person_id % 2 = 0 THEN 'auto_merge' ELSE 'manual_merge' END AS event_type, created_at FROM {person} WHERE status = 'merged'",
     "ingest_run": "SELECT event_id AS run_id, event_id % 10 AS source_key, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'running' ELSE 'completed' END AS status, ts AS started_at, CAST(floor(value) AS BIGINT) AS record_count FROM {events}",
     "stage_event": """
@@ -87,7 +87,7 @@ VIEWS = {
           CASE WHEN user_id % 20 = 3 AND event_id % 2 = 1 THEN 99 WHEN user_id % 20 = 4 THEN NULL ELSE user_id % 5 END AS entity_key, user_id % 23 <> 1 AS timestamps_valid,
           CASE WHEN event_id % 16 = 4 THEN NULL ELSE value END AS amount_value, CASE WHEN event_id % 16 = 4 THEN 'missing' ELSE 'known' END AS amount_state,
           CASE WHEN user_id % 19 = 2 THEN 'unsupported' WHEN user_id % 19 = 7 THEN 'invalid' ELSE 'supported' END AS currency_status, user_id * 10 AS linked_person_id, 1 + event_id % 2 AS contact_count
-        FROM {events} WHERE event_id % 4 = 0""",
+        FROM {events}""",
 }
 
 NAME = re.compile(r"\{(\w+)\}")
