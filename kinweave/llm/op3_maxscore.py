@@ -111,9 +111,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                shard = Shard(np.frombuffer(row["v_ids"], "<i8"), np.frombuffer(row["v_data"], "<i8").reshape(-1, dim))
-                ids, data = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_data"], "<i8").reshape(-1, dim)
-                found = [(int(i), v, s) for i, q in zip(ids, data, strict=True) for v, s in shard.search(q, int(i), k)] if dim else _without_components(ids, shard.ids, k)
+                own, ids = np.frombuffer(row["v_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                if dim:
+                    shard = Shard(own, np.frombuffer(row["v_data"], "<i8").reshape(-1, dim))
+                    found = [(int(i), v, s) for i, q in zip(ids, np.frombuffer(row["q_data"], "<i8").reshape(-1, dim), strict=True) for v, s in shard.search(q, int(i), k)]
+                else:
+                    found = _without_components(ids, np.sort(own), k)
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], schema=out)
 
     meet = shards.join(blocks, "dim").select("dim", "v_ids", "v_data", "q_ids", "q_data")
