@@ -1,39 +1,63 @@
-"""Encoding by a tokenizers file, a batch of texts at a time, with a bounded cache of pieces between blanks."""
+"""Encoding by a tokenizers file, a batch of texts at a time, with bounded caches of pieces between blanks."""
 
 from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain, filterfalse
 
 #: Blanks at which a text may be cut: the vocabulary's splitter never joins text across them.
 BETWEEN = re.compile(r"[^ \t\n\r]+")
-CACHE = 250_000
+#: Other characters at which str.split would cut too; texts that hold one are cut by the pattern.
+OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: Marks behind a word, which the splitter parts from it.
+MARKS = ",.;:!?"
+PIECES, CORES = 700_000, 900_000
 
 
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes, as the tokenizers library gives them.
 
-    The normaliser turns runs of white space into one blank and the splitter drops blanks, so the ids of a text are the
-    ids of its pieces between blanks, one after the other. Pieces are encoded once; the cache is emptied when full.
+    The normaliser turns runs of white space into one blank and letters into lower case, and the splitter drops blanks and parts
+    marks from words. So the ids of a text are the ids of its pieces between blanks, one after the other, and an ASCII piece
+    has the ids of its word in lower case and of the marks behind it. Each is encoded once; a cache is emptied when full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.pieces, self.cores = Tokenizer.from_file(path), {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [BETWEEN.findall(t) if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list(set().union(*cut).difference(cache))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[piece] = array("I", e.ids).tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        cut = [(BETWEEN.findall(t) if OTHER_BLANKS.search(t) else t.split()) if t else [] for t in texts]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        new = set(filterfalse(self.pieces.__contains__, chain.from_iterable(cut)))
+        if new:
+            self._learn(new)
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, own)) for own in cut]
+
+    def _learn(self, new: set[str]) -> None:
+        parts = {}
+        for piece in new:
+            if piece.isascii() and "<|" not in piece:  # special tokens are told by their case
+                low = piece.lower()
+                core = low.rstrip(MARKS)
+                parts[piece] = (core, low[len(core) :]) if core and core[-1].isalnum() else (low,)
+            else:
+                parts[piece] = (piece,)
+        if len(self.cores) > CORES:
+            self.cores.clear()
+        cores = self.cores
+        unseen = list(set(chain.from_iterable(parts.values())).difference(cores))
+        for at in range(0, len(unseen), 4096):
+            some = unseen[at : at + 4096]
+            for core, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                cores[core] = array("I", e.ids).tobytes()
+        pieces = self.pieces
+        for piece, own in parts.items():
+            pieces[piece] = cores[own[0]] + cores[own[1]] if len(own) == 2 else cores[own[0]]
 
 
 _held: dict[str, Encoder] = {}
