@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of parts. Each adjacent pair whose bytes are in the vocabulary waits in the bucket of its
-rank, which holds list positions. A bitmap over all ranks, in levels of 64 bits, marks buckets that are not empty; the
+rank, which holds list positions. A bitmap over all ranks, in two levels of words, marks buckets that are not empty; the
 next rank is found by find-first-set from the top level down. A bucket entry whose pair has changed meanwhile is stale
 and skipped. The cost of a merge does not depend on the length of the pre-token, which suits very long ones.
 """
@@ -11,91 +11,72 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table, tokenizer_path
 
-CACHE = 300_000
-
-
-class RankQueue:
-    """Positions by rank, lowest rank first and, within a rank, lowest position first."""
-
-    def __init__(self):
-        self.top, self.mid, self.low, self.buckets = 0, {}, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] = self.low.get(rank >> 6, 0) | 1 << (rank & 63)
-        self.mid[rank >> 12] = self.mid.get(rank >> 12, 0) | 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        i = (top & -top).bit_length() - 1
-        mid = self.mid[i]
-        j = i << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[j]
-        rank = j << 6 | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[j] = low = low & low - 1
-            if not low:
-                self.mid[i] = mid = mid & mid - 1
-                if not mid:
-                    self.top = top & top - 1
-        return rank, position
+#: Pre-tokens in one generation of the cache; it holds two.
+CACHE = 500_000
+#: Bits of a rank that a level of the bitmap resolves; two levels hold 2^18 ranks.
+LEVEL = 9
+LOW = (1 << LEVEL) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
+    """The ids of one pre-token; the lowest rank first and, within a rank, the lowest position.
+
+    A part is named by where it begins; the queue is held in locals, as most pre-tokens are short.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    parts: list = [piece[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    find, queue = ranks.get, RankQueue()
-    buckets: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        rank = find(piece[i : i + 2])
-        if rank is not None:
-            buckets.setdefault(rank, []).append(i)
-    for rank, found in buckets.items():
-        queue.push(rank, found[0])
-        queue.buckets[rank] = found
-        heapify(found)
-    while (next_one := queue.pop()) is not None:
-        rank, i = next_one
-        left = parts[i]
-        j = after[i]
-        if left is None or j >= n or find(left + parts[j]) != rank:
+    n, find = len(piece), ranks.get
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # end: 0 where no part begins any more
+    top, words, buckets = 0, {}, {}
+    fresh = [(i, i + 2) for i in range(n - 1)]
+    while True:
+        for i, k in fresh:
+            rank = find(piece[i:k])
+            if rank is None:
+                continue
+            bucket = buckets.get(rank)
+            if bucket:
+                heappush(bucket, i)
+                continue
+            buckets[rank] = [i]
+            high = rank >> LEVEL
+            words[high] = words.get(high, 0) | 1 << (rank & LOW)
+            top |= 1 << high
+        if not top:
+            break
+        high = (top & -top).bit_length() - 1
+        word = words[high]
+        rank = high << LEVEL | (word & -word).bit_length() - 1
+        bucket, fresh = buckets[rank], ()
+        i = heappop(bucket)
+        if not bucket:
+            words[high] = word = word & word - 1
+            if not word:
+                top &= top - 1
+        j = end[i]
+        if not j or j >= n or find(piece[i : end[j]]) != rank:
             continue  # stale
-        parts[i] = joined = left + parts[j]
-        parts[j] = None
-        after[i] = k = after[j]
+        end[i], end[j] = end[j], 0
+        k = end[i]
+        h = before[i]
         if k < n:
             before[k] = i
-            rank = find(joined + parts[k])
-            if rank is not None:
-                queue.push(rank, i)
-        h = before[i]
-        if h >= 0:
-            rank = find(parts[h] + joined)
-            if rank is not None:
-                queue.push(rank, h)
-    return [ranks[p] for p in parts if p is not None]
+            fresh = ((i, end[k]), (h, k)) if h >= 0 else ((i, end[k]),)
+        elif h >= 0:
+            fresh = ((h, k),)
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return ids
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -103,6 +84,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+class Cache(dict):
+    """Ids of pre-tokens. When a generation is full it becomes the old one, from which pre-tokens still in use come back."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.old = ranks, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", merge(piece.encode(), self.ranks)).tobytes()
+        self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encodes and decodes texts by a rank file; ids of pre-tokens are cached, up to a bound."""
 
@@ -110,24 +110,17 @@ class Codec:
         import regex
 
         self.ranks = load_ranks(path)
+        if max(self.ranks.values()) >= 1 << 2 * LEVEL:
+            raise ValueError("more ranks than the bitmap holds")
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.split, self.cache = regex.compile(pattern).findall, {}
+        self.split, self.cache = regex.compile(pattern).findall, Cache(self.ranks)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        pieces, cache = self.split(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
-        for piece in pieces:
-            if piece not in cache:
-                cache[piece] = array("I", merge(piece.encode(), self.ranks)).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+        self.cache.turn()
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
