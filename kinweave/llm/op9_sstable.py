@@ -220,7 +220,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                             at += len(ids) // 4
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return stage(placed, "sstable-places").repartition(F.col("shard")).mapInArrow(read, ddl)
+    # a row stands for a whole shard, so the number of tasks is given: by size alone these rows would all go to one
+    places = stage(placed, "sstable-places")
+    return places.repartition(max(1, places.count()), "shard").mapInArrow(read, ddl)
 
 
 def lookup(spark: SparkSession, folder: str, manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
