@@ -293,3 +293,17 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, data, tmp_path)
     rows = pipeline.STAGES[-1][1](spark, docs, data).toPandas()
     assert rows.groupby("doc_id")["length"].sum().to_dict() == {i: len(t) for i, t in ids.items()}
     assert pipeline.ORACLE_SQL is None and [n for n, _ in pipeline.STAGES] == ["toxicity", "quality_rules", "simhash_near_dedup", "packing"]
+
+
+def test_bpe_cache_turns_over(monkeypatch):
+    """Ids do not depend on what the cache holds, and decode to the text."""
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    own = op8_bpe.Codec(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op8_bpe.load_ranks(path), special_tokens={})
+    monkeypatch.setattr(op8_bpe, "CACHE", 3)
+    for text in ("one two three four five six", "seven one eight two", "ab" * 5000 + "é" * 999, "a" * 4097, "漢字🙂" * 50, "", "six seven one") * 2:
+        ids = own.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(text)
+        assert own.decode(ids) == text.encode()
