@@ -54,6 +54,17 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one object at a time, so the caches of an operator go when another begins."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

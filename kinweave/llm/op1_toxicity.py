@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pa_schema, stage, table
+from .common import held, map_batches, pa_schema, stage, table
 
 WORD = re.compile(r"\w+")
 #: Letters of a word that stand for its derivations.
@@ -146,19 +146,19 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     numbers, values = fit(*training_sample(docs, labels, settings), settings)
     model = spark.sparkContext.broadcast((numbers.astype(np.int32), values.astype(np.float32)))
     dim, threshold = settings.dim, settings.threshold
-    held: dict = {}
+    own: dict = {}
 
     def each(batch: pa.RecordBatch) -> dict:
-        if not held:
+        if not own:
             w = np.zeros(dim + 1, np.float32)
             numbers, values = model.value
             w[numbers] = values
-            held.update(w=w, features=Features(dim), known=len(numbers))
-        w, features, scores = held["w"], held["features"], []
+            own.update(w=w, known=len(numbers))
+        w, features, scores = own["w"], held(("features", dim), lambda: Features(dim)), []
         for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
             at = features.of(text)
             at = np.unique(at[w[at] != 0])
-            scores.append(sigmoid(float(w[dim]) + float(w[at].sum())) if held["known"] else 0.0)
+            scores.append(sigmoid(float(w[dim]) + float(w[at].sum())) if own["known"] else 0.0)
         return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"score": scores, "predicted": [int(x >= threshold) for x in scores]}
 
     read = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))

@@ -16,7 +16,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table, tokenizer_path
+from .common import held, map_batches, table, tokenizer_path
 
 #: Pre-tokens in one generation of the cache; it holds two.
 CACHE = 500_000
@@ -126,13 +126,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 
 
-_held: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _held:
-        _held[path, pattern] = Codec(path, pattern)
-    return _held[path, pattern]
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -6,13 +6,16 @@ import re
 from array import array
 from itertools import chain, filterfalse
 
+from .common import held
+
 #: Blanks at which a text may be cut: the vocabulary's splitter never joins text across them.
 BETWEEN = re.compile(r"[^ \t\n\r]+")
 #: Other characters at which str.split would cut too; texts that hold one are cut by the pattern.
 OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: Marks behind a word, which the splitter parts from it.
 MARKS = ",.;:!?"
-PIECES, CORES = 700_000, 900_000
+#: Entries of each cache; a dict of up to 2^20 * 2 / 3 takes half the room of a larger one.
+PIECES, CORES = 640_000, 640_000
 
 
 class Encoder:
@@ -60,14 +63,9 @@ class Encoder:
             pieces[piece] = cores[own[0]] + cores[own[1]] if len(own) == 2 else cores[own[0]]
 
 
-_held: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker for a file."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _held:
-        _held[path] = Encoder(path)
-    return _held[path]
+    return held(("encoder", path), lambda: Encoder(path))
