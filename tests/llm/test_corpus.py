@@ -307,3 +307,12 @@ def test_bpe_cache_turns_over(monkeypatch):
         ids = own.encode(text)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
+
+
+def test_a_worker_keeps_one_object():
+    from kinweave.llm import common
+
+    first = common.held(("a",), dict)
+    assert common.held(("a",), dict) is first
+    common.held(("b",), dict)
+    assert common.held(("a",), dict) is not first
