@@ -220,6 +220,18 @@ def score_model(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.withColumn("p", 1 / (1 + F.exp(-z)))
 
 
+def platt_scaling(scores: DataFrame, rounds: int = 20) -> DataFrame:
+    """Platt scaling of scores (p, label 0 or 1), as rows (name, weight): a slope on p and an intercept, for score_model.
+
+    Targets are smoothed to (n1 + 1) / (n1 + 2) and 1 / (n0 + 2), so the fit stays finite on classes that p parts wholly. Rows without a
+    score or a label teach nothing; without rows both numbers are 0.
+    """
+    known = scores.where("p is not null and label is not null").select("p", F.col("label").cast("int").alias("label"))
+    n1, n0 = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
+    target = F.when(F.col("label") == 1, (n1 + 1) / (n1 + 2)).otherwise(1 / (n0 + 2))
+    return logistic_model(known.withColumn("label", target), ["p"], 1e-6, rounds)
+
+
 def rules_baseline(train: DataFrame, test: DataFrame, by: str) -> DataFrame:
     """Test rows with p, the positive rate of their value of `by` in training, smoothed towards the overall rate."""
     rate = train.groupBy(by).agg(F.sum("label").alias("s"), F.count("*").alias("n"))

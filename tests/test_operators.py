@@ -266,3 +266,15 @@ def test_incremental_tables(spark):
     assert rows(inc.extracted(talks, inc.rule_extractor, "conv_id long, identifier_type string, raw string"), "identifier_type", "raw") == [("email", "a@b.com"), ("phone", "+65 9123 4567")]
     with pytest.raises(ValueError, match="add up"):
         inc.asserted(now, spark.createDataFrame([("a", 2)], "k string, stored long"), ["k"])
+
+
+def test_platt_scaling_meets_its_targets(spark):
+    rows = [(i / 40, int((i * 7) % 40 < i)) for i in range(40)] + [(None, 1), (0.5, None)]
+    scores = spark.createDataFrame(rows, "p double, label int")
+    w = {r["name"]: r["weight"] for r in pr.platt_scaling(scores).collect()}
+    got = pr.score_model(scores.where("p is not null and label is not null").withColumn("raw", F.col("p")), w).collect()
+    n1 = sum(r["label"] for r in got)
+    gap = [((n1 + 1) / (n1 + 2) if r["label"] else 1 / (len(got) - n1 + 2)) - r["p"] for r in got]
+    assert w["p"] > 0 and abs(sum(gap)) < 1e-4
+    assert abs(sum(g * r["raw"] for g, r in zip(gap, got, strict=True))) < 1e-4
+    assert {r["weight"] for r in pr.platt_scaling(scores.limit(0)).collect()} == {0.0}
