@@ -3,8 +3,8 @@
 A page is a stream of block-level tags and texts. Its own union-free regular expression is made by folding neighbouring
 repeats into groups. Expressions of one host are aligned, one after the other: what both have stays, a part that only
 one has becomes optional, a part repeated in one becomes repeated, and texts are slots. The result is the wrapper of the
-host. Slots of the wrapper are main text or not by the parts of the page around them; where a wrapper has an article or
-main part, only slots inside it count. Every page is then read slot by slot with the wrapper of its host.
+host. Slots of the wrapper are main text or not by the parts of the page around them. Every page is then read slot by slot
+with the wrapper of its host; where the page has text in an article or main part, only slots inside it count.
 """
 
 from __future__ import annotations
@@ -168,9 +168,13 @@ def paths_in(content) -> list[str]:
 def content_paths(wrapper: list) -> list[str]:
     """The paths of the slots of a wrapper that hold main text."""
     paths = sorted({p for item in wrapper for p in paths_in(json.loads(item[0]))})
-    open_ = [p for p in paths if "!" not in p]
-    main = [p for p in open_ if not MAIN.isdisjoint(p.split("/"))]
-    return main or open_
+    return [p for p in paths if "!" not in p]
+
+
+def main_text(found: list[tuple[str, str]]) -> str:
+    """The text of a page from its (path, text) of open slots: those in an article or main part where this page has them, else all."""
+    inside = [t for p, t in found if not MAIN.isdisjoint(p.split("/"))]
+    return "\n".join(inside or [t for _, t in found])
 
 
 def host_of(url) -> F.Column:
@@ -241,7 +245,7 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = []
         for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             good = set(paths or ())
-            texts.append("\n".join(t for p, t in slots(page) if p in good))
+            texts.append(main_text([(p, t) for p, t in slots(page) if p in good]))
         return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
     joined = hosted.join(rules, "host", "left").select("page_id", "url", "html", "paths")

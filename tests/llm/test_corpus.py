@@ -184,6 +184,13 @@ def test_html(spark):
     assert (got[90]["text"], got[91]["text"], got[92]["text"]) == ("", "", "open bold")
 
 
+def test_html_article_counts_page_by_page(spark):
+    plain = "<html><body><nav>menu</nav><div><p>plain {0} text</p></div></body></html>"
+    rows = [(i, "http://mixed.example/", page(f"T {i}", [f"p {i}"]) if i % 3 == 0 else plain.format(i)) for i in range(9)] + [(20, None, page("T", ["q"])), (21, None, plain.format(21))]
+    got = {r["page_id"]: r["text"] for r in op6_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T {i}\np {i}" if i % 3 == 0 else f"plain {i} text" for i in range(9)} | {20: "T\nq", 21: "plain 21 text"}
+
+
 def test_chat_edges(spark):
     rows = [(1, 2, "bob", "yo"), (1, 1, None, "hi"), (1, None, "bob", None), (2, 1, "system", "s"), (None, 1, "ann", "x")]
     got = op7_chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
