@@ -1,10 +1,16 @@
 """HTML extraction with wrappers inferred from the pages of a host.
 
-A page is a stream of block-level tags and texts. Its own union-free regular expression is made by folding neighbouring
-repeats into groups. Expressions of one host are aligned, one after the other: what both have stays, a part that only
-one has becomes optional, a part repeated in one becomes repeated, and texts are slots. The result is the wrapper of the
-host. Slots of the wrapper are main text or not by the parts of the page around them. Every page is then read slot by slot
-with the wrapper of its host; where the page has text in an article or main part, only slots inside it count.
+A page is a stream of block-level tags and texts. Texts of one kind that follow each other in the same element are a run.
+A page's own union-free regular expression is made by folding neighbouring repeats of runs into groups; it keeps its texts.
+Expressions of one host are aligned, one after the other: what both have stays, a part that only one has becomes optional,
+a part repeated in one becomes repeated. Texts that agree place by place on all pages are constants, texts that differ are
+slots, and so are all texts of a run or group whose number of repeats differs. The result is the wrapper of the host.
+
+Constants that LEAST_PAGES different pages share belong to the template and are no text of a page. Parts that HTML itself
+names as beside the text (nav, footer and the like) are left out. A part whose class, id or role has a word such as 'ad'
+is left out only where the wrapper's slots leave the choice open: a part that holds half of the slots' text, links aside,
+is the main text whatever its name. Every page is then read slot by slot with the wrapper of its host; where the page has
+text in an article or main part, only slots inside it count.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,30 +40,40 @@ BESIDE = set("ad ads advert advertisement adverts sponsor sponsored promo banner
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 FOLD = 4
+#: So many different pages must share a text before it is a constant: two may be copies of each other.
+LEAST_PAGES = 3
 
 
 def label(tag: str, attributes: str) -> str:
-    """A tag's name, with '!' where the tag or its class or id marks a part beside the main text."""
+    """A tag's name, with '!' where the tag is one for parts beside the main text, '?' where a form or a class, id or role may be."""
     if tag in ASIDE:
-        return tag + "!"
+        return tag + ("?" if tag == "form" else "!")
     if attributes:
         for m in NAMED.finditer(attributes):
             if not BESIDE.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-                return tag + "!"
+                return tag + "?"
     return tag
 
 
-def slots(page: str | None) -> list[tuple[str, str]]:
-    """(path, text) of each block of a page in order; a path lists the labels of the open block tags."""
+def slots(page: str | None) -> list[tuple[str, str, int, int]]:
+    """(path, text, parent, weight) of each block of a page in order.
+
+    A path lists the labels of the open block tags; parent is the number of the element around the innermost one, so that
+    equal numbers mean the same element; weight is the length of the text that is not in a link, as it stands in the markup.
+    """
     page = page or ""
     out, stack, text, at, size = [], [], [], 0, len(page)
+    opened, link, linked = 0, False, 0
 
     def flush():
+        nonlocal link, linked
         if text:
-            words = html.unescape("".join(text)).split()
+            whole = "".join(text)
+            words = html.unescape(whole).split()
             text.clear()
             if words:
-                out.append(("/".join(x[1] for x in stack), " ".join(words)))
+                out.append(("/".join(x[1] for x in stack), " ".join(words), stack[-2][2] if len(stack) > 1 else 0, max(0, len(whole) - linked)))
+        link, linked = False, 0
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -65,6 +82,8 @@ def slots(page: str | None) -> list[tuple[str, str]]:
             break
         if m.start() > at:
             text.append(page[at : m.start()])
+            if link:
+                linked += m.start() - at
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -72,6 +91,8 @@ def slots(page: str | None) -> list[tuple[str, str]]:
         tag = tag.lower()
         if tag == "br":
             text.append(" ")
+        elif tag == "a":
+            link = not m[1]
         if m[1]:
             if tag in BLOCKS or tag in HIDDEN or tag in ASIDE:
                 flush()
@@ -83,12 +104,13 @@ def slots(page: str | None) -> list[tuple[str, str]]:
         name = label(tag, m[3] or "")
         if tag in VOID and tag != "hr":
             continue
-        if tag in BLOCKS or name.endswith("!"):
+        if tag in BLOCKS or name[-1] in "!?":
             flush()
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             if tag != "hr" and not (m[3] or "").endswith("/"):
-                stack.append((tag, name))
+                opened += 1
+                stack.append((tag, name, opened))
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else size
@@ -97,32 +119,67 @@ def slots(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def fold(items: list) -> list:
-    """Neighbouring repeats of up to FOLD items become one repeated group: [items] for a group, a path for a slot."""
-    changed = True
+def fold(items: list) -> list[tuple]:
+    """Neighbouring repeats of up to FOLD items become one repeated group: [items] for a group, a path for a run; and for each
+    the number of runs it stands for."""
+    sizes, changed = [1] * len(items), True
     while changed:
         changed = False
         for width in range(1, FOLD + 1):
-            out, i = [], 0
+            out, counts, i = [], [], 0
             while i < len(items):
                 part = items[i : i + width]
                 j = i + width
                 while len(part) == width and items[j : j + width] == part:
                     j += width
                 if j > i + width:
-                    whole = part[0] if width == 1 and isinstance(part[0], list) else [part]
-                    out.append(whole)
+                    out.append(part[0] if width == 1 and isinstance(part[0], list) else [part])
                     changed = True
-                    i = j
                 else:
                     out.append(items[i])
-                    i += 1
-            items = out
-    return items
+                    j = i + 1
+                counts.append(sum(sizes[i:j]))
+                i = j
+            items, sizes = out, counts
+    return list(zip(items, sizes, strict=True))
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+
+
+def met(a: list | None, b: list | None) -> list | None:
+    """Runs [path, digests] of two items place by place; None, where all is slots, if one is None or the runs differ in number or path."""
+    if a == b or a is None:
+        return a
+    if b is None or [x[0] for x in a] != [y[0] for y in b]:
+        return None
+    return [[x[0], met_texts(x[1], y[1])] for x, y in zip(a, b, strict=True)]
+
+
+def met_texts(a: list | None, b: list | None) -> list | None:
+    if a == b:
+        return a
+    return [x if x == y else 0 for x, y in zip(a, b, strict=True)] if a is not None and b is not None and len(a) == len(b) else None
+
+
+def both(a: list, b: list, texts: list | None) -> list:
+    """One item from two of the same content."""
+    mass = dict(a[5])
+    for path, weight in b[5].items():
+        mass[path] = mass.get(path, 0) + weight
+    return [a[0], a[1] or b[1], a[2] or b[2], texts, sorted({*a[4], *b[4]})[:LEAST_PAGES], mass]
 
 
 def align(a: list, b: list) -> list:
-    """Two expressions, lists of [content, repeated, optional], into one that covers both."""
+    """Two expressions into one that covers both.
+
+    They are lists of items [content, repeated, optional, texts, pages, mass]. texts has each run's path and digests in order,
+    0 for a slot; None for a run or an item whose number of repeats differs. pages has the digests of a few of the pages that the
+    item is from, mass the weight of text by path.
+    """
+    if [x[0] for x in a] == [x[0] for x in b]:
+        return [both(x, y, met(x[3], y[3])) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -131,24 +188,26 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append([a[i][0], a[i][1] or b[j][1], a[i][2] or b[j][2]])
+            out.append(both(a[i], b[j], met(a[i][3], b[j][3])))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], a[i][1], True])
+            out.append([*a[i][:2], True, *a[i][3:]])
             i += 1
         else:
-            out.append([b[j][0], b[j][1], True])
+            out.append([*b[j][:2], True, *b[j][3:]])
             j += 1
     return squeeze(out)
 
 
 def squeeze(items: list) -> list:
-    """An optional part next to the same part is a repeat of it, which keeps wrappers short."""
+    """An optional part next to the same part is a repeat of it, which keeps wrappers short. Its number of repeats differs."""
     out: list = []
     for x in items:
         for back in range(1, min(FOLD, len(out)) + 1):
             if out[-back][0] == x[0] and (x[2] or out[-back][2]):
-                out[-back][1] = True
+                optional = out[-back][2] and x[2]
+                out[-back] = both(out[-back], x, None)
+                out[-back][1:3] = [True, optional]
                 break
         else:
             out.append(list(x))
@@ -157,18 +216,71 @@ def squeeze(items: list) -> list:
 
 def expression(page: str | None) -> list:
     """A page's own expression."""
-    folded = fold([p for p, _ in slots(page)])
-    return [[json.dumps(x[0] if isinstance(x, list) else [x]), isinstance(x, list), False] for x in folded]
+    runs: list = []  # path, parent, digests, weight
+    for path, text, parent, weight in slots(page):
+        if runs and runs[-1][0] == path and runs[-1][1] == parent:
+            runs[-1][2].append(digest(text))
+            runs[-1][3] += weight
+        else:
+            runs.append([path, parent, [digest(text)], weight])
+    name = digest(json.dumps([[r[0], r[2]] for r in runs]))
+    out, at = [], 0
+    for x, size in fold([r[0] for r in runs]):
+        own = runs[at : at + size]
+        at += size
+        mass: dict[str, int] = {}
+        for path, _, _, weight in own:
+            mass[path] = mass.get(path, 0) + weight
+        out.append([json.dumps(x[0] if isinstance(x, list) else [x]), isinstance(x, list) or len(own[0][2]) > 1, False, [[r[0], r[2]] for r in own], [name], mass])
+    return out
 
 
 def paths_in(content) -> list[str]:
     return [content] if isinstance(content, str) else [p for x in content for p in paths_in(x)]
 
 
+def is_constant(item: list) -> bool:
+    """Whether all texts of an item are constants."""
+    return len(item[4]) >= LEAST_PAGES and item[3] is not None and all(texts is not None and 0 not in texts for _, texts in item[3])
+
+
 def content_paths(wrapper: list) -> list[str]:
     """The paths of the slots of a wrapper that hold main text."""
     paths = sorted({p for item in wrapper for p in paths_in(json.loads(item[0]))})
-    return [p for p in paths if "!" not in p]
+    total, within = 0, {}
+    for item in wrapper:
+        if is_constant(item):
+            continue
+        for path, weight in item[5].items():
+            if HIDDEN.isdisjoint(x.rstrip("!?") for x in path.split("/")):
+                total += weight
+                for head in doubtful(path):
+                    within[head] = within.get(head, 0) + weight
+    return [p for p in paths if "!" not in p and all(0 < total <= 2 * within.get(head, 0) for head in doubtful(p))]
+
+
+def doubtful(path: str) -> list[str]:
+    """The beginnings of a path that end in a label with '?'."""
+    parts = path.split("/")
+    return ["/".join(parts[: i + 1]) for i, x in enumerate(parts) if x[-1:] == "?"]
+
+
+def place(path: str, text: int) -> int:
+    return digest(f"{path}\0{text}")
+
+
+def constants(wrapper: list) -> list[int]:
+    """The constants of a wrapper, as digests of path and text."""
+    found: set[int] = set()
+    for item in wrapper:
+        if len(item[4]) >= LEAST_PAGES:
+            found.update(place(path, t) for path, texts in item[3] or () for t in texts or () if t)
+    return sorted(found)
+
+
+def read(page: str | None, paths: set, fixed: set) -> str:
+    """The text of a page by the wrapper of its host."""
+    return main_text([(p, t) for p, t, *_ in slots(page) if p in paths and not (fixed and place(p, digest(t)) in fixed)])
 
 
 def main_text(found: list[tuple[str, str]]) -> str:
@@ -181,8 +293,16 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def aligned(kinds: dict[str, list]) -> list:
+    """The expressions of a host, by the order of their parts, as one."""
+    total = None
+    for key in sorted(kinds):
+        total = kinds[key] if total is None else align(total, kinds[key])
+    return total or []
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """pages (url, html) to host, paths (main text), wrapper (JSON): every page of a host is aligned.
+    """pages (url, html) to host, paths (main text), constants, wrapper (JSON): every page of a host is aligned.
 
     Tasks align what they read, then groups of tasks, then hosts, so a host with a third of all pages is shared out.
     """
@@ -194,25 +314,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def first(batches):
         from pyspark import TaskContext
 
-        held: dict[str, list] = {}
-        seen: dict[str, set] = {}
+        held: dict[str, dict[str, list]] = {}  # by host and the order of its parts
         salt = TaskContext.get().partitionId() % 64
 
         def rows():
-            made = pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(w) for w in held.values()])], schema=out)
+            made = [json.dumps(aligned(kinds)) for kinds in held.values()]
+            out_rows = pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array(made)], schema=out)
             held.clear()
-            seen.clear()
-            return made
+            return out_rows
 
+        count = 0
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = expression(page)
-                known, key = seen.setdefault(host, set()), json.dumps(own)
-                if key not in known:
-                    known.add(key)
-                    held[host] = align(held[host], own) if host in held else own
-            if len(held) > 2000:
+                kinds, key = held.setdefault(host, {}), json.dumps([x[0] for x in own])
+                count += key not in kinds
+                kinds[key] = align(kinds[key], own) if key in kinds else own
+            if count > 2000:
                 yield rows()
+                count = 0
         yield rows()
 
     def merged(rows: pa.Table) -> pa.Table:
@@ -226,9 +346,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     whole = grouped.groupBy("host").applyInArrow(merged, ddl)
 
     def chosen(batch: pa.RecordBatch) -> dict:
-        return {"host": batch.column(0), "paths": [content_paths(json.loads(w)) for w in batch.column(1).to_pylist()], "wrapper": batch.column(1)}
+        made = [json.loads(w) for w in batch.column(1).to_pylist()]
+        return {"host": batch.column(0), "paths": list(map(content_paths, made)), "constants": list(map(constants, made)), "wrapper": batch.column(1)}
 
-    return map_batches(whole.select("host", "wrapper"), chosen, "host string, paths array<string>, wrapper string")
+    return map_batches(whole.select("host", "wrapper"), chosen, "host string, paths array<string>, constants array<long>, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -237,18 +358,17 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page has an empty text. Pages without a readable host are one host of their own. Repeated rows are
     read each. Broken markup is read as far as it goes; nothing is cut off. Other columns are not read.
     """
-    rules = stage(wrappers(pages).select("host", "paths"), "html-wrappers")
+    rules = stage(wrappers(pages).select("host", "paths", "constants"), "html-wrappers")
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def each(batch: pa.RecordBatch) -> dict:
         texts = []
-        for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            good = set(paths or ())
-            texts.append(main_text([(p, t) for p, t in slots(page) if p in good]))
+        for page, paths, fixed in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            texts.append(read(page, set(paths.as_py() or ()), set(fixed.as_py() or ())))
         return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    joined = hosted.join(rules, "host", "left").select("page_id", "url", "html", "paths")
+    joined = hosted.join(rules, "host", "left").select("page_id", "url", "html", "paths", "constants")
     return map_batches(joined, each, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 

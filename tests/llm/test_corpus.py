@@ -191,6 +191,25 @@ def test_html_article_counts_page_by_page(spark):
     assert got == {i: f"T {i}\np {i}" if i % 3 == 0 else f"plain {i} text" for i in range(9)} | {20: "T\nq", 21: "plain 21 text"}
 
 
+def test_html_wrapper_decides(spark):
+    """Texts that all pages share are left out whatever their class; text that differs stays where a class word alone speaks against it."""
+    shell = "<html><body class='has-sidebar'><ul class='x'><li><a href='/'>Start</a></li><li>All posts</li></ul><div class='story'>{}</div><div class='blurb'><p>A word from us, the same on each page of ours.</p></div><div class='sidebar'><p>aside {}</p></div></body></html>"
+    story = lambda i: [f"Page {i} says {k} and more of its own" for k in range(i % 4 + 1)]
+    rows = [(i, "http://one.example/x", shell.format("".join(f"<p>{x}</p>" for x in story(i)), i)) for i in range(12)]
+    rows += [(20 + i, "http://two.example/x", f"<body><div>Masthead</div><div><p>copy</p></div>{'<hr>' * i}</body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in op6_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: "\n".join(story(i)) for i in range(12)} | {20 + i: "Masthead\ncopy" for i in range(5)}  # pages of one content show no template
+
+
+def test_html_alignment():
+    one = lambda *parts: op6_html.expression("".join(f"<{t}>{x}</{t}>" for t, x in parts))
+    pages = [one(("h1", "a"), ("p", "same"), ("p", f"p{i}"), ("h2", "fixed")) for i in range(3)]
+    total = op6_html.align(op6_html.align(*pages[:2]), pages[2])
+    assert [x[3] for x in total] == [[["h1", [op6_html.digest("a")]]], [["p", [op6_html.digest("same"), 0]]], [["h2", [op6_html.digest("fixed")]]]]
+    more = op6_html.align(total, one(("h1", "a"), ("p", "same")))
+    assert [x[1:3] for x in more] == [[False, False], [True, False], [False, True]] and more[1][3] == [["p", None]]
+
+
 def test_chat_edges(spark):
     rows = [(1, 2, "bob", "yo"), (1, 1, None, "hi"), (1, None, "bob", None), (2, 1, "system", "s"), (None, 1, "ann", "x")]
     got = op7_chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
