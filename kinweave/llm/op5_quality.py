@@ -2,8 +2,8 @@
 
 A vector of transformed statistics is made for each text. For each group of language and source, the minimum covariance
 determinant estimate is sought by concentration steps: from the coordinate-wise medians and median deviations, the
-three quarters of rows nearest by Mahalanobis distance give the next mean and covariance, which never raises the
-determinant. Every step is an aggregation over all rows of the group, so groups of any size are estimated whole.
+half of the rows nearest by Mahalanobis distance gives the next mean and covariance, which never raises the
+determinant, so up to nearly half of a group may be outliers. Every step is an aggregation over all rows of the group, so groups of any size are estimated whole.
 Texts too far from the final estimate are rejected.
 """
 
@@ -18,9 +18,11 @@ from .common import map_batches, stage, table
 
 #: What a coordinate may vary at least, as a standard deviation; keeps the covariance regular where all rows are equal.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.05, "x_punct": 0.06, "x_upper": 0.06, "x_lines": 0.12, "x_repeat": 0.12}
-SHARE = 0.75
+SHARE = 0.5
 #: Quantile SHARE of the chi-squared distribution with as many degrees of freedom as features.
-CHI2_SHARE = 7.8408
+CHI2_SHARE = 5.3481
+#: What brings the covariance of the nearest rows to that of all: SHARE over the chi-squared distribution, with two degrees more, at CHI2_SHARE.
+CONSISTENCY = 1.7845
 STEPS = 3
 CUTOFF = 80.0
 LEAST_ROWS = 40
@@ -95,7 +97,7 @@ def inverted(moments: DataFrame) -> DataFrame:
         cov = []
         for r, m in zip(rows, mean, strict=True):
             c = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / r["n"] - np.outer(m, m)
-            cov.append(c + least)
+            cov.append(CONSISTENCY * c + least)
         return {"grp": [r["grp"] for r in rows], "mean": [m.tolist() for m in mean], "inverse": [np.linalg.inv(c).ravel().tolist() for c in cov], "determinant": [float(np.linalg.det(c)) for c in cov]}
 
     return map_batches(moments, each, "grp string, mean array<double>, inverse array<double>, determinant double")

@@ -172,6 +172,14 @@ def test_quality_statistics(spark):
     assert op5_quality.judge(nulls).where("kept").count() == 3
 
 
+def test_quality_rejects_junk_of_up_to_two_fifths(spark):
+    clean = lambda i: prose(i, 60 + i % 90) + "."
+    junk = lambda i: " ".join(f"{w}{random.Random(i + k).choice(['###', '$$$', '%%%', '&&&', '***'])}" for k, w in enumerate(prose(i, 60 + i % 50).split()))
+    rows = [(1000 * k + i, junk(i) if i < n else clean(i), "en", f"s{k}") for k, n in enumerate((0, 36, 48)) for i in range(120)]
+    got = op5_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")["kept"].to_dict()
+    assert got == {1000 * k + i: i >= n for k, n in enumerate((0, 36, 48)) for i in range(120)}
+
+
 def page(title, paragraphs):
     return f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article><div class='comments'><p>first!</p></div><footer>c</footer><script>x()</script></body></html>"
 
