@@ -115,8 +115,7 @@ def fit(labelled: DataFrame, rows: int, s: Settings) -> tuple[np.ndarray, np.nda
     dealt = labelled.select("doc_id", "text", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("turn"))
     dealt = dealt.withColumn("shard", F.pmod("turn", F.lit(max(1, round(rows / s.shard_rows)))).cast("int"))
     models = dealt.groupBy("shard").applyInArrow(shard, "feature int, weight double, shard int")
-    # a noisy weight that one shard alone keeps is shrunk: the sum over its shards is divided by one more than their number
-    merged = models.groupBy("feature").agg((F.sum("weight") / F.when(F.col("feature") == s.dim, F.count("*")).otherwise(F.count("*") + 0.5)).alias("weight"))
+    merged = models.groupBy("feature").agg(F.avg("weight").alias("weight"))  # bias included
     got = merged.toPandas().sort_values("feature")
     return got["feature"].to_numpy(np.int64), got["weight"].to_numpy(np.float64)
 

@@ -92,6 +92,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert hits >= 0.5 and false <= 0.05  # 14 toxic rows of 94 held out; about 300 to learn from
 
 
+@pytest.mark.parametrize("shards", [1, 2])
+def test_toxicity_model_is_the_mean_of_its_shards(spark, monkeypatch, shards):
+    """Every shard is made to train the same weights, so their mean is these weights, however many shards there are."""
+    own = (np.array([3, 5, 1 << 20]), np.array([1.5, -0.5, -2.0]))
+    monkeypatch.setattr(op1_toxicity, "train", lambda examples, s: own)
+    rows = spark.createDataFrame([(i, "a b", i % 2) for i in range(80)], "doc_id long, text string, toxic int")
+    numbers, weights = op1_toxicity.fit(rows, 80, op1_toxicity.Settings(shard_rows=80 // shards))
+    assert list(numbers) == [3, 5, 1 << 20] and list(weights) == [1.5, -0.5, -2.0]
+
+
 def test_packing_covers_each_id_once(spark):
     rows = op2_packing.pack(documents(spark, EDGE), tokenizer_path("word_bpe_49k.json")).toPandas()
     for i, text in enumerate(EDGE):
