@@ -339,6 +339,16 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, data, tmp_path)
     assert pipeline.ORACLE_SQL is None and [n for n, _ in pipeline.STAGES] == ["toxicity", "quality_rules", "simhash_near_dedup", "packing"]
 
 
+def test_pipeline_near_dedup_keeps_what_brute_force_keeps(spark, data):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.select("doc_id", "text").toPandas().sort_values("doc_id")
+    ids = rows["doc_id"].tolist()
+    low = components_by_hand(ids, [fingerprint_by_hand(t) for t in rows["text"]])
+    kept = sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, data).select("doc_id").collect())
+    assert kept == [i for i, own in zip(ids, low, strict=True) if i == own]
+
+
 def test_bpe_cache_turns_over(monkeypatch):
     """Ids do not depend on what the cache holds, and decode to the text."""
     import public_tokenizers
