@@ -3,42 +3,31 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python; whole texts stay together, so few rows bound the memory of a worker.
-BATCH_ROWS = "512"
+from ..operators.connections import cut, new_folder
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset (tests), a local one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
+#: Settings of Spark, their defaults, and what operators set in their place: a batch is held whole by a worker, and texts may be long.
+BATCH = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the number of rows in an Arrow batch where the session still has Spark's own default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    """Bounds the Arrow batches handed to Python, by rows and by bytes, where the session still has Spark's own defaults."""
+    for key, default, own in BATCH:
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
@@ -88,5 +77,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
