@@ -6,11 +6,11 @@ Expressions of one host are aligned, one after the other: what both have stays,
 a part repeated in one becomes repeated. Texts that agree place by place on all pages are constants, texts that differ are
 slots, and so are all texts of a run or group whose number of repeats differs. The result is the wrapper of the host.
 
-Constants that LEAST_PAGES different pages share belong to the template and are no text of a page. Parts that HTML itself
-names as beside the text (nav, footer and the like) are left out. A part whose class, id or role has a word such as 'ad'
-is left out only where the wrapper's slots leave the choice open: a part that holds half of the slots' text, links aside,
-is the main text whatever its name. Every page is then read slot by slot with the wrapper of its host; where the page has
-text in an article or main part, only slots inside it count.
+Every page is then aligned to the wrapper of its host and read part by part. Constants that LEAST_PAGES different pages share
+belong to the template and are no text of a page. Parts that HTML itself names as beside the text (nav, footer and the like)
+are left out. A part whose class, id or role has a word such as 'sidebar' is left out only where the wrapper's slots allow it:
+a part that holds half of the host's main parts, else of its titles, else of all its slots, is the text whatever its name.
+Where a page has text in an article or main part, only slots inside it count.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from difflib import SequenceMatcher
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -27,120 +28,197 @@ from pyspark.sql import functions as F
 from .common import map_batches, pa_schema, small_batches, stage, table
 
 #: Names of tags.
-HIDDEN = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "head", "object", "canvas"}
+HIDDEN = set("script style noscript template iframe svg math textarea title head object canvas button select datalist".split())
 RAW = {"script", "style", "textarea", "title"}
-BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address hr details summary menu dialog center".split())
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select"} | HIDDEN
+BLOCKS = set(
+    "html body main article section div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
+    "nav header footer aside form fieldset legend address hr details summary menu dialog search center".split()
+)
+ASIDE = {"nav", "header", "footer", "aside", "menu", "dialog", "search"}
 MAIN = {"article", "main"}
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"}}
-#: Words in a class or id that mark parts beside the main text.
-BESIDE = set("ad ads advert advertisement adverts sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header footer notice notices cookie cookies consent popup modal comment comments reply replies respond disqus related share sharing social newsletter subscribe signup login toolbar widget".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+CELL_ENDS = {"td", "th", "tr", "tbody", "tfoot"}
+CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": CELL_ENDS, "th": CELL_ENDS}
+#: Words in a class, id or role that mark parts beside the main text. Reader comments, adverts and consent
+#: can outweigh a short article, so their weight alone never makes them the text.
+FOREIGN = set("ad ads advert advertisement adverts sponsor sponsored cookie cookies consent popup comment comments reply replies respond disqus newsletter".split())
+BESIDE = set("promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header footer notice notices modal related share sharing social subscribe signup login toolbar widget".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-FOLD = 4
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: So many different pages must share a text before it is a constant: two may be copies of each other.
 LEAST_PAGES = 3
+#: Texts and parts that a task holds before it hands its wrappers on.
+HELD = 200_000
 
 
-def label(tag: str, attributes: str) -> str:
-    """A tag's name, with '!' where the tag is one for parts beside the main text, '?' where a form or a class, id or role may be."""
-    if tag in ASIDE:
-        return tag + ("?" if tag == "form" else "!")
-    if attributes:
-        for m in NAMED.finditer(attributes):
-            if not BESIDE.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-                return tag + "?"
-    return tag
+def words_of(attributes: str) -> set[str]:
+    """The words of a tag's class, id and role."""
+    found = (m[1] or m[2] or m[3] or "" for m in NAMED.finditer(attributes))
+    return {w for text in found for w in re.split(r"[^a-z]+", text.lower())}
 
 
-def slots(page: str | None) -> list[tuple[str, str, int, int]]:
-    """(path, text, parent, weight) of each block of a page in order.
+def label(tag: str, attributes: str, in_main: bool) -> str:
+    """A block tag's name, with a mark: '!' for tags of parts beside the text, '#' and '?' for names with a word of FOREIGN or BESIDE.
+
+    A form may be the frame of a whole page, and a header inside an article may hold its title, so these are '?'.
+    """
+    if tag in ("html", "body"):
+        return tag
+    words = words_of(attributes) if attributes else set()
+    if not FOREIGN.isdisjoint(words):
+        return tag + "#"
+    if tag in ASIDE and not (tag == "header" and in_main):
+        return tag + "!"
+    return tag + "?" if tag in ("form", "header") or not BESIDE.isdisjoint(words) else tag
+
+
+class Blocks:
+    """Reads a page into blocks: (path, text, parent, weight) in order.
 
     A path lists the labels of the open block tags; parent is the number of the element around the innermost one, so that
     equal numbers mean the same element; weight is the length of the text that is not in a link, as it stands in the markup.
+    Inline tags do not end a block. Those of HIDDEN, and those named by a word of FOREIGN, mute the text up to their end.
     """
-    page = page or ""
-    out, stack, text, at, size = [], [], [], 0, len(page)
-    opened, link, linked = 0, False, 0
-
-    def flush():
-        nonlocal link, linked
-        if text:
-            whole = "".join(text)
+
+    def __init__(self, page: str):
+        self.page, self.out, self.stack, self.text = page, [], [], []
+        self.opened, self.link, self.linked = 0, False, 0
+        self.mute: list[tuple[str, int]] = []  # open muting tags, and how many blocks were open then
+
+    def blocks(self) -> list[tuple[str, str, int, int]]:
+        page, at = self.page, 0
+        while at < len(page):
+            m = TOKEN.search(page, at)
+            if m is None:
+                self._words(page[at:])
+                break
+            if m.start() > at:
+                self._words(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self._close(tag)
+            else:
+                self._open(tag, m[3] or "")
+                if tag in RAW and not (m[3] or "").endswith("/"):
+                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    at = end.end() if end else len(page)
+        self._flush()
+        return self.out
+
+    def _words(self, text: str) -> None:
+        if not self.mute:
+            self.text.append(text)
+            if self.link:
+                self.linked += len(text)
+
+    def _flush(self) -> None:
+        if self.text:
+            whole = "".join(self.text)
             words = html.unescape(whole).split()
-            text.clear()
+            self.text.clear()
             if words:
-                out.append(("/".join(x[1] for x in stack), " ".join(words), stack[-2][2] if len(stack) > 1 else 0, max(0, len(whole) - linked)))
-        link, linked = False, 0
-
-    while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            if link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
+                parent = self.stack[-2][2] if len(self.stack) > 1 else 0
+                self.out.append(("/".join(x[1] for x in self.stack), " ".join(words), parent, max(0, len(whole) - self.linked)))
+        self.link, self.linked = False, 0
+
+    def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            text.append(" ")
+            self._words(" ")
         elif tag == "a":
-            link = not m[1]
-        if m[1]:
-            if tag in BLOCKS or tag in HIDDEN or tag in ASIDE:
-                flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-            continue
-        name = label(tag, m[3] or "")
-        if tag in VOID and tag != "hr":
-            continue
-        if tag in BLOCKS or name[-1] in "!?":
-            flush()
-            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            if tag != "hr" and not (m[3] or "").endswith("/"):
-                opened += 1
-                stack.append((tag, name, opened))
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
-                stack.pop()
-    flush()
-    return out
+            self.link = True
+        if tag in RAW or (tag in VOID and tag != "hr"):
+            return
+        alone = attributes.endswith("/")
+        if tag not in BLOCKS:
+            if not alone and (tag in HIDDEN or (attributes and not FOREIGN.isdisjoint(words_of(attributes)))):
+                self.mute.append((tag, len(self.stack)))
+            elif self.mute and not alone and any(tag == x for x, _ in self.mute):
+                self.mute.append((tag, len(self.stack)))  # the same tag again, so that its end is told from the outer one's
+            return
+        self._flush()
+        if tag == "body":
+            self.mute.clear()
+        while self.stack and tag in CLOSED_BY.get(self.stack[-1][0], ()):
+            self._pop(len(self.stack) - 1)
+        if tag != "hr" and not alone:
+            self.opened += 1
+            in_main = any(x[0] in MAIN for x in self.stack)
+            self.stack.append((tag, label(tag, attributes, in_main), self.opened))
+
+    def _close(self, tag: str) -> None:
+        if tag == "a":
+            self.link = False
+        if tag in BLOCKS:
+            self._flush()
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] == tag:
+                    self._pop(k)
+                    break
+            return
+        for k in range(len(self.mute) - 1, -1, -1):
+            if self.mute[k][0] == tag:
+                del self.mute[k:]
+                break
+
+    def _pop(self, to: int) -> None:
+        """Closes blocks down to a depth; muting tags that were left open in them end with them."""
+        del self.stack[to:]
+        self.mute = [x for x in self.mute if x[1] <= to]
+
+
+def slots(page: str | None) -> list[tuple[str, str, int, int]]:
+    return Blocks(page or "").blocks()
+
+
+def runs_of(page: str | None) -> list[list]:
+    """Runs [path, parent, texts, weight] of a page."""
+    runs: list = []
+    for path, text, parent, weight in slots(page):
+        if runs and runs[-1][0] == path and runs[-1][1] == parent:
+            runs[-1][2].append(text)
+            runs[-1][3] += weight
+        else:
+            runs.append([path, parent, [text], weight])
+    return runs
+
+
+def gaps(items: list) -> list[int]:
+    """Distances between neighbouring equal items, the periods that a repeat can have, shortest first."""
+    last, found = {}, set()
+    for i, x in enumerate(items):
+        key = json.dumps(x)
+        if key in last:
+            found.add(i - last[key])
+        last[key] = i
+    return sorted(found)
 
 
 def fold(items: list) -> list[tuple]:
-    """Neighbouring repeats of up to FOLD items become one repeated group: [items] for a group, a path for a run; and for each
-    the number of runs it stands for."""
-    sizes, changed = [1] * len(items), True
-    while changed:
-        changed = False
-        for width in range(1, FOLD + 1):
-            out, counts, i = [], [], 0
-            while i < len(items):
-                part = items[i : i + width]
-                j = i + width
+    """Neighbouring repeats become one repeated group: [items] for a group, a path for a run; and for each the number of runs it stands for."""
+    sizes, widths = [1] * len(items), gaps(items)
+    while widths:
+        width = widths.pop(0)
+        out, counts, i, folded = [], [], 0, False
+        while i < len(items):
+            part, j = items[i : i + width], i + width
+            if j < len(items) and items[j] == items[i]:
                 while len(part) == width and items[j : j + width] == part:
                     j += width
-                if j > i + width:
-                    out.append(part[0] if width == 1 and isinstance(part[0], list) else [part])
-                    changed = True
-                else:
-                    out.append(items[i])
-                    j = i + 1
-                counts.append(sum(sizes[i:j]))
-                i = j
+            if j > i + width:
+                out.append(part[0] if width == 1 and isinstance(part[0], list) else [part])
+                folded = True
+            else:
+                out.append(items[i])
+                j = i + 1
+            counts.append(sum(sizes[i:j]))
+            i = j
+        if folded:
             items, sizes = out, counts
+            widths = gaps(items)
     return list(zip(items, sizes, strict=True))
 
 
@@ -148,8 +226,34 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
 
 
+def parts_of(runs: list[list]) -> list[tuple[str, bool, list[list]]]:
+    """A page's expression: (content, whether repeated, its runs) for each part; content is the JSON of its paths and groups."""
+    out, at = [], 0
+    for x, size in fold([r[0] for r in runs]):
+        own = runs[at : at + size]
+        at += size
+        out.append((json.dumps(x[0] if isinstance(x, list) else [x]), isinstance(x, list) or len(own[0][2]) > 1, own))
+    return out
+
+
+def expression(page: str | None) -> list[dict]:
+    """A page's expression as a wrapper of one page: parts with
+
+    content, repeated, optional; texts: each run's path and text digests in order, 0 for a slot, None for a run (or for the whole
+    part) whose number of repeats differs; pages: digests of a few of the pages that it is from; mass: weight of text by path.
+    """
+    runs = runs_of(page)
+    name, out = digest(json.dumps([[r[0], r[2]] for r in runs])), []
+    for content, repeated, own in parts_of(runs):
+        mass: dict[str, int] = {}
+        for path, _, _, weight in own:
+            mass[path] = mass.get(path, 0) + weight
+        out.append({"content": content, "repeated": repeated, "optional": False, "texts": [[r[0], [digest(t) for t in r[2]]] for r in own], "pages": [name], "mass": mass})
+    return out
+
+
 def met(a: list | None, b: list | None) -> list | None:
-    """Runs [path, digests] of two items place by place; None, where all is slots, if one is None or the runs differ in number or path."""
+    """Texts of two parts place by place; None, where all is slots, if one is None or the runs differ in number or path."""
     if a == b or a is None:
         return a
     if b is None or [x[0] for x in a] != [y[0] for y in b]:
@@ -163,75 +267,47 @@ def met_texts(a: list | None, b: list | None) -> list | None:
     return [x if x == y else 0 for x, y in zip(a, b, strict=True)] if a is not None and b is not None and len(a) == len(b) else None
 
 
-def both(a: list, b: list, texts: list | None) -> list:
-    """One item from two of the same content."""
-    mass = dict(a[5])
-    for path, weight in b[5].items():
+def both(a: dict, b: dict, texts: list | None, **more) -> dict:
+    """One part from two of the same content."""
+    mass = dict(a["mass"])
+    for path, weight in b["mass"].items():
         mass[path] = mass.get(path, 0) + weight
-    return [a[0], a[1] or b[1], a[2] or b[2], texts, sorted({*a[4], *b[4]})[:LEAST_PAGES], mass]
+    own = {"repeated": a["repeated"] or b["repeated"], "optional": a["optional"] or b["optional"], "pages": sorted({*a["pages"], *b["pages"]})[:LEAST_PAGES]}
+    return {"content": a["content"], "texts": texts, "mass": mass, **own, **more}
 
 
-def align(a: list, b: list) -> list:
-    """Two expressions into one that covers both.
+def same_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places, rising on both sides, with equal contents."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    return [(x.a + k, x.b + k) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(x.size)]
 
-    They are lists of items [content, repeated, optional, texts, pages, mass]. texts has each run's path and digests in order,
-    0 for a slot; None for a run or an item whose number of repeats differs. pages has the digests of a few of the pages that the
-    item is from, mass the weight of text by path.
-    """
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [both(x, y, met(x[3], y[3])) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+
+def align(a: list[dict], b: list[dict]) -> list[dict]:
+    """Two expressions into one that covers both."""
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(both(a[i], b[j], met(a[i][3], b[j][3])))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([*a[i][:2], True, *a[i][3:]])
-            i += 1
-        else:
-            out.append([*b[j][:2], True, *b[j][3:]])
-            j += 1
+    for p, q in [*same_places([x["content"] for x in a], [x["content"] for x in b]), (len(a), len(b))]:
+        out += [x | {"optional": True} for x in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(both(a[p], b[q], met(a[p]["texts"], b[q]["texts"])))
+        i, j = p + 1, q + 1
     return squeeze(out)
 
 
-def squeeze(items: list) -> list:
-    """An optional part next to the same part is a repeat of it, which keeps wrappers short. Its number of repeats differs."""
-    out: list = []
-    for x in items:
-        for back in range(1, min(FOLD, len(out)) + 1):
-            if out[-back][0] == x[0] and (x[2] or out[-back][2]):
-                optional = out[-back][2] and x[2]
-                out[-back] = both(out[-back], x, None)
-                out[-back][1:3] = [True, optional]
-                break
-        else:
-            out.append(list(x))
-    return out
-
+def squeeze(items: list[dict]) -> list[dict]:
+    """An optional part that stands elsewhere too is a repeat of it, whose number of repeats differs.
 
-def expression(page: str | None) -> list:
-    """A page's own expression."""
-    runs: list = []  # path, parent, digests, weight
-    for path, text, parent, weight in slots(page):
-        if runs and runs[-1][0] == path and runs[-1][1] == parent:
-            runs[-1][2].append(digest(text))
-            runs[-1][3] += weight
+    So a wrapper has no more parts than its shortest page and the number of different contents together, whatever the number of pages.
+    """
+    out: list[dict] = []
+    at: dict[str, int] = {}
+    for x in items:
+        k = at.get(x["content"])
+        if k is not None and (x["optional"] or out[k]["optional"]):
+            out[k] = both(out[k], x, None, repeated=True, optional=out[k]["optional"] and x["optional"])
         else:
-            runs.append([path, parent, [digest(text)], weight])
-    name = digest(json.dumps([[r[0], r[2]] for r in runs]))
-    out, at = [], 0
-    for x, size in fold([r[0] for r in runs]):
-        own = runs[at : at + size]
-        at += size
-        mass: dict[str, int] = {}
-        for path, _, _, weight in own:
-            mass[path] = mass.get(path, 0) + weight
-        out.append([json.dumps(x[0] if isinstance(x, list) else [x]), isinstance(x, list) or len(own[0][2]) > 1, False, [[r[0], r[2]] for r in own], [name], mass])
+            at[x["content"]] = len(out)
+            out.append(x)
     return out
 
 
@@ -239,53 +315,91 @@ def paths_in(content) -> list[str]:
     return [content] if isinstance(content, str) else [p for x in content for p in paths_in(x)]
 
 
-def is_constant(item: list) -> bool:
-    """Whether all texts of an item are constants."""
-    return len(item[4]) >= LEAST_PAGES and item[3] is not None and all(texts is not None and 0 not in texts for _, texts in item[3])
+def is_constant(part: dict) -> bool:
+    """Whether all texts of a part are constants."""
+    return len(part["pages"]) >= LEAST_PAGES and part["texts"] is not None and all(texts is not None and 0 not in texts for _, texts in part["texts"])
 
 
-def content_paths(wrapper: list) -> list[str]:
-    """The paths of the slots of a wrapper that hold main text."""
-    paths = sorted({p for item in wrapper for p in paths_in(json.loads(item[0]))})
-    total, within = 0, {}
-    for item in wrapper:
-        if is_constant(item):
-            continue
-        for path, weight in item[5].items():
-            if HIDDEN.isdisjoint(x.rstrip("!?") for x in path.split("/")):
-                total += weight
-                for head in doubtful(path):
-                    within[head] = within.get(head, 0) + weight
-    return [p for p in paths if "!" not in p and all(0 < total <= 2 * within.get(head, 0) for head in doubtful(p))]
+def in_main(path: str) -> bool:
+    return any(x.rstrip("?") in MAIN for x in path.split("/"))
 
 
 def doubtful(path: str) -> list[str]:
-    """The beginnings of a path that end in a label with '?'."""
+    """The beginnings of a path that end in a label with '?' or '#'."""
     parts = path.split("/")
-    return ["/".join(parts[: i + 1]) for i, x in enumerate(parts) if x[-1:] == "?"]
-
-
-def place(path: str, text: int) -> int:
-    return digest(f"{path}\0{text}")
-
-
-def constants(wrapper: list) -> list[int]:
-    """The constants of a wrapper, as digests of path and text."""
-    found: set[int] = set()
-    for item in wrapper:
-        if len(item[4]) >= LEAST_PAGES:
-            found.update(place(path, t) for path, texts in item[3] or () for t in texts or () if t)
-    return sorted(found)
+    return ["/".join(parts[: i + 1]) for i, x in enumerate(parts) if x[-1:] in ("?", "#")]
 
 
-def read(page: str | None, paths: set, fixed: set) -> str:
-    """The text of a page by the wrapper of its host."""
-    return main_text([(p, t) for p, t, *_ in slots(page) if p in paths and not (fixed and place(p, digest(t)) in fixed)])
+def content_paths(wrapper: list[dict]) -> list[str]:
+    """The paths of the slots of a wrapper that hold main text."""
+    paths = sorted({p for part in wrapper for p in paths_in(json.loads(part["content"]))})
+    weights: dict[str, int] = {}
+    for part in wrapper:
+        if not is_constant(part):
+            for path, weight in part["mass"].items():
+                if "!" not in path:
+                    weights[path] = weights.get(path, 0) + weight
+    kinds = {"main": in_main, "title": lambda p: p.split("/")[-1] == "h1", "all": lambda p: True}
+    share: dict[str, dict[str, int]] = {}  # of each kind, by the beginning of a path; all of it under ""
+    for kind, fits in kinds.items():
+        share[kind] = {"": 0}
+        for path, weight in weights.items():
+            if fits(path):
+                for head in ("", *doubtful(path)):
+                    share[kind][head] = share[kind].get(head, 0) + weight
+
+    def is_text(head: str) -> bool:
+        kind = next((k for k in kinds if share[k][""] > 0), None)
+        return kind is not None and (kind != "all" or not head.endswith("#")) and 2 * share[kind].get(head, 0) >= share[kind][""]
+
+    return [p for p in paths if "!" not in p and all(map(is_text, doubtful(p)))]
+
+
+def reader(wrapper: list[dict]) -> dict:
+    """What pages are read by: paths of main text, and the parts of the wrapper with their constants, if it has any.
+
+    Constants inside article and main parts count only where they are less than half of these parts' text: pages that
+    share more are copies of one article, not of a template.
+    """
+    kept = set(content_paths(wrapper))
+    main = [(sum(w for p, w in x["mass"].items() if in_main(p)), is_constant(x)) for x in wrapper]
+    copies = 2 * sum(w for w, c in main if c) >= sum(w for w, _ in main)
+
+    def constants(part: dict) -> list | None:
+        if len(part["pages"]) < LEAST_PAGES or part["texts"] is None:
+            return None
+        own = [[] if texts is None or (copies and in_main(path)) else texts for path, texts in part["texts"]]
+        return own if any(any(x) for x in own) else None
+
+    parts = [[x["content"], constants(x)] for x in wrapper]
+    return {"paths": sorted(kept), "parts": parts if any(c for _, c in parts) else []}
+
+
+def read(page: str | None, rules: dict) -> str:
+    """The text of a page, aligned to the wrapper of its host."""
+    runs = runs_of(page)
+    paths, fixed = set(rules["paths"]), rules["parts"]
+    varying = [(r[0], t) for r in runs for t in r[2] if r[0] in paths]
+    if fixed:
+        own = parts_of(runs)
+        matched = dict(same_places([x[0] for x in own], [x[0] for x in fixed]))
+        first: dict[str, int] = {}
+        for k, (content, _) in enumerate(fixed):
+            first.setdefault(content, k)
+        left = []
+        for i, (content, _, part) in enumerate(own):
+            k = matched.get(i, first.get(content))
+            same = (fixed[k][1] if k is not None else None) or [[]] * len(part)
+            for run, texts in zip(part, same if len(same) == len(part) else [[]] * len(part), strict=True):
+                if run[0] in paths:
+                    left += [(run[0], t) for j, t in enumerate(run[2]) if not (len(texts) == len(run[2]) and texts[j] == digest(t))]
+        varying = left or varying
+    return main_text(varying)
 
 
 def main_text(found: list[tuple[str, str]]) -> str:
-    """The text of a page from its (path, text) of open slots: those in an article or main part where this page has them, else all."""
-    inside = [t for p, t in found if not MAIN.isdisjoint(p.split("/"))]
+    """The text of a page from its (path, text) of slots: those in an article or main part where this page has them, else all."""
+    inside = [t for p, t in found if in_main(p)]
     return "\n".join(inside or [t for _, t in found])
 
 
@@ -302,9 +416,10 @@ def aligned(kinds: dict[str, list]) -> list:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """pages (url, html) to host, paths (main text), constants, wrapper (JSON): every page of a host is aligned.
+    """pages (url, html) to host, wrapper (JSON): every page of a host is aligned.
 
-    Tasks align what they read, then groups of tasks, then hosts, so a host with a third of all pages is shared out.
+    Tasks align what they read, then groups of tasks, then hosts, so a host with a third of all pages is shared out. A task hands
+    its wrappers on when they hold HELD texts and parts.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -314,25 +429,28 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def first(batches):
         from pyspark import TaskContext
 
-        held: dict[str, dict[str, list]] = {}  # by host and the order of its parts
+        found: dict[str, dict[str, list]] = {}  # by host and the order of its parts
         salt = TaskContext.get().partitionId() % 64
 
         def rows():
-            made = [json.dumps(aligned(kinds)) for kinds in held.values()]
-            out_rows = pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array(made)], schema=out)
-            held.clear()
+            made = [json.dumps(aligned(kinds)) for kinds in found.values()]
+            out_rows = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([salt] * len(found), pa.int32()), pa.array(made, pa.string())], schema=out)
+            found.clear()
             return out_rows
 
-        count = 0
+        size = 0
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = expression(page)
-                kinds, key = held.setdefault(host, {}), json.dumps([x[0] for x in own])
-                count += key not in kinds
-                kinds[key] = align(kinds[key], own) if key in kinds else own
-            if count > 2000:
-                yield rows()
-                count = 0
+                kinds, key = found.setdefault(host, {}), json.dumps([x["content"] for x in own])
+                if key in kinds:
+                    own = align(kinds[key], own)
+                else:
+                    size += sum(1 + sum(len(t) for _, t in x["texts"]) for x in own)
+                kinds[key] = own
+                if size > HELD:
+                    yield rows()
+                    size = 0
         yield rows()
 
     def merged(rows: pa.Table) -> pa.Table:
@@ -343,32 +461,33 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(first, ddl)
     grouped = parts.groupBy("host", "salt").applyInArrow(merged, ddl)
-    whole = grouped.groupBy("host").applyInArrow(merged, ddl)
-
-    def chosen(batch: pa.RecordBatch) -> dict:
-        made = [json.loads(w) for w in batch.column(1).to_pylist()]
-        return {"host": batch.column(0), "paths": list(map(content_paths, made)), "constants": list(map(constants, made)), "wrapper": batch.column(1)}
-
-    return map_batches(whole.select("host", "wrapper"), chosen, "host string, paths array<string>, constants array<long>, wrapper string")
+    return grouped.groupBy("host").applyInArrow(merged, ddl).select("host", "wrapper")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) to page_id, url, text, n_chars; one row for every input row.
 
     A null or empty page has an empty text. Pages without a readable host are one host of their own. Repeated rows are
-    read each. Broken markup is read as far as it goes; nothing is cut off. Other columns are not read.
+    read each. Broken markup is read as far as it goes; nothing is cut off. Other columns are not read. An empty table gives none.
     """
-    rules = stage(wrappers(pages).select("host", "paths", "constants"), "html-wrappers")
+
+    def chosen(batch: pa.RecordBatch) -> dict:
+        return {"host": batch.column(0), "rules": [json.dumps(reader(json.loads(w))) for w in batch.column(1).to_pylist()]}
+
+    rules = stage(map_batches(wrappers(pages), chosen, "host string, rules string"), "html-wrappers")
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def each(batch: pa.RecordBatch) -> dict:
+        known: dict[str, dict] = {}
         texts = []
-        for page, paths, fixed in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-            texts.append(read(page, set(paths.as_py() or ()), set(fixed.as_py() or ())))
+        for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if own not in known:
+                known[own] = json.loads(own)
+            texts.append(read(page, known[own]))
         return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    joined = hosted.join(rules, "host", "left").select("page_id", "url", "html", "paths", "constants")
+    joined = hosted.join(rules, "host").select("page_id", "url", "html", "rules")
     return map_batches(joined, each, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
