@@ -1,20 +1,25 @@
 """Quality rules: fixed limits, then robust multivariate outliers by language and source.
 
-A vector of transformed statistics is made for each text. For each group of language and source, the minimum covariance
-determinant estimate is sought by concentration steps: from the coordinate-wise medians and median deviations, the
-half of the rows nearest by Mahalanobis distance gives the next mean and covariance, which never raises the
-determinant, so up to nearly half of a group may be outliers. Every step is an aggregation over all rows of the group, so groups of any size are estimated whole.
-Texts too far from the final estimate are rejected.
+A vector of transformed statistics is made for each text. For each group of language and source, for each language and for
+all texts, the minimum covariance determinant estimate is sought by concentration steps: the half of the rows nearest by
+Mahalanobis distance gives the next mean and covariance, which never raises the determinant, until it stops falling. Each
+group starts from three robust estimates and keeps the result with the smallest determinant; up to nearly half of a
+group may be outliers. A group's estimate is drawn towards that of its language, and this towards that of all, by their numbers
+of rows. Every step is an aggregation over all rows of the groups, so groups of any size are estimated whole. Texts too
+far from the estimate are rejected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, table
+from ..operators.connections import drop_written, written
+from .common import has_rows, map_batches, stage, table
 
 #: What a coordinate may vary at least, as a standard deviation; keeps the covariance regular where all rows are equal.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.05, "x_punct": 0.06, "x_upper": 0.06, "x_lines": 0.12, "x_repeat": 0.12}
@@ -23,9 +28,12 @@ SHARE = 0.5
 CHI2_SHARE = 5.3481
 #: What brings the covariance of the nearest rows to that of all: SHARE over the chi-squared distribution, with two degrees more, at CHI2_SHARE.
 CONSISTENCY = 1.7845
-STEPS = 3
-CUTOFF = 80.0
-LEAST_ROWS = 40
+#: Concentration stops when no determinant falls by more than this share, or after so many steps.
+FALL, STEPS = 0.01, 15
+#: Rows that the estimate of the wider group counts for.
+PRIOR = 40
+#: Quantile 0.999 of the chi-squared distribution with as many degrees of freedom as features.
+CUTOFF = 22.458
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -65,18 +73,17 @@ def statistics(text: str | None) -> tuple:
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the statistics of every row."""
+def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns of keep and the statistics of every row."""
+    read = docs.select("doc_id", "text", "lang", "source", *keep)
 
     def each(batch: pa.RecordBatch) -> dict:
         rows = list(zip(*map(statistics, batch.column(1).to_pylist()), strict=True)) or [[]] * (len(COLUMNS) + len(FEATURES))
-        return {"doc_id": batch.column(0), "lang": batch.column(2), "source": batch.column(3)} | dict(zip([*COLUMNS, *FEATURES], rows, strict=True))
+        return dict(zip(("doc_id", "text", "lang", "source", *keep), batch.columns, strict=True)) | dict(zip([*COLUMNS, *FEATURES], rows, strict=True))
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    ddl = ", ".join([f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source")] + [f"{c} long" for c in COLUMNS] + [f"{c} double" for c in FEATURES])
-    out = map_batches(docs.select("doc_id", "text", "lang", "source"), each, ddl)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "text"] + [f"{c} long" for c in COLUMNS] + [f"{c} double" for c in FEATURES])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    return map_batches(read, each, ddl).withColumn("base_failed", failed)
 
 
 def distance(mean: str, inverse: str) -> Column:
@@ -86,70 +93,139 @@ def distance(mean: str, inverse: str) -> Column:
     return sum((gap[i] * gap[j] * F.col(inverse)[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
 
 
-def inverted(moments: DataFrame) -> DataFrame:
-    """Groups' sums (n, s<i>, q<i>_<j>) to estimates: grp, mean, inverse, determinant."""
-    p = len(FEATURES)
-    least = np.diag(np.square(list(FEATURES.values())))
+P = len(FEATURES)
+LEAST = np.diag(np.square(list(FEATURES.values())))
+ESTIMATE = "mean array<double>, cov array<double>, inverse array<double>, determinant double"
 
-    def each(batch: pa.RecordBatch) -> dict:
-        rows = batch.to_pylist()
-        mean = [np.array([r[f"s{i}"] for i in range(p)]) / r["n"] for r in rows]
-        cov = []
-        for r, m in zip(rows, mean, strict=True):
-            c = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / r["n"] - np.outer(m, m)
-            cov.append(CONSISTENCY * c + least)
-        return {"grp": [r["grp"] for r in rows], "mean": [m.tolist() for m in mean], "inverse": [np.linalg.inv(c).ravel().tolist() for c in cov], "determinant": [float(np.linalg.det(c)) for c in cov]}
 
-    return map_batches(moments, each, "grp string, mean array<double>, inverse array<double>, determinant double")
+def moments(values: list[Column]) -> list[Column]:
+    """Sums and products of columns, for matrix()."""
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(values)]
+    return [F.count("*").alias("n"), *sums, *(F.sum(a * b).alias(f"q{i}_{j}") for i, a in enumerate(values) for j, b in enumerate(values) if i <= j)]
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """rows (grp, FEATURES) to one row per group: grp, mean, inverse, determinant, scale.
+def matrix(row: dict, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.array([row[f"s{i}"] for i in range(P)]) / row["n"]
+    cov = np.array([[row[f"q{min(i, j)}_{max(i, j)}"] for j in range(P)] for i in range(P)]) / row["n"]
+    return mean, cov - np.outer(mean, mean) if centred else cov
 
-    scale brings the distance at quantile SHARE to that of normal data, where it is larger.
-    """
+
+def estimate(key: dict, mean: np.ndarray, cov: np.ndarray) -> dict:
+    return key | {"mean": mean.tolist(), "cov": cov.ravel().tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(), "determinant": float(np.linalg.det(cov))}
+
+
+def per_row(rows: DataFrame, each, key: str, schema: str = ESTIMATE) -> DataFrame:
+    """each(row as a dict) gives a list of rows; for small tables of groups."""
+
+    def batch(own: pa.RecordBatch) -> dict:
+        made = [x for row in own.to_pylist() for x in each(row)]
+        return {c: [x[c] for x in made] for c in (f.split()[0] for f in f"{key}, {schema}".split(", "))}
+
+    return map_batches(rows, batch, f"{key}, {schema}")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three robust starts for each group (grp): medians with median deviations, then these with the correlation of the rows'
+    hyperbolic tangents, then with that of their directions."""
     names = list(FEATURES)
-    p = len(names)
     centre = rows.groupBy("grp").agg(*(F.percentile_approx(c, 0.5, 2000).alias(f"m_{c}") for c in names))
     centre = stage(centre, "quality-medians")
     spread = rows.join(centre, "grp").groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000).alias(f"d_{c}") for c in names))
-    start = centre.join(spread, "grp").select("grp", F.array(*(F.col(f"m_{c}") for c in names)).alias("mean"), F.array(*(1 / (F.pow(1.4826 * F.col(f"d_{c}"), 2) + FEATURES[c] ** 2) if i == j else F.lit(0.0) for i, c in enumerate(names) for j in range(p))).alias("inverse"))
-    now = stage(start, "quality-start")
+    own = stage(centre.join(spread, "grp"), "quality-spread")
+    z = [(F.col(c) - F.col(f"m_{c}")) / F.sqrt(F.pow(1.4826 * F.col(f"d_{c}"), 2) + FEATURES[c] ** 2) for c in names]
+    size = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
+    shape = [*moments([F.tanh(x) for x in z]), *(F.sum(z[i] * z[j] / (size * size)).alias(f"u{i}_{j}") for i in range(P) for j in range(i, P))]
+    shapes = own.join(rows.join(own, "grp").groupBy("grp").agg(*shape), "grp")
+
+    def each(row: dict) -> list[dict]:
+        mean = np.array([row[f"m_{c}"] for c in names])
+        scale = np.array([np.hypot(1.4826 * row[f"d_{c}"], FEATURES[c]) for c in names])
+        directions = np.array([[row[f"u{min(i, j)}_{max(i, j)}"] for j in range(P)] for i in range(P)])
+        out = []
+        for k, kind in enumerate((np.eye(P), matrix(row)[1], directions)):
+            deviation = np.sqrt(np.diag(kind) + 1e-6)
+            correlation = (kind + 1e-6 * np.eye(P)) / np.outer(deviation, deviation)
+            out.append(estimate({"grp": row["grp"], "start": k}, mean, correlation * np.outer(scale, scale)))
+        return out
+
+    return stage(per_row(shapes, each, "grp string, start int"), "quality-starts")
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """rows (grp, FEATURES) to one row per group: grp, mean, cov, inverse, determinant of the half with the smallest determinant found."""
+    now, names = starts(rows), list(FEATURES)
+    spark, mark = rows.sparkSession, written()
+
+    def each(row: dict) -> list[dict]:
+        mean, cov = matrix(row)
+        return [estimate({"grp": row["grp"], "start": row["start"]}, mean, CONSISTENCY * cov + LEAST)]
+
     for k in range(STEPS):
-        far = rows.join(now, "grp").withColumn("d", distance("mean", "inverse"))
-        limit = stage(far.groupBy("grp").agg(F.percentile_approx("d", SHARE, 2000).alias("limit")), f"quality-limit{k}")
-        near = far.join(limit, "grp").where("d <= limit")
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)] + [F.sum(F.col(a) * F.col(b)).alias(f"q{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-        now = stage(inverted(near.groupBy("grp").agg(F.count("*").alias("n"), *sums)), f"quality-step{k}")
-    far = rows.join(now, "grp").withColumn("d", distance("mean", "inverse"))
-    scale = far.groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx("d", SHARE, 2000) / CHI2_SHARE).alias("scale"))
-    return stage(now.join(scale, "grp"), "quality-estimates")
+        far = rows.join(now, "grp").select("grp", "start", *names, distance("mean", "inverse").alias("d"))
+        limit = stage(far.groupBy("grp", "start").agg(F.percentile_approx("d", SHARE, 2000).alias("limit")), "quality-limit")
+        near = far.join(limit, ["grp", "start"]).where("d <= limit")
+        after = stage(per_row(near.groupBy("grp", "start").agg(*moments([F.col(c) for c in names])), each, "grp string, start int"), "quality-step")
+        before, now = now.select("grp", "start", F.col("determinant").alias("was")), after
+        if k and not has_rows(after.join(before, ["grp", "start"]).where(F.col("determinant") < (1 - FALL) * F.col("was"))):
+            break
+        drop_written(spark, mark, keep=1)
+    return now.groupBy("grp").agg(F.min_by(F.struct("mean", "cov"), F.struct("determinant", "start")).alias("e")).select("grp", "e.*")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame) -> DataFrame:
+    """rows (lang, source, FEATURES) to one row per language and source: mean, inverse, scale.
+
+    scale brings the distance at quantile SHARE to that of normal data, where it is larger.
+    """
+    names = list(FEATURES)
+    grp = {"own": F.concat_ws("\1", F.lit("0"), "lang", "source"), "lang": F.concat_ws("\1", F.lit("1"), "lang"), "all": F.lit("2")}
+    found = stage(concentrated(rows.select(F.explode(F.array(*grp.values())).alias("grp"), *names)), "quality-concentrated")
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n_own"))
+    groups = groups.join(groups.groupBy("lang").agg(F.sum("n_own").alias("n_lang")), "lang")
+    for level, key in grp.items():
+        groups = groups.join(found.select(F.col("grp").alias(f"at_{level}"), F.col("mean").alias(f"mean_{level}"), F.col("cov").alias(f"cov_{level}")), key == F.col(f"at_{level}"))
+
+    def each(row: dict) -> list[dict]:
+        mean, cov = np.array(row["mean_all"]), np.array(row["cov_all"])
+        for level in ("lang", "own"):
+            share = row[f"n_{level}"] / (row[f"n_{level}"] + PRIOR)
+            mean = share * np.array(row[f"mean_{level}"]) + (1 - share) * mean
+            cov = share * np.array(row[f"cov_{level}"]) + (1 - share) * cov
+        return [estimate({"lang": row["lang"], "source": row["source"], "n": row["n_own"]}, mean, cov.reshape(P, P))]
+
+    drawn = stage(per_row(groups, each, "lang string, source string, n long"), "quality-drawn")
+    far = rows.join(drawn, ["lang", "source"]).groupBy("lang", "source", "n").agg(F.percentile_approx(distance("mean", "inverse"), SHARE, 2000).alias("middle"))
+    scale = F.pow(F.greatest(F.lit(1.0), F.col("middle") / CHI2_SHARE), F.col("n") / (F.col("n") + PRIOR))
+    return stage(drawn.join(far.select("lang", "source", scale.alias("scale")), ["lang", "source"]).select("lang", "source", "mean", "inverse", "scale"), "quality-estimates")
+
+
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) to doc_id, COLUMNS, base_failed, distance, kept; one row per input row.
 
-    Null texts are empty and fail the limits, as short texts do. A null language or source is a value of its own. Sources with
-    under LEAST_ROWS rows are estimated together by language, and rows of a language with fewer still are kept unless
-    the limits reject them. Texts that the limits reject take no part in the estimates. Repeated rows count each.
+    Null texts are empty and fail the limits, as short texts do. A null language or source is a value of its own. Texts that the
+    limits reject take no part in the estimates. Repeated rows count each. keep: more columns to pass on; others are not read.
+    An empty table gives no rows.
     """
-    stats = with_statistics(docs).withColumns({"lang": F.coalesce("lang", F.lit("\0")), "source": F.coalesce("source", F.lit("\0"))})
+    stats = with_statistics(docs, keep).withColumns({"lang": F.coalesce("lang", F.lit("\0")), "source": F.coalesce("source", F.lit("\0"))})
     stats = stage(stats, "quality-statistics")
-    sizes = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    sizes = stage(sizes.select("lang", "source", F.when(F.col("rows") >= LEAST_ROWS, F.concat_ws("\1", "lang", "source")).otherwise(F.concat_ws("\1", "lang", F.lit("\0\0"))).alias("grp"), "rows"), "quality-sizes")
-    pooled = sizes.groupBy("grp").agg(F.sum("rows").alias("all")).where(F.col("all") >= LEAST_ROWS).select("grp")
-    groups = stage(sizes.join(pooled, "grp").select("lang", "source", "grp"), "quality-groups")
-    grouped = stage(stats.join(groups, ["lang", "source"], "left"), "quality-grouped")
-    found = estimates(grouped.where("not base_failed and grp is not null").select("grp", *FEATURES))
-    far = grouped.join(found, "grp", "left").withColumn("distance", distance("mean", "inverse") / F.col("scale"))
+    found = estimates(stats.where("not base_failed").select("lang", "source", *FEATURES))
+    far = stats.join(found, ["lang", "source"], "left").withColumn("distance", distance("mean", "inverse") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return far.withColumn("kept", kept).select("doc_id", *COLUMNS, "base_failed", "distance", "kept")
+    return far.withColumn("kept", kept).select("doc_id", *COLUMNS, "base_failed", "distance", "kept", *keep)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns; rows with an equal doc_id share their verdict if one is rejected."""
-    bad = stage(judge(docs).where("not kept").select("doc_id").distinct(), "quality-rejected")
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """The rows of docs that are kept, with their columns.
+
+    A verdict belongs to a text with its language and source: rows are told apart by doc_id and digests of these, so rows of one
+    doc_id, null included, are judged each. Repeated rows share their verdict.
+    """
+    digests = ("h1 of text", "h2 of text")
+    marked = docs.withColumns(dict(zip(digests, (F.xxhash64("text", "lang", "source"), F.crc32(F.col("text").cast("binary"))), strict=True)))
+    key = ["doc_id", *digests]
+    bad = stage(judge(marked, digests).where("not kept").select(*key).distinct(), "quality-rejected")
+    same = reduce(lambda x, y: x & y, (marked[c].eqNullSafe(bad[c]) for c in key))
+    return marked.join(bad, same, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
