@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore": op3_maxscore.ORACLE, "op7_chat": op7_chat.ORACLE}
+    return {"op3_maxscore": op3_maxscore.ORACLE, "op4_licenses": op4_licenses.ORACLE, "op7_chat": op7_chat.ORACLE}
