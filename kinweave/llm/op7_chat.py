@@ -7,7 +7,7 @@ other speakers are users under their names, and system turns stay what they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -20,29 +20,35 @@ def rotate(turns: DataFrame) -> DataFrame:
 
     mask holds start-end pairs of character places, end excluded, comma-joined. A null role is the speaker 'unknown', a null text
     an empty one, a null turn comes first; turns with equal numbers are ordered by role and text; repeated rows are repeated
-    turns. Rows without conv_id are one dialogue. A dialogue of system turns alone has no participant and no row. Other
-    columns are not read. A row holds one dialogue, the unit of output, so memory follows its length.
+    turns. Nothing says which rows without conv_id belong together, so each is a dialogue of one turn. A dialogue of system turns
+    alone has no participant and no row. Other columns are not read. Places are running sums, so work follows the text; a row
+    of the result is one rendered dialogue, the unit of output, so memory follows its length.
     """
-    row = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    talks = row.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("talk"))
-    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("talk", lambda t: t["role"]), lambda r: r != SYSTEM)))
-    seen = talks.select("conv_id", "talk", F.explode(speakers).alias("perspective"))
-    part = lambda t: F.when(t["role"] == F.col("perspective"), "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user "), t["role"]))
-    pieces = F.transform("talk", lambda t: F.struct(F.concat(F.lit("<|"), part(t), F.lit("|>\n")).alias("head"), t["text"].alias("body"), (t["role"] == F.col("perspective")).alias("own")))
-    shown = seen.select("conv_id", "perspective", pieces.alias("pieces"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.array(F.concat(start.cast("string"), F.lit("-"), end.cast("string")))
-        return F.struct((end + 1).alias("at"), F.concat(acc["spans"], F.when(p["own"], span).otherwise(F.array().cast("array<string>"))).alias("spans"))
-
-    spans = F.aggregate("pieces", zero, step, lambda acc: acc["spans"])
-    return shown.select(
-        "conv_id", "perspective", F.size("pieces").cast("long").alias("n_turns"), F.size(spans).cast("long").alias("n_masked"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"), F.array_join(spans, ",").alias("mask"),
-    )
+    whole = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    known = whole.where("conv_id is not null")
+    speakers = known.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("perspective")).distinct()
+    seen = rendered(known.join(speakers, "conv_id"))
+    order = Window.partitionBy("conv_id", "perspective").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = seen.withColumn("end", F.sum(F.length("head") + F.length("text") + 1).over(order) - 1)
+    piece = F.sort_array(F.collect_list(F.struct("end", "own", F.length("text").alias("size"), F.concat("head", "text", F.lit("\n")).alias("shown"))))
+    talks = placed.groupBy("conv_id", "perspective").agg(piece.alias("talk"))
+    spans = F.transform(F.filter("talk", lambda t: t["own"]), lambda t: span(t["end"] - t["size"], t["end"]))
+    out = talks.select("conv_id", "perspective", F.size("talk").cast("long").alias("n_turns"), F.size(spans).cast("long").alias("n_masked"), F.array_join(F.transform("talk", lambda t: t["shown"]), "").alias("text"), F.array_join(spans, ",").alias("mask"))
+    one = F.lit(1).cast("long")
+    single = rendered(whole.where((F.col("conv_id").isNull()) & (F.col("role") != SYSTEM)).withColumn("perspective", F.col("role")))
+    start = F.length("head")
+    return out.union(single.select("conv_id", "perspective", one, one, F.concat("head", "text", F.lit("\n")), span(start, start + F.length("text"))))
+
+
+def rendered(turns: DataFrame) -> DataFrame:
+    """Turns with perspective to turns with own, whether the assistant's, and head, the line before the content."""
+    own = F.col("role") == F.col("perspective")
+    part = F.when(own, "assistant").when(F.col("role") == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user "), "role"))
+    return turns.withColumns({"own": own, "head": F.concat(F.lit("<|"), part, F.lit("|>\n"))})
+
+
+def span(start: Column, end: Column) -> Column:
+    return F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 s AS (
   SELECT t.conv_id, p.perspective, t.turn, t.role, t.text, t.role = p.perspective AS own,
     '<|' || CASE WHEN t.role = p.perspective THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user ' || t.role END || '|>' || chr(10) AS head
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM t JOIN p ON t.conv_id = p.conv_id
 ),
 placed AS (
   SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS start FROM s
@@ -64,4 +70,6 @@ SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (own) AS n_mas
   string_agg(head || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
   coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(text) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
 FROM placed GROUP BY conv_id, perspective
+UNION ALL
+SELECT conv_id, role, 1, 1, '<|assistant|>' || chr(10) || text || chr(10), '14-' || CAST(14 + length(text) AS BIGINT) FROM t WHERE conv_id IS NULL AND role <> 'system'
 """
