@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import held, map_batches, table, tokenizer_path
 
-#: Pre-tokens in one generation of the cache; it holds two.
-CACHE = 500_000
+#: Pre-tokens in one generation of the cache; it holds two. Longer ones, which may be whole texts, are not held.
+CACHE, HELD_CHARS = 500_000, 64
 #: Bits of a rank that a level of the bitmap resolves; two levels hold 2^18 ranks.
 LEVEL = 9
 LOW = (1 << LEVEL) - 1
@@ -94,7 +94,8 @@ class Cache(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = array("I", merge(piece.encode(), self.ranks)).tobytes()
-        self[piece] = ids
+        if len(piece) <= HELD_CHARS:
+            self[piece] = ids
         return ids
 
     def turn(self) -> None:
@@ -134,7 +135,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     """docs (doc_id, text, ...) to doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (binary) if asked for.
 
     A null text is an empty one, without tokens. Special tokens in a text are ordinary text. One row for every input row,
-    repeated ones too; other columns are not read. Nothing is shuffled.
+    repeated ones too; other columns are not read. An empty table gives no rows. Nothing is shuffled.
     """
 
     def each(batch: pa.RecordBatch) -> dict:

@@ -16,6 +16,8 @@ OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
 MARKS = ",.;:!?"
 #: Entries of each cache; a dict of up to 2^20 * 2 / 3 takes half the room of a larger one.
 PIECES, CORES = 640_000, 640_000
+#: Longer pieces, which may be whole texts, are forgotten after the batch.
+HELD_CHARS = 64
 
 
 class Encoder:
@@ -39,7 +41,11 @@ class Encoder:
         if new:
             self._learn(new)
         get = self.pieces.__getitem__
-        return [b"".join(map(get, own)) for own in cut]
+        out = [b"".join(map(get, own)) for own in cut]
+        for piece in new:
+            if len(piece) > HELD_CHARS:
+                del self.pieces[piece]
+        return out
 
     def _learn(self, new: set[str]) -> None:
         parts = {}
@@ -61,6 +67,9 @@ class Encoder:
         pieces = self.pieces
         for piece, own in parts.items():
             pieces[piece] = cores[own[0]] + cores[own[1]] if len(own) == 2 else cores[own[0]]
+        for core in unseen:
+            if len(core) > HELD_CHARS:
+                del cores[core]
 
 
 def encoder(path: str) -> Encoder:
