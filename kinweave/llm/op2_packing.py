@@ -12,13 +12,14 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import pa_schema, small_batches, stage, table, tokenizer_path
+from .common import pa_schema, small_batches, table, tokenizer_path
 from .wordpiece import encoder
 
 END_ID = 2
+#: Bits of a sequence_id for the task and for the piece within it; the bits above hold the power of two.
+TASK_BITS, SLOT_BITS = 24, 33
 
 
 def pieces_of(n: int, longest: int) -> list[tuple[int, int]]:
@@ -36,40 +37,33 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, with_ids: bool =
     and ids (little-endian unsigned 32-bit) if asked for.
 
     longest is a power of two. A null text is an empty one: its only token is the end id. Repeated rows are packed
-    each for itself. sequence_id counts from 0 without gaps, bucket by bucket, shortest first; it follows from the order
-    in which Spark deals out the input. Other columns are not read.
+    each for itself. Other columns are not read. An empty table gives no rows. sequence_id is unique and orders sequences by bucket,
+    shortest first: it holds the power of two, the task and the place among the task's pieces of that length. So nothing is shuffled
+    or counted first, and a task that runs again gives the same ids.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     spark = docs.sparkSession
     small_batches(spark)
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, slot long" + ", ids binary" * with_ids
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     out = pa_schema(spark, ddl)
     end = struct.pack("<I", END_ID)
 
     def cut(batches):
-        part, slots, encode = TaskContext.get().partitionId(), [0] * 64, encoder(tokenizer).encode
+        task, slots, encode = TaskContext.get().partitionId() << SLOT_BITS, [0] * 64, encoder(tokenizer).encode
         for batch in batches:
             rows = {f.name: [] for f in out}
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for start, size in pieces_of(len(ids) // 4, longest):
                     own, bucket = ids[4 * start : 4 * (start + size)], size.bit_length() - 1
-                    values = (doc, start, size, zlib.crc32(own), len(ids) // 4, bucket, part, slots[bucket], own)
+                    values = (doc, start, size, zlib.crc32(own), len(ids) // 4, bucket << TASK_BITS + SLOT_BITS | task | slots[bucket], 0, own)
                     for column, v in zip(rows.values(), values, strict=False):
                         column.append(v)
                     slots[bucket] += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in out], schema=out)
 
-    pieces = stage(docs.select("doc_id", "text").mapInArrow(cut, ddl), "packing-pieces")
-    counts = pieces.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    within = counts.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n"))
-    totals = within.groupBy("bucket").agg(F.sum("n").alias("all"))  # a row for each bit of the longest length
-    buckets = totals.withColumn("below", F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).drop("all")
-    base = within.join(F.broadcast(buckets), "bucket").select("bucket", "part", (F.col("before") + F.col("below")).alias("base"))
-    joined = pieces.join(stage(base, "packing-base"), ["bucket", "part"])
-    more = ["ids"] if with_ids else []
-    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("slot")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *more)
+    return docs.select("doc_id", "text").mapInArrow(cut, ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
