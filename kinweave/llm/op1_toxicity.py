@@ -101,20 +101,19 @@ def train(examples: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarr
     return kept, w[kept]
 
 
-def fit(labelled: DataFrame, rows: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """labelled (doc_id, text, toxic), a bounded sample of about so many rows. Returns weights by number, at most dim + 1 of them."""
-    out = pa_schema(labelled.sparkSession, "feature int, weight double, shard int")
-
-    def shard(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
-        features = Features(s.dim)
-        examples = [(np.unique(features.of(t)).astype(np.int32), y) for t, y in zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True)]
-        kept, w = train(examples, s)
-        return pa.table([pa.array(kept, pa.int32()), pa.array(w), pa.array(np.full(len(kept), rows["shard"][0].as_py()), pa.int32())], schema=out)
-
-    dealt = labelled.select("doc_id", "text", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("turn"))
+def fit(examples: DataFrame, rows: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """examples (doc_id, features, toxic), a bounded sample of about so many rows. Returns weights by number, at most dim + 1 of them."""
+    ddl = "feature int, weight double, shard int"
+    out = pa_schema(examples.sparkSession, ddl)
+
+    def shard(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+        kept, w = train([(np.array(f, np.int32), y) for f, y in zip(own["features"].to_pylist(), own["toxic"].to_pylist(), strict=True)], s)
+        return pa.table([pa.array(kept, pa.int32()), pa.array(w), pa.array(np.full(len(kept), own["shard"][0].as_py()), pa.int32())], schema=out)
+
+    dealt = examples.select("doc_id", "features", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("turn"))
     dealt = dealt.withColumn("shard", F.pmod("turn", F.lit(max(1, round(rows / s.shard_rows)))).cast("int"))
-    models = dealt.groupBy("shard").applyInArrow(shard, "feature int, weight double, shard int")
+    models = dealt.groupBy("shard").applyInArrow(shard, ddl)
     merged = models.groupBy("feature").agg(F.avg("weight").alias("weight"))  # bias included
     got = merged.toPandas().sort_values("feature")
     return got["feature"].to_numpy(np.int64), got["weight"].to_numpy(np.float64)
@@ -125,13 +124,24 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, int]:
-    """Labelled rows that are not held out, about s.sample of them, picked by a hash of doc_id; and about how many."""
+    """Labelled rows that are not held out, about s.sample of them, picked by a hash of doc_id; and about how many.
+
+    Texts are hashed where they are read, so that numbers alone are shuffled. A doc_id of several documents gives one example.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stage(known, "toxicity-labels")
     rows = known.count()
     share = min(1.0, s.sample / max(1, rows))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), min(rows, s.sample)  # s.sample rows of two numbers
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # s.sample rows of two numbers
+
+    def each(batch: pa.RecordBatch) -> dict:
+        features = held(("features", s.dim), lambda: Features(s.dim))
+        return {"doc_id": batch.column(0), "features": [np.unique(features.of(t)) for t in batch.column(1).to_pylist()], "toxic": batch.column(2)}
+
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    hashed = map_batches(texts.select("doc_id", "text", "toxic"), each, f"doc_id {kinds['doc_id']}, features array<int>, toxic {kinds['toxic']}")
+    return hashed.groupBy("doc_id").agg(F.min("features").alias("features"), F.max("toxic").alias("toxic")), min(rows, s.sample)
 
 
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
@@ -139,7 +149,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
 
     labels (doc_id, toxic 0 or 1): rows held out, null ones and ones without a document teach nothing; of repeated ones the
     largest counts. An empty or null text gets the score of the bias. Without labels every score is 0. A null doc_id is not
-    held out and is scored.
+    held out and is scored. Columns of docs that are named as those of the result are not passed on. An empty table gives no rows.
     """
     spark, keep = docs.sparkSession, keep or []
     numbers, values = fit(*training_sample(docs, labels, settings), settings)
