@@ -64,14 +64,63 @@ def payload_fact(payload: Column, field: str, nested: str = "deal") -> Column:
     return F.struct((at_top | at_inner).alias("present"), F.when(at_top, top).otherwise(inner).alias("value"))
 
 
-def amount_state(present: Column, value: Column) -> Column:
-    number = F.regexp_replace(value, ",", "").try_cast("double")
-    return F.when(~present, "unavailable").when(value.isNull() | (F.trim(value) == ""), "missing").when(number.isNull() | F.isnan(number) | (number < 0), "invalid").otherwise("known")
+#: Currencies that amounts are read in, and the names that a deal's fields go by, first name first.
+CURRENCIES = ("SGD", "USD", "MYR")
+FIELDS = {
+    "amount": ("amount", "opportunity", "OPPORTUNITY"),
+    "currency": ("currency", "currency_id", "CURRENCY_ID"),
+    "assigned": ("ASSIGNED_BY_ID", "assigned_by_id"),
+    "contacts": ("CONTACT_IDS", "CONTACT_ID"),
+}
+
+
+def json_kind(v: Column) -> Column:
+    """The type of a variant: object, array, string, boolean, integer, number, null; null where there is no value."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(F.is_variant_null(v), "null").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
+        .when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind.isNotNull(), "number")
+    )
+
+
+def first_field(v: Column, names: tuple[str, ...], nested: str = "deal") -> Column:
+    """The first of some keys that an object has, then that a nested object has. A key that holds null is had."""
+    return F.coalesce(*(F.try_variant_get(v, f"$.{prefix}{n}", "variant") for prefix in ("", f"{nested}.") for n in names))
+
+
+def as_text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
-def currency_status(present: Column, value: Column, supported: tuple[str, ...] = ("SGD",)) -> Column:
-    code = F.upper(F.trim(value))
-    return F.when(~present, "unavailable").when(value.isNull() | (code == ""), "missing").when(~code.rlike("^[A-Z]{3}$"), "invalid").when(code.isin(*supported), "supported").otherwise("unsupported")
+def payload_facts(payload: Column) -> Column:
+    """Facts of a deal's JSON text: struct (amount_state, amount_value, currency_status, currency, assigned_known, contact_count).
+
+    No text: all missing. A text that is no JSON object: invalid. Zero amounts are 'zero'; negative, endless, grouped ('1,000') and
+    boolean ones are invalid. Currencies are three letters.
+    """
+    v = F.try_parse_json(payload)
+    whole = F.coalesce(json_kind(v) == "object", F.lit(False))
+    amount, currency, assigned, contacts = (first_field(v, FIELDS[f]) for f in FIELDS)
+    blank = lambda x: x.isNull() | F.is_variant_null(x) | F.coalesce((json_kind(x) == "string") & (as_text(x) == ""), F.lit(False))
+    text = F.trim(as_text(amount))
+    plain = F.when(text.rlike(r"^[+-]?(\d[\d_]*\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    number = F.when(json_kind(amount) == "string", plain).when(json_kind(amount).isin("integer", "number"), F.try_variant_get(amount, "$", "double"))
+    fine = F.coalesce((number >= 0) & (number < float("inf")), F.lit(False))
+    state = F.when(blank(amount), "missing").when(~fine, "invalid").when(number == 0, "zero").otherwise("known")
+    code = F.upper(F.trim(as_text(currency)))
+    letters = F.coalesce((json_kind(currency) == "string") & code.rlike(r"^\p{L}{3}$"), F.lit(False))
+    status = F.when(blank(currency), "missing").when(~letters, "invalid").when(code.isin(*CURRENCIES), "supported").otherwise("unsupported")
+    simple = lambda x: json_kind(x).isin("string", "integer", "boolean")
+    known = ~blank(assigned) & simple(assigned) & ~as_text(assigned).isin("0", "false")
+    listed = F.filter(F.try_variant_get(contacts, "$", "array<variant>"), lambda x: simple(x) & (F.trim(as_text(x)) != ""))
+    single = simple(contacts) & (F.trim(as_text(contacts)) != "") & (as_text(contacts) != "0")
+    count = F.when(json_kind(contacts) == "array", F.size(listed)).when(F.coalesce(single, F.lit(False)), 1).otherwise(0)
+    absent = F.when(payload.isNull(), "missing").otherwise("invalid")
+    return F.struct(
+        F.when(whole, state).otherwise(absent).alias("amount_state"), F.when(whole & fine, number).alias("amount_value"),
+        F.when(whole, status).otherwise(absent).alias("currency_status"), F.when(whole & letters, code).alias("currency"),
+        F.coalesce(whole & known, F.lit(False)).alias("assigned_known"), F.when(whole, count).otherwise(0).alias("contact_count"),
+    )
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -91,19 +140,22 @@ def display_date(at: Column) -> Column:
     return F.date_format(at, "dd MMM yyyy")
 
 
-def display_datetime(at: Column) -> Column:
-    return F.date_format(at, "dd MMM yyyy, HH:mm")
+def display_datetime(at: Column, zone: str = "UTC") -> Column:
+    """A moment in a display zone, on a clock of twelve hours; empty for null. The session's zone is taken to be UTC."""
+    return F.coalesce(F.date_format(F.from_utc_timestamp(at, zone), "dd MMM yyyy, hh:mm a"), F.lit(""))
 
 
-def display_percent(x: Column, digits: int = 1) -> Column:
-    """Half-even rounding, as decimal text."""
-    return F.concat(F.format_string(f"%.{digits}f", F.bround(x * 100, digits)), F.lit("%"))
+def display_percent(x: Column) -> Column:
+    """A share as a whole percentage; halves go to the even number."""
+    return F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
-def plausible_dob(dob: Column, today: Column, most_years: int = 130) -> Column:
-    """The date of birth where it is a date in the past, at most so many years ago."""
-    d = dob.try_cast("date")
-    return F.when((d <= today) & (d >= F.add_months(today, -12 * most_years)), d)
+def display_dob(dob: Column, today: Column, most_years: int = 130) -> Column:
+    """struct (text, invalid): a dash where there is none; the text as it stands, flagged, where it is no date, in the future or too old."""
+    d = F.when(dob.rlike(r"^\d{4}-\d{2}-\d{2}$"), dob.try_cast("date"))
+    fine = F.coalesce((d <= today) & (F.year(d) >= F.year(today) - most_years), F.lit(False))
+    none = dob.isNull() | (dob == "")
+    return F.struct(F.when(none, "—").when(fine, display_date(d)).otherwise(dob).alias("text"), (~none & ~fine).alias("invalid"))
 
 
 def ordered_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

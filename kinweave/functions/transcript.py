@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STAMP = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]\s*(.*)$"
-PHONE = r"\((\+?\d[\d\s]*)\)\s*$"
-#: Markup of templates in messages.
-BREAK, MARKUP = r"(?i)\[BR\]", r"(?i)\[/?(?:B|U|I|S)\]"
+#: Markup of templates in messages: a break, and marks around text.
+BREAK, MARKS = "[BR]", "BUIS"
+
+
+def stamp_of(line: Column) -> Column:
+    """The moment in brackets that a line begins with, as text; null for other lines."""
+    text = F.substring(line, 2, 19)
+    return F.when(F.startswith(line, F.lit("[")) & (F.substring(line, 21, 1) == "]") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull(), text)
+
+
+def phone_of(label: Column) -> Column:
+    """The phone in parentheses at the end of a label, without blanks; null where they hold anything else, or there are none."""
+    text = F.trim(label)
+    inner = F.translate(F.substring_index(F.substring_index(text, ")", 1), "(", -1), " \t", "")
+    number = F.when(F.startswith(inner, F.lit("+")), F.substring(inner, 2, 99)).otherwise(inner)
+    return F.when(F.endswith(text, F.lit(")")) & F.contains(text, F.lit("(")) & (number != "") & (F.translate(number, "0123456789", "") == ""), inner)
+
+
+def without_markup(text: Column) -> Column:
+    out = F.replace(F.replace(text, F.lit(BREAK), F.lit("\n")), F.lit(BREAK.lower()), F.lit("\n"))
+    for mark in MARKS + MARKS.lower():
+        for form in (f"[{mark}]", f"[/{mark}]"):
+            out = F.replace(out, F.lit(form), F.lit(""))
+    return F.trim(out)
 
 
 def lines_of(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One row per line of a text: keys, n from 0, line, and stamped where the line begins a message."""
     out = rows.select(*keys, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    return out.withColumn("stamped", F.col("line").rlike(STAMP))
+    return out.withColumn("stamped", stamp_of(F.col("line")).isNotNull())
 
 
 def messages(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -27,17 +47,13 @@ def messages(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
     whole = numbered.groupBy(*keys, "message").agg(body.alias("body"))
     first = F.split_part(F.col("body"), F.lit("\n"), F.lit(1))
-    head = F.regexp_extract(first, STAMP, 2)
-    cut = F.instr(head, ": ")
-    label = F.when(cut > 0, F.expr("substring(head, 1, cut - 1)")).when(F.col("head").endswith(":"), F.expr("substring(head, 1, length(head) - 1)")).otherwise(F.col("head"))
+    label = F.when(F.col("cut") > 0, F.expr("substring(head, 1, cut - 1)")).when(F.col("head").endswith(":"), F.expr("substring(head, 1, length(head) - 1)")).otherwise(F.col("head"))
     said = F.when(F.col("cut") > 0, F.expr("substring(head, cut + 2)")).otherwise("")
     rest = F.expr("substring(body, length(first) + 1)")
-    out = whole.withColumns({"first": first, "head": head}).withColumn("cut", F.instr("head", ": ")).withColumns({"label": label, "said": F.concat(said, rest)})
-    digits = F.regexp_extract("label", PHONE, 1)
-    clean = F.trim(F.regexp_replace(F.regexp_replace("said", BREAK, "\n"), MARKUP, ""))
-    return out.select(
-        *keys, "message", F.regexp_extract("first", STAMP, 1).alias("sent_at"), F.trim(F.regexp_replace("label", PHONE, "")).alias("speaker"), F.when(digits != "", F.replace(digits, F.lit(" "), F.lit(""))).alias("phone"), clean.alias("text")
-    )
+    out = whole.withColumn("first", first).withColumn("head", F.trim(F.expr("substring(first, 22)"))).withColumn("cut", F.instr("head", ": ")).withColumns({"label": label, "said": F.concat(said, rest)})
+    phone = phone_of(F.col("label"))
+    speaker = F.trim(F.when(phone.isNotNull(), F.expr("substring(label, 1, length(label) - length(substring_index(label, '(', -1)) - 1)")).otherwise(F.col("label")))
+    return out.select(*keys, "message", stamp_of(F.col("first")).alias("sent_at"), speaker.alias("speaker"), phone.alias("phone"), without_markup(F.col("said")).alias("text"))
 
 
 def with_roles(found: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:

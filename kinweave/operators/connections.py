@@ -53,16 +53,21 @@ def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     del _written[since:until]
 
 
-def shared_by(edges: DataFrame, key: list[str], persons: DataFrame, active: Column | None = None) -> DataFrame:
+def shared_by(edges: DataFrame, key: list[str], persons: DataFrame, active: Column | None = None, only: DataFrame | None = None) -> DataFrame:
     """Ordered pairs (person_id, other_id, key...) of persons with an edge to one thing.
 
     edges (person_id, key..., is_active): a null flag is active. Merged persons are left out as others. Keys of one person are
-    dropped before the self join, so only shared things are paired.
+    dropped before the self join, so only shared things are paired. only (person_id) names the persons asked for: the things that
+    they hold are found first, so a page of persons pairs a page's things and not all of them.
     """
     live = edges.where(edge_active() if active is None else active).select("person_id", *key).distinct()
-    many = live.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    own = live.join(many, key, "left_semi")
-    others = own.join(persons.where("status <> 'merged'").select("person_id"), "person_id", "left_semi").withColumnRenamed("person_id", "other_id")
+    if only is None:
+        many = live.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+        own = live = live.join(many, key, "left_semi")
+    else:
+        own = live.join(only.select("person_id"), "person_id", "left_semi")
+        live = live.join(own.select(*key).distinct(), key, "left_semi")
+    others = live.join(persons.where("status <> 'merged'").select("person_id"), "person_id", "left_semi").withColumnRenamed("person_id", "other_id")
     return own.join(others, key).where("person_id <> other_id").select("person_id", "other_id", *key)
 
 
@@ -72,23 +77,25 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("person_id"), F.col("dst").alias("other_id"), *rest).union(edges.select("dst", "src", *rest))
 
 
-def known_pairs(knows: DataFrame, persons: DataFrame) -> DataFrame:
-    active = undirected(knows.where(edge_active()).select("src", "dst")).where("person_id <> other_id").distinct()
-    return active.join(persons.where("status <> 'merged'").select(F.col("person_id").alias("other_id")), "other_id", "left_semi").select("person_id", "other_id")
+def known_pairs(knows: DataFrame, persons: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    active = undirected(knows.where(edge_active()).select("src", "dst")).where("person_id <> other_id")
+    if only is not None:
+        active = active.join(only.select("person_id"), "person_id", "left_semi")
+    return active.distinct().join(persons.where("status <> 'merged'").select(F.col("person_id").alias("other_id")), "other_id", "left_semi").select("person_id", "other_id")
 
 
-def all_connections(lives_at: DataFrame, knows: DataFrame, persons: DataFrame) -> DataFrame:
+def all_connections(lives_at: DataFrame, knows: DataFrame, persons: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(person_id, other_id, relations): address and KNOWS, regrouped; relations is a sorted list."""
-    homes = shared_by(lives_at, ["address_id"], persons).select("person_id", "other_id", F.lit("address").alias("kind"))
-    both = homes.unionByName(known_pairs(knows, persons).withColumn("kind", F.lit("knows")))
+    homes = shared_by(lives_at, ["address_id"], persons, only=only).select("person_id", "other_id", F.lit("address").alias("kind"))
+    both = homes.unionByName(known_pairs(knows, persons, only).withColumn("kind", F.lit("knows")))
     return both.groupBy("person_id", "other_id").agg(F.sort_array(F.collect_set("kind")).alias("relations"))
 
 
-def connection_counts(identified_by: DataFrame, lives_at: DataFrame, knows: DataFrame, persons: DataFrame, with_identifiers: bool) -> DataFrame:
+def connection_counts(identified_by: DataFrame, lives_at: DataFrame, knows: DataFrame, persons: DataFrame, with_identifiers: bool, only: DataFrame | None = None) -> DataFrame:
     """(person_id, connection_count): the list counts addresses and KNOWS; the person page counts identifiers too."""
-    pairs = all_connections(lives_at, knows, persons).select("person_id", "other_id")
+    pairs = all_connections(lives_at, knows, persons, only).select("person_id", "other_id")
     if with_identifiers:
-        pairs = pairs.union(shared_by(identified_by, ["identifier_type", "normalized_value"], persons).select("person_id", "other_id")).distinct()
+        pairs = pairs.union(shared_by(identified_by, ["identifier_type", "normalized_value"], persons, only=only).select("person_id", "other_id")).distinct()
     return pairs.groupBy("person_id").agg(F.count("*").alias("connection_count"))
 
 

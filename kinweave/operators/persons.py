@@ -161,13 +161,16 @@ def top_buyers(persons: DataFrame, orders: DataFrame, limit: int) -> DataFrame:
     return bought.join(named, "person_id").orderBy(F.desc("order_count"), "person_id").limit(limit)
 
 
-def entity_person_summary(entity_key: int, persons: DataFrame, records: DataFrame, systems: DataFrame, shared: DataFrame) -> DataFrame:
-    """Active persons with a record of one entity: their records, and persons that share an identifier or address (shared: pairs)."""
-    active = records.where(edge_active("link_active"))
-    own = owner_entity(active, systems).where(F.col("entity_key") == entity_key).select("person_id").distinct()
-    chosen = persons.where("status = 'active'").join(own, "person_id", "left_semi").select("person_id", F.col("preferred_full_name").alias("name"), "status")
-    sources = active.join(chosen.select("person_id"), "person_id", "left_semi").groupBy("person_id").agg(F.countDistinct("record_id").alias("source_count"))
-    linked = shared.join(chosen.select("person_id"), "person_id", "left_semi").groupBy("person_id").agg(F.countDistinct("other_id").alias("connection_count"))
+def entity_persons(entity_key: int, persons: DataFrame, records: DataFrame, systems: DataFrame) -> DataFrame:
+    """Active persons with a record of one entity: person_id, name, status."""
+    own = owner_entity(records.where(edge_active("link_active")), systems).where(F.col("entity_key") == entity_key).select("person_id").distinct()
+    return persons.where("status = 'active'").join(own, "person_id", "left_semi").select("person_id", F.col("preferred_full_name").alias("name"), "status")
+
+
+def entity_person_summary(chosen: DataFrame, records: DataFrame, shared: DataFrame) -> DataFrame:
+    """Persons of an entity with the number of their records, and of persons that share an identifier or address (shared: pairs of theirs)."""
+    sources = records.where(edge_active("link_active")).join(chosen.select("person_id"), "person_id", "left_semi").groupBy("person_id").agg(F.countDistinct("record_id").alias("source_count"))
+    linked = shared.groupBy("person_id").agg(F.countDistinct("other_id").alias("connection_count"))
     return chosen.join(sources, "person_id", "left").join(linked, "person_id", "left").na.fill(0, ["source_count", "connection_count"])
 
 

@@ -6,6 +6,8 @@ observed_at, entity_key, ...). Everything at a snapshot S uses rows of event_at
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -131,12 +133,16 @@ def row_id(parent: Column, snapshot: Column) -> Column:
 def temporal_folds(rows: DataFrame, least: int = 3) -> DataFrame:
     """rows (row_id, bucket, deal_key, person_key) to (test_bucket, row_id, side): train on all earlier buckets, at least so many.
 
-    Training rows whose deal or person is also in the test bucket are left out. Rows meet the list of buckets, of which there is one for a month.
+    Training rows whose deal or person is also in the test bucket are left out. A bucket carries the list of later ones, of which there is one
+    for a month, so rows meet it by their own bucket.
     """
     buckets = rows.select("bucket").distinct().withColumn("at", F.row_number().over(Window.orderBy("bucket")))
-    tests = buckets.where(F.col("at") > least).select(F.col("bucket").alias("test_bucket"))
-    test = rows.join(tests, rows.bucket == tests.test_bucket).select("test_bucket", "row_id", "deal_key", "person_key")
-    train = rows.join(tests, rows.bucket < tests.test_bucket).select("test_bucket", "row_id", "deal_key", "person_key")
+    is_test = F.when(F.col("at") > least, F.col("bucket"))
+    after = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    lists = saved(buckets.select("bucket", is_test.alias("test_bucket"), F.collect_list(is_test).over(after).alias("later")), "buckets")
+    near = rows.join(lists, "bucket")
+    test = near.where("test_bucket is not null").select("test_bucket", "row_id", "deal_key", "person_key")
+    train = near.select(F.explode("later").alias("test_bucket"), "row_id", "deal_key", "person_key")
     clean = train.join(test.select("test_bucket", "deal_key").distinct(), ["test_bucket", "deal_key"], "left_anti")
     clean = clean.join(test.where("person_key is not null").select("test_bucket", "person_key").distinct(), ["test_bucket", "person_key"], "left_anti")
     return clean.select("test_bucket", "row_id", F.lit("train").alias("side")).union(test.select("test_bucket", "row_id", F.lit("test").alias("side")))
@@ -232,22 +238,89 @@ def platt_scaling(scores: DataFrame, rounds: int = 20) -> DataFrame:
     return logistic_model(known.withColumn("label", target), ["p"], 1e-6, rounds)
 
 
-def rules_baseline(train: DataFrame, test: DataFrame, by: str) -> DataFrame:
-    """Test rows with p, the positive rate of their value of `by` in training, smoothed towards the overall rate."""
-    rate = train.groupBy(by).agg(F.sum("label").alias("s"), F.count("*").alias("n"))
-    overall = train.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("base"))
-    smoothed = F.coalesce((F.col("s") + 10 * F.col("base")) / (F.col("n") + 10), F.col("base"))
-    return test.join(rate, by, "left").join(overall).withColumn("p", smoothed).drop("s", "n", "base")
+def rules_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Test rows with p, the share of positives among the training rows; 0 without any."""
+    return test.join(F.broadcast(train.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("p"))))  # one row
+
+
+def random_baseline(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows with p, uniform in [0, 1) and fixed by the key and a seed, so that it does not depend on the order of rows."""
+    return rows.withColumn("p", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+
+
+#: The least volumes of each decision: matured deals, positive deals, negative deals, months, temporal folds.
+GATE = {"go": (2000, 200, 500, 6, 2), "rules_only": (500, 50, 200, 3, 0)}
+
+
+def gate_decision(*volumes: Column) -> Column:
+    """The first decision of GATE whose volumes are all reached, else collect_more_data."""
+    out = F
+    for name, least in GATE.items():
+        out = out.when(reduce(lambda x, y: x & y, (v >= n for v, n in zip(volumes, least, strict=True))), name)
+    return out.otherwise("collect_more_data")
 
 
-def gate_report(labels: DataFrame) -> DataFrame:
-    """Totals and the decision: go with 2,000 matured deals, 200 positives, 500 negatives over 6 months; rules_only with a quarter of it; else collect."""
-    per = labels.groupBy("parent").agg(F.max(F.col("status") == "positive").alias("pos"), F.max(F.col("status") == "negative").alias("neg"), F.max("mature").alias("mature"))
-    deals = per.agg(F.count_if("mature").alias("matured_deals"), F.count_if("pos").alias("positives"), F.count_if(F.col("neg") & ~F.col("pos")).alias("negatives"))
-    months = labels.agg(F.countDistinct(F.date_format("snapshot_at", "yyyy-MM")).alias("months"))
-    go = (F.col("matured_deals") >= 2000) & (F.col("positives") >= 200) & (F.col("negatives") >= 500) & (F.col("months") >= 6)
-    some = (F.col("matured_deals") >= 500) & (F.col("positives") >= 50)
-    return deals.join(months).withColumn("decision", F.when(go, "go").when(some, "rules_only").otherwise("collect_more_data"))
+def gate_report(labels: DataFrame, folds: Column) -> DataFrame:
+    """Totals and the decision, over the number of temporal folds that the caller found."""
+    per = labels.groupBy("parent").agg(F.max(F.col("status") == "positive").alias("pos"), F.max(F.col("status") == "negative").alias("neg"), F.max("mature").alias("mature"), F.collect_set(F.date_format("snapshot_at", "yyyy-MM")).alias("months"))
+    deals = per.agg(
+        F.count_if("mature").alias("matured_deals"), F.count_if("pos").alias("positives"), F.count_if(F.col("neg") & ~F.col("pos")).alias("negatives"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("months")))).cast("long").alias("months"),
+    ).withColumn("folds", folds)
+    return deals.withColumn("decision", gate_decision(*(F.col(c) for c in ("matured_deals", "positives", "negatives", "months", "folds"))))
+
+
+def version_at(snapshots: DataFrame, versions: DataFrame) -> DataFrame:
+    """snapshots (parent, event_id, at) with the version in force: v, a struct of its columns, and why there is none.
+
+    A version is in force from when it was observed, ingested and activated until it was superseded, rejected or its link failed. Exactly
+    one must be. Both sides are split by parent, so a snapshot meets its own parent's versions alone.
+    """
+    began = [F.col(f"v.{c}") for c in ("observed_at", "ingested_at", "activated_at")]
+    ended = [F.col(f"v.{c}") for c in ("superseded_at", "rejected_at", "link_failed_at")]
+    live = F.col("v.timestamps_valid")
+    for c in began:
+        live = live & F.coalesce(c <= F.col("at"), F.lit(False))
+    for c in ended:
+        live = live & (c.isNull() | (c > F.col("at")))
+    met = snapshots.join(versions.select("parent", F.struct(*versions.columns).alias("v")), "parent", "left")
+    out = met.groupBy(*snapshots.columns).agg(F.count_if(live).alias("n"), F.max_by(F.when(live, F.col("v")), F.when(live, F.col("v.version_key"))).alias("only"), F.coalesce(F.bool_or(~F.col("v.timestamps_valid")), F.lit(False)).alias("invalid"))
+    why = F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "selected_parent_ambiguity").when(F.col("invalid"), "invalid_parent_timestamp").otherwise("missing_parent_at_snapshot")
+    return out.select(*snapshots.columns, F.when(F.col("n") == 1, F.col("only")).alias("v"), why.alias("selection"))
+
+
+def operational_labels(events: DataFrame, versions: DataFrame, entities: list, cutoff: Column, horizon_days: int) -> DataFrame:
+    """A label as it could be known at the time for each entry into an open episode: parent, event_id, snapshot_at, status, reason.
+
+    events (parent, event_id, mapped_state, event_at, available_at, head_version, valid): a snapshot is when the entry had happened and was available.
+    What happened by then but was not yet available censors it; the state known by then must be open.
+    """
+    bad = invalid_parents(events, F.col("valid"))
+    entries = open_entries(events).select("parent", "event_id", F.greatest("event_at", "available_at").alias("at"))
+    order = F.struct(*(F.col(f"e.{c}") for c in _order()))
+    e = events.select("parent", F.struct("event_at", "available_at", "head_version", "event_id", "mapped_state").alias("e"))
+    won = F.col("e.mapped_state") == "won"
+    known = (F.col("e.event_at") <= F.col("at")) & (F.col("e.available_at") <= F.col("at"))
+    late = (F.col("e.event_at") <= F.col("at")) & (F.col("e.available_at") > F.col("at")) & (F.col("e.mapped_state") != "open")
+    seen = entries.join(e, "parent").groupBy("parent", "event_id", "at").agg(
+        F.max_by(F.when(known, F.col("e.mapped_state")), F.when(known, order)).alias("state"), F.bool_or(late).alias("late"), F.min(F.when(won, order)).alias("won"), F.min_by(F.when(won, F.col("e.available_at")), F.when(won, order)).alias("won_known"),
+    )
+    out = version_at(seen, versions).join(bad.withColumn("bad", F.lit(True)), "parent", "left")
+    end = F.col("at") + F.expr(f"interval {horizon_days} days")
+    first = F.col("won.event_at")
+    linked = (F.col("v.linked_persons") == 1) & (F.col("v.active_persons") == 1) & F.coalesce(F.col("v.linked_at") <= F.col("at"), F.lit(False))
+    hit = F.coalesce((first > F.col("at")) & (first <= end), F.lit(False))
+    rules = [
+        (F.coalesce("bad", F.lit(False)), "censored", F.lit("invalid_stage_timestamp")), (F.col("v").isNull(), "censored", F.col("selection")),
+        (~F.coalesce(F.col("v.entity_key").isin(*entities), F.lit(False)), "ineligible", F.lit("unsupported_entity")), (F.col("v.currency_status") == "unsupported", "ineligible", F.lit("unsupported_currency")),
+        (F.col("v.currency_status") == "invalid", "censored", F.lit("invalid_currency")), (~F.coalesce(linked, F.lit(False)), "censored", F.lit("ambiguous_or_late_person_link")),
+        (F.col("late"), "censored", F.lit("censored_retrospective_disqualifier")), (~F.coalesce(F.col("state") == "open", F.lit(False)), "ineligible", F.lit("not_open_as_known")),
+        (hit & (F.col("won_known") > cutoff), "censored", F.lit("won_unavailable_by_cutoff")), (hit, "positive", F.lit("first_won_in_horizon")), (end > cutoff, "unknown", F.lit("immature_horizon")),
+    ]
+    status = reason = F
+    for holds, s, r in rules:
+        status, reason = status.when(holds, s), reason.when(holds, r)
+    return out.select("parent", "event_id", F.col("at").alias("snapshot_at"), status.otherwise("negative").alias("status"), reason.otherwise("mature_no_first_won").alias("reason"))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

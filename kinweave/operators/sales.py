@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.facts import json_kind
 from ..functions.normalize import normalize_lta_tag, normalize_serial
 from ..functions.predicates import edge_active
 from .connections import components
@@ -21,14 +22,23 @@ def lifetime_value(orders: DataFrame) -> DataFrame:
     return orders.groupBy("person_id").agg(F.count("*").alias("order_count"), F.coalesce(F.sum("total_amount"), F.lit(0.0)).alias("lifetime_value"))
 
 
-def validated(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Orders with an error, the first that holds: missing id, negative amount, no lines, repeated line, or total far off; else null."""
-    seen = lines.groupBy("order_id").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("distinct_lines"), F.sum("line_total").alias("lines_total"))
-    error = (
-        F.when(F.col("order_id").isNull(), "missing_order_id").when(F.col("total_amount") < 0, "negative_amount").when(F.col("n").isNull(), "no_lines")
-        .when(F.col("distinct_lines") < F.col("n"), "repeated_line").when(F.col("lines_total") > 100 * F.col("total_amount"), "total_mismatch")
+def envelope_error(payload: Column) -> Column:
+    """The first fault of a sales envelope (JSON text), or null: its order object and id, its list of lines, and each line's id, product and product id."""
+    v = F.try_parse_json(payload)
+    at = lambda x, path: F.try_variant_get(x, path, "variant")
+    is_ = lambda x, kind: F.coalesce(json_kind(x) == kind, F.lit(False))
+    text = lambda x: is_(x, "string") & (F.trim(F.try_variant_get(x, "$", "string")) != "")
+    lines = at(v, "$.line_items")
+    given = ~(lines.isNull() | is_(lines, "null"))
+    fault = lambda x: (
+        F.when(~is_(x, "object"), "line_not_object").when(~text(at(x, "$.source_line_item_id")), "line_id_missing")
+        .when(~is_(at(x, "$.product"), "object"), "product_missing").when(~text(at(x, "$.product.source_product_id")), "product_id_missing")
+    )
+    faults = F.filter(F.transform(F.try_variant_get(lines, "$", "array<variant>"), fault), lambda x: x.isNotNull())
+    return (
+        F.when(~is_(at(v, "$.order"), "object"), "order_missing").when(~text(at(v, "$.order.source_order_id")), "order_id_missing")
+        .when(given & ~is_(lines, "array"), "lines_not_list").otherwise(F.get(faults, F.lit(0)))
     )
-    return orders.join(seen, "order_id", "left").select(*orders.columns, error.alias("error"))
 
 
 def parked(facts: DataFrame, customers: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -91,17 +101,40 @@ def tag_or_serial(observations: DataFrame, asked: DataFrame) -> DataFrame:
     return by_tag.select("ask_id", "observation_id").union(by_serial.select("ask_id", "observation_id")).distinct()
 
 
-def best_vehicle_owner(observations: DataFrame) -> DataFrame:
-    """Per vehicle tag the owner to propose: tier by evidence, newest, smallest person.
+def vehicle_candidates(sales: DataFrame, contacts: DataFrame, holders: DataFrame, persons: DataFrame, edges: DataFrame, decided: DataFrame) -> DataFrame:
+    """Who a waiting sale may belong to: sale_id, person_id, vehicle_id, rel_type, is_active, conflict_flag, last_confirmed_at, channels, nric_blocked.
+
+    sales (sale_id, vehicle_id, nric), contacts (sale_id, identifier_type, normalized_value), holders (person_id, vehicle_id, rel_type, ...). A candidate is an active person who
+    holds a vehicle of the sale, shares an email or phone with its customer, and was not decided on before (sale_id, person_id).
+    """
+    active = persons.where("status = 'active'").select("person_id")
+    met = sales.join(holders, "vehicle_id").join(active, "person_id", "left_semi").join(decided, ["sale_id", "person_id"], "left_anti")
+    own = edges.select("person_id", "identifier_type", "normalized_value").distinct()
+    channels = contacts.join(own, ["identifier_type", "normalized_value"]).groupBy("sale_id", "person_id").agg(F.array_sort(F.collect_set("identifier_type")).alias("channels"))
+    ids = own.where("identifier_type = 'nric'").groupBy("person_id").agg(F.collect_set("normalized_value").alias("held"))
+    blocked = F.coalesce(F.col("nric") != "", F.lit(False)) & F.coalesce(F.exists("held", lambda x: x != F.col("nric")), F.lit(False))
+    return met.join(channels, ["sale_id", "person_id"]).join(ids, "person_id", "left").withColumn("nric_blocked", blocked).drop("nric", "held")
+
+
+def vehicle_match(candidates: DataFrame) -> DataFrame:
+    """One decision for each sale with candidates: sale_id, decision, confidence, person_id, additional (others that are linked, not merged).
 
-    0.90 where tag and serial both stand and there is one owner, 0.70 for one of several; 0.90 merges, 0.70 goes to review.
+    Active owners without conflict come first, then the newest confirmation, then the smaller person. A best candidate whose government id
+    disagrees is left out; if none remains, there is no match. One person is merged at 0.90, several are reviewed at 0.70.
     """
-    owners = observations.where("lta_tag is not null").groupBy("lta_tag", "person_id").agg(F.bool_or(F.col("serial_number").isNotNull()).alias("both"), F.max("observed_at").alias("last_at"))
-    n = F.count("*").over(Window.partitionBy("lta_tag"))
-    rank = F.row_number().over(Window.partitionBy("lta_tag").orderBy(F.desc("both"), F.desc("last_at"), "person_id"))
-    best = owners.withColumns({"n": n, "rank": rank}).where("rank = 1")
-    confidence = F.when(F.col("both") & (F.col("n") == 1), 0.9).otherwise(0.7)
-    return best.select("lta_tag", "person_id", confidence.alias("confidence"), F.when(confidence >= 0.9, "merge").otherwise("review").alias("decision"))
+    best_tier = (F.col("rel_type") == "OWNS_VEHICLE") & F.coalesce("is_active", F.lit(False)) & ~F.coalesce("conflict_flag", F.lit(False))
+    key = F.struct((~best_tier).alias("t"), F.coalesce(-F.unix_micros("last_confirmed_at"), F.lit((1 << 62))).alias("c"), F.col("person_id").alias("p"))
+    each = candidates.groupBy("sale_id", "person_id").agg(F.min(key).alias("key"), F.bool_or("nric_blocked").alias("blocked"))
+    rank = F.row_number().over(Window.partitionBy("sale_id").orderBy("key"))
+    ranked = each.withColumn("rank", rank)
+    out = ranked.groupBy("sale_id").agg(
+        F.count("*").alias("n"), F.bool_or((F.col("rank") == 1) & F.col("blocked")).alias("veto"), F.min(F.when(F.col("rank") == 1, F.col("person_id"))).alias("first"),
+        F.min(F.when(F.col("rank") == 2, F.col("person_id"))).alias("second"), F.array_sort(F.collect_list(F.when(~F.col("blocked"), F.col("person_id")))).alias("open"),
+    )
+    person = F.when(F.col("veto") & (F.col("n") > 1), F.col("second")).otherwise(F.col("first"))
+    left = F.col("n") - F.col("veto").cast("int")
+    out = out.select("sale_id", F.when(left == 0, "no_match").when(left == 1, "merge").otherwise("review").alias("decision"), F.when(left == 0, 0.0).when(left == 1, 0.9).otherwise(0.7).alias("confidence"), person.alias("person_id"), "open")
+    return out.withColumn("additional", F.when(F.col("decision") == "review", F.array_remove("open", F.col("person_id"))).otherwise(F.array().cast("array<bigint>"))).drop("open")
 
 
 def vehicles_per_person(owns: DataFrame, bought: DataFrame) -> DataFrame:
@@ -111,9 +144,20 @@ def vehicles_per_person(owns: DataFrame, bought: DataFrame) -> DataFrame:
 
 
 def loyalty_balance(records: DataFrame) -> DataFrame:
-    """The newest record with a loyalty block for each person and source: points by payload (props JSON, key k)."""
-    with_block = records.withColumn("points", F.get_json_object("props", "$.k").try_cast("bigint")).where("points is not null")
-    return with_block.groupBy("person_id", "source_key").agg(F.max_by("points", F.struct("observed_at", "record_id")).alias("points"))
+    """The newest record with a loyalty block for each person and source: its points, whether it is off, and what was spent.
+
+    records (person_id, source_key, record_id, observed_at, payload): fields that are not of their type are null.
+    """
+    block = F.try_variant_get(F.try_parse_json("payload"), "$.loyalty", "variant")
+    rows = records.withColumn("b", block).where(json_kind(F.col("b")) == "object")
+    field = lambda name, kind, *kinds: F.when(json_kind(F.try_variant_get("b", f"$.{name}", "variant")).isin(*kinds), F.try_variant_get("b", f"$.{name}", kind)).alias(name)
+    fields = [
+        field("points", "bigint", "integer"), field("disable_loyalty", "boolean", "boolean"),
+        field("current_spend_for_points", "double", "integer", "number"), field("current_sales_for_discount", "double", "integer", "number"),
+    ]
+    newest = rows.select("person_id", "source_key", "observed_at", "record_id", *fields)
+    names = ["points", "disable_loyalty", "current_spend_for_points", "current_sales_for_discount", "observed_at"]
+    return newest.groupBy("person_id", "source_key").agg(F.max_by(F.struct(*names), F.struct("observed_at", "record_id")).alias("l")).select("person_id", "source_key", "l.*")
 
 
 def top_per_parent(rows: DataFrame, parent: str, order: list, n: int) -> DataFrame:

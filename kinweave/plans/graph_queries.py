@@ -44,8 +44,9 @@ def shared_identifiers(v: Views):
     LEFT JOIN (SELECT person_id, count(DISTINCT other_id) AS n FROM (SELECT person_id, other_id FROM ({ADDRESS_PAIRS}) UNION SELECT person_id, other_id FROM ({ID_PAIRS})) GROUP BY person_id) c ON c.person_id = p.person_id
     WHERE p.status = 'active' GROUP BY p.person_id, p.preferred_full_name, p.status""")
 def entity_person_summary(v: Views):
-    pairs = cx.shared_by(v.lives_at, ["address_id"], v.person).select("person_id", "other_id").union(cx.shared_by(v.identified_by, ["identifier_type", "normalized_value"], v.person).select("person_id", "other_id"))
-    return ps.entity_person_summary(7, v.person, v.source_record, v.source_system, pairs)
+    chosen = ps.entity_persons(7, v.person, v.source_record, v.source_system)
+    pairs = [cx.shared_by(edges, key, v.person, only=chosen).select("person_id", "other_id") for edges, key in ((v.lives_at, ["address_id"]), (v.identified_by, ["identifier_type", "normalized_value"]))]
+    return ps.entity_person_summary(chosen, v.source_record, pairs[0].union(pairs[1]))
 
 
 @query("""
@@ -68,7 +69,7 @@ def person_list_summary(v: Views):
 def person_list_page(v: Views):
     rows = ps.filtered(v.person, status="active", has_phone=True, name_contains="Customer").where("completeness is not null")
     page = ps.page_of(rows.select("person_id", "preferred_full_name", "preferred_phone", "completeness"), "completeness", True, 20, 50)
-    con = cx.connection_counts(v.identified_by, v.lives_at, v.knows, v.person, with_identifiers=False)
+    con = cx.connection_counts(v.identified_by, v.lives_at, v.knows, v.person, with_identifiers=False, only=page)
     return ps.metrics(page, v.source_record, v.source_system, v.identified_by, v.sales_order, con).drop("preferred_phone")
 
 

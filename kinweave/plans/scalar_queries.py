@@ -76,12 +76,42 @@ def phone_near_match(v: Views):
 
 @query("""
     SELECT record_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, NULL::VARCHAR AS error, true AS present FROM source_record""")
-def payload_facts(v: Views):
+def payload_integers(v: Views):
     fact = facts.payload_fact(F.col("props"), "k")
     out = v.source_record.select("record_id", fact.alias("f")).withColumn("n", facts.convert_integral(F.lit("str"), F.col("f.value")))
     return out.select("record_id", F.col("n.value").alias("k"), F.col("n.error").alias("error"), F.col("f.present").alias("present"))
 
 
+@query(r"""
+    WITH p AS (SELECT record_id, payload, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM deal_payload),
+    f AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS whole, coalesce(j->'$.amount', j->'$.opportunity', j->'$.OPPORTUNITY', j->'$.deal.amount', j->'$.deal.opportunity', j->'$.deal.OPPORTUNITY') AS a,
+      coalesce(j->'$.currency', j->'$.currency_id', j->'$.CURRENCY_ID', j->'$.deal.currency', j->'$.deal.currency_id', j->'$.deal.CURRENCY_ID') AS c, coalesce(j->'$.ASSIGNED_BY_ID', j->'$.assigned_by_id', j->'$.deal.ASSIGNED_BY_ID', j->'$.deal.assigned_by_id') AS s,
+      coalesce(j->'$.CONTACT_IDS', j->'$.CONTACT_ID', j->'$.deal.CONTACT_IDS', j->'$.deal.CONTACT_ID') AS k FROM p),
+    n AS (SELECT *, CASE WHEN json_type(a) = 'VARCHAR' THEN TRY_CAST(trim(a->>'$') AS DOUBLE) WHEN json_type(a) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(a AS DOUBLE) END AS number, upper(trim(c->>'$')) AS code,
+      json_type(c) = 'VARCHAR' AND regexp_full_match(upper(trim(c->>'$')), '\p{L}{3}') AS letters FROM f)
+    SELECT record_id, CASE WHEN payload IS NULL THEN 'missing' WHEN NOT whole THEN 'invalid' WHEN a IS NULL OR json_type(a) = 'NULL' OR a->>'$' = '' THEN 'missing' WHEN NOT coalesce(number >= 0, false) THEN 'invalid' WHEN number = 0 THEN 'zero' ELSE 'known' END AS amount_state,
+      CASE WHEN whole AND number >= 0 THEN number END AS amount_value,
+      CASE WHEN payload IS NULL THEN 'missing' WHEN NOT whole THEN 'invalid' WHEN c IS NULL OR json_type(c) = 'NULL' OR c->>'$' = '' THEN 'missing' WHEN NOT coalesce(letters, false) THEN 'invalid' WHEN code IN ('SGD', 'USD', 'MYR') THEN 'supported' ELSE 'unsupported' END AS currency_status,
+      CASE WHEN whole AND letters THEN code END AS currency, coalesce(whole AND json_type(s) IN ('VARCHAR', 'UBIGINT', 'BIGINT') AND s->>'$' NOT IN ('', '0'), false) AS assigned_known,
+      CASE WHEN NOT whole THEN 0 WHEN json_type(k) = 'ARRAY' THEN len(list_filter(json_extract(k, '$[*]'), lambda x: json_type(x) IN ('VARCHAR', 'UBIGINT', 'BIGINT') AND trim(x->>'$') <> '')) WHEN k->>'$' <> '0' AND trim(k->>'$') <> '' THEN 1 ELSE 0 END::INT AS contact_count
+    FROM n""")
+def payload_facts(v: Views):
+    return v.deal_payload.select("record_id", facts.payload_facts(F.col("payload")).alias("f")).select("record_id", "f.*")
+
+
+DOBS = "SELECT record_id, CASE record_id % 9 WHEN 0 THEN '1990-13-45' WHEN 1 THEN '2090-01-01' WHEN 2 THEN '1850-02-02' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'soon' ELSE '1985-07-09' END AS dob, observed_at, (record_id % 1000) / CAST(1000 AS DOUBLE) AS share FROM {source_record}"
+
+
+@query(f"""
+    WITH d AS ({DOBS.replace("{source_record}", "source_record")}), x AS (SELECT *, TRY_CAST(dob AS DATE) AS day FROM d)
+    SELECT record_id, strftime(observed_at, '%d %b %Y, %I:%M %p') AS at, CAST(CAST(round_even(share * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS percent,
+      CASE WHEN dob IS NULL OR dob = '' THEN '—' WHEN day <= DATE '2024-01-15' AND year(day) >= 2024 - 130 THEN strftime(day, '%d %b %Y') ELSE dob END AS dob, coalesce(dob <> '' AND NOT coalesce(day <= DATE '2024-01-15' AND year(day) >= 2024 - 130, false), false) AS invalid FROM x""")
+def display_forms(v: Views):
+    rows = v.sql(DOBS)
+    shown = facts.display_dob(F.col("dob"), F.to_date(F.lit("2024-01-15")))
+    return rows.select("record_id", facts.display_datetime(F.col("observed_at")).alias("at"), facts.display_percent(F.col("share")).alias("percent"), shown["text"].alias("dob"), shown["invalid"].alias("invalid"))
+
+
 @query("SELECT record_id, 'sv1:' || length(source_record_id) || ':' || source_record_id || length(record_hash) || ':' || record_hash AS version_key, sha256('{\"hash\":\"' || record_hash || '\",\"id\":\"' || source_record_id || '\"}') AS digest FROM source_record")
 def version_keys(v: Views):
     digest = facts.digest(facts.canonical_json(id=F.col("source_record_id"), hash=F.col("record_hash")))

@@ -29,11 +29,15 @@ def lifetime_value(v: Views):
     return sales.lifetime_value(v.sales_order).withColumn("lifetime_value", F.round("lifetime_value", 2))
 
 
-@query("""
-    SELECT CASE WHEN o.total_amount < 0 THEN 'negative_amount' WHEN l.n IS NULL THEN 'no_lines' WHEN l.d < l.n THEN 'repeated_line' WHEN l.t > 100 * o.total_amount THEN 'total_mismatch' END AS error, count(*) AS orders
-    FROM sales_order o LEFT JOIN (SELECT order_id, count(*) AS n, count(DISTINCT line_no) AS d, sum(line_total) AS t FROM line_item GROUP BY order_id) l USING (order_id) GROUP BY 1""")
+@query(r"""
+    WITH j AS (SELECT CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM sales_envelope), f AS (SELECT j, j->'$.line_items' AS l FROM j),
+    x AS (SELECT j, l, list_transform(CASE WHEN json_type(l) = 'ARRAY' THEN json_extract(l, '$[*]') END, lambda e: CASE WHEN json_type(e) <> 'OBJECT' THEN 'line_not_object'
+        WHEN coalesce(json_type(e->'$.source_line_item_id') = 'VARCHAR' AND trim(e->>'$.source_line_item_id') <> '', false) = false THEN 'line_id_missing'
+        WHEN coalesce(json_type(e->'$.product'), '') <> 'OBJECT' THEN 'product_missing' WHEN coalesce(json_type(e->'$.product.source_product_id') = 'VARCHAR', false) = false THEN 'product_id_missing' END) AS faults FROM f)
+    SELECT CASE WHEN coalesce(json_type(j->'$.order'), '') <> 'OBJECT' THEN 'order_missing' WHEN coalesce(json_type(j->'$.order.source_order_id') = 'VARCHAR' AND trim(j->>'$.order.source_order_id') <> '', false) = false THEN 'order_id_missing'
+      WHEN coalesce(json_type(l), 'NULL') NOT IN ('NULL', 'ARRAY') THEN 'lines_not_list' ELSE list_filter(faults, lambda e: e IS NOT NULL)[1] END AS error, count(*) AS orders FROM x GROUP BY 1""")
 def sales_validation(v: Views):
-    return sales.validated(v.sales_order, v.line_item).groupBy("error").agg(F.count("*").alias("orders"))
+    return v.sales_envelope.groupBy(sales.envelope_error(F.col("payload")).alias("error")).agg(F.count("*").alias("orders"))
 
 
 @query("""
@@ -87,12 +91,23 @@ def vehicle_by_tag_or_serial(v: Views):
     return found.groupBy("ask_id").agg(F.count("*").alias("found"))
 
 
+SALE_CONTACTS = "SELECT sale_id, 'email' AS identifier_type, email AS normalized_value FROM waiting_sale UNION ALL SELECT sale_id, 'phone', phone FROM waiting_sale"
+
+
 @query(f"""
-    WITH o AS (SELECT lta_tag, person_id, bool_or(serial_number IS NOT NULL) AS two, max(observed_at) AS last_at FROM {CLEAN} WHERE lta_tag IS NOT NULL GROUP BY ALL),
-    r AS (SELECT *, count(*) OVER (PARTITION BY lta_tag) AS n, row_number() OVER (PARTITION BY lta_tag ORDER BY two DESC, last_at DESC, person_id) AS k FROM o)
-    SELECT lta_tag, person_id, CASE WHEN two AND n = 1 THEN 0.9::DOUBLE ELSE 0.7 END AS confidence, CASE WHEN two AND n = 1 THEN 'merge' ELSE 'review' END AS decision FROM r WHERE k = 1""")
+    WITH c AS ({SALE_CONTACTS}), ch AS (SELECT DISTINCT sale_id, person_id FROM c JOIN identified_by USING (identifier_type, normalized_value)),
+    m AS (SELECT s.sale_id, h.*, coalesce(s.nric <> '' AND EXISTS (SELECT 1 FROM identified_by i WHERE i.person_id = h.person_id AND i.identifier_type = 'nric' AND i.normalized_value <> s.nric), false) AS blocked
+      FROM waiting_sale s JOIN vehicle_holder h USING (vehicle_id) JOIN person p ON p.person_id = h.person_id AND p.status = 'active' JOIN ch ON ch.sale_id = s.sale_id AND ch.person_id = h.person_id
+      WHERE NOT EXISTS (SELECT 1 FROM match_decision d WHERE d.decision_id = s.sale_id AND d.left_id = h.person_id AND d.engine = 'deterministic')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sale_id ORDER BY rel_type = 'OWNS_VEHICLE' AND coalesce(is_active, false) AND NOT conflict_flag DESC, last_confirmed_at DESC NULLS LAST, person_id) AS k, count(*) OVER (PARTITION BY sale_id) AS n FROM m),
+    b AS (SELECT sale_id, max(n) AS n, bool_or(blocked) FILTER (k = 1) AS veto, min(person_id) FILTER (k = 1) AS p1, min(person_id) FILTER (k = 2) AS p2, list_sort(list(person_id) FILTER (NOT blocked)) AS open FROM r GROUP BY 1),
+    d AS (SELECT sale_id, n - CASE WHEN veto THEN 1 ELSE 0 END AS left_, CASE WHEN veto AND n > 1 THEN p2 ELSE p1 END AS person_id, open FROM b)
+    SELECT sale_id, CASE left_ WHEN 0 THEN 'no_match' WHEN 1 THEN 'merge' ELSE 'review' END AS decision, CASE left_ WHEN 0 THEN 0.0 WHEN 1 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, person_id,
+      CASE WHEN left_ > 1 THEN coalesce(array_to_string(list_filter(open, lambda x: x <> person_id), ','), '') ELSE '' END AS additional FROM d""")
 def vehicle_match(v: Views):
-    return sales.best_vehicle_owner(sales.clean_observations(v.vehicle_observation))
+    decided = v.match_decision.where("engine = 'deterministic'").select(F.col("decision_id").alias("sale_id"), F.col("left_id").alias("person_id"))
+    found = sales.vehicle_candidates(v.waiting_sale.select("sale_id", "vehicle_id", "nric"), v.sql(SALE_CONTACTS.replace("waiting_sale", "{waiting_sale}")), v.vehicle_holder, v.person, v.identified_by, decided)
+    return sales.vehicle_match(found).withColumn("additional", F.array_join("additional", ","))
 
 
 @query("""
@@ -103,9 +118,12 @@ def vehicles_per_person(v: Views):
     return sales.vehicles_per_person(owned, seen)
 
 
-@query("SELECT person_id, source_key, arg_max(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT), struct_pack(a := observed_at, b := record_id)) AS points FROM source_record GROUP BY person_id, source_key")
+@query("""
+    WITH j AS (SELECT *, CASE WHEN json_valid(payload) THEN payload::JSON END->'$.loyalty' AS b FROM loyalty_record), k AS (SELECT * FROM j WHERE json_type(b) = 'OBJECT' QUALIFY row_number() OVER (PARTITION BY person_id, source_key ORDER BY observed_at DESC, record_id DESC) = 1)
+    SELECT person_id, source_key, CASE WHEN json_type(b->'$.points') LIKE '%BIGINT' THEN CAST(b->'$.points' AS BIGINT) END AS points, CAST(b->'$.disable_loyalty' AS BOOLEAN) AS disable_loyalty,
+      CAST(b->'$.current_spend_for_points' AS DOUBLE) AS current_spend_for_points, CAST(b->'$.current_sales_for_discount' AS DOUBLE) AS current_sales_for_discount, observed_at FROM k""")
 def loyalty_balance(v: Views):
-    return sales.loyalty_balance(v.source_record)
+    return sales.loyalty_balance(v.loyalty_record)
 
 
 @query("""

@@ -10,6 +10,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def _json(text: str) -> str:
+    """An SQL text of JSON, whose braces are written as ( and ): braces name views here."""
+    return f"replace(replace('{text}', '(', chr(123)), ')', chr(125))"
+
+
 FILES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 VIEWS = {
@@ -90,6 +97,55 @@ VIEWS = {
         FROM {events}""",
 }
 
+_TEXT = "CAST({} AS STRING)".format
+VIEWS |= {
+    "deal_payload": f"""
+        SELECT event_id AS record_id, user_id AS person_id, CASE event_id % 24 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '[1]' WHEN 3 THEN {_json('("amount": 0, "currency": "sgd")')}
+          WHEN 4 THEN {_json('("amount": "1,000", "currency": "EUR")')} WHEN 5 THEN {_json('("amount": "12.5", "currency_id": " usd ")')} WHEN 6 THEN {_json('("amount": true, "currency": 5)')}
+          WHEN 7 THEN {_json('("amount": null, "opportunity": 7, "currency": "")')} WHEN 8 THEN {_json('("deal": ("OPPORTUNITY": 99.25, "CURRENCY_ID": "MYR", "ASSIGNED_BY_ID": 7, "CONTACT_IDS": ["1", 2, " ", null]))')}
+          WHEN 9 THEN {_json('("opportunity": -5, "CONTACT_ID": "0", "assigned_by_id": "0")')} WHEN 10 THEN {_json('("amount": " 3e2 ", "ASSIGNED_BY_ID": "u1", "CONTACT_ID": 4)')}
+          WHEN 11 THEN {_json('("amount": [1], "currency": "12A", "assigned_by_id": false)')}
+          ELSE {_json('("amount": ')} || {_TEXT("event_id")} || {_json(', "currency": "SGD", "CONTACT_IDS": ["7"])')} END AS payload
+        FROM {{events}}""",
+    "loyalty_record": f"""
+        SELECT event_id AS record_id, user_id * 10 + event_id % 2 AS person_id, event_id % 3 AS source_key, ts AS observed_at, CASE event_id % 7 WHEN 0 THEN 'none' WHEN 1 THEN {_json('("loyalty": 5)')}
+          WHEN 2 THEN {_json('("loyalty": ("points": "many", "disable_loyalty": true))')}
+          ELSE {_json('("loyalty": ("points": ')} || {_TEXT("event_id % 1000")} || {_json(', "disable_loyalty": false, "current_spend_for_points": 12.5, "current_sales_for_discount": 3))')} END AS payload
+        FROM {{events}}""",
+    "sales_envelope": f"""
+        SELECT o_orderkey AS order_id, CASE o_orderkey % 12 WHEN 0 THEN 'no json' WHEN 1 THEN {_json('("order": [])')} WHEN 2 THEN {_json('("order": ("source_order_id": " "))')}
+          WHEN 3 THEN {_json('("order": ("source_order_id": "a"), "line_items": 5)')} WHEN 4 THEN {_json('("order": ("source_order_id": "a"), "line_items": [7])')}
+          WHEN 5 THEN {_json('("order": ("source_order_id": "a"), "line_items": [("source_line_item_id": "1", "product": ("source_product_id": "p")), ("source_line_item_id": "")])')}
+          WHEN 6 THEN {_json('("order": ("source_order_id": "a"), "line_items": [("source_line_item_id": "1", "product": 3)])')}
+          WHEN 7 THEN {_json('("order": ("source_order_id": "a"), "line_items": [("source_line_item_id": "1", "product": ("source_product_id": 9))])')}
+          WHEN 8 THEN {_json('("order": ("source_order_id": "a"), "line_items": null)')} WHEN 9 THEN {_json('("order": ("source_order_id": 4))')}
+          ELSE {_json('("order": ("source_order_id": "')} || {_TEXT("o_orderkey")} || {_json('"), "line_items": [("source_line_item_id": "1", "product": ("source_product_id": "p"))])')} END AS payload
+        FROM {{orders}}""",
+    "waiting_sale": """
+        SELECT o_orderkey AS sale_id, CAST(floor(o_custkey / 4) AS BIGINT) AS vehicle_id, CASE WHEN o_orderkey % 3 = 0 THEN 'S' || CAST(1000000 + CAST(floor(o_custkey / 10) AS BIGINT) AS STRING) || 'A' WHEN o_orderkey % 3 = 1 THEN 'S0000000Z' END AS nric,
+          'user' || CAST(CAST(floor(o_custkey / 2) AS BIGINT) AS STRING) || '@example.org' AS email, '+65' || CAST(80000000 + CAST(floor(o_custkey / 3) AS BIGINT) AS STRING) AS phone
+        FROM {orders} WHERE o_orderstatus <> 'F'""",
+    "vehicle_holder": """
+        SELECT person_id, CAST(floor(person_id / 4) AS BIGINT) AS vehicle_id, CASE WHEN person_id % 3 = 0 THEN 'OWNS_VEHICLE' ELSE 'BOUGHT_VEHICLE' END AS rel_type, CASE WHEN person_id % 11 <> 0 THEN person_id % 5 <> 0 END AS is_active,
+          CAST(floor(person_id / 4) AS BIGINT) % 6 = 0 AS conflict_flag, CASE WHEN person_id % 7 = 0 THEN NULL WHEN person_id % 2 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS last_confirmed_at
+        FROM {person}""",
+    "known_event": """
+        SELECT user_id AS parent, event_id, CASE event_type WHEN 'purchase' THEN 'won' WHEN 'error' THEN 'lost' ELSE 'open' END AS mapped_state, ts AS event_at, event_id % 3 AS head_version, user_id % 29 <> 1 AS valid,
+          ts + CASE event_id % 4 WHEN 0 THEN INTERVAL 30 HOUR WHEN 1 THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END AS available_at
+        FROM {events}""",
+    "known_version": """
+        SELECT user_id AS parent, event_id AS version_key, ts AS observed_at, ts + INTERVAL 1 HOUR AS ingested_at, CASE WHEN event_id % 31 <> 0 THEN ts + INTERVAL 2 HOUR END AS activated_at,
+          CASE WHEN event_id % 17 <> 0 THEN lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS superseded_at, CASE WHEN event_id % 19 = 0 THEN ts + INTERVAL 5 HOUR END AS rejected_at, CAST(NULL AS TIMESTAMP) AS link_failed_at,
+          user_id % 23 <> 1 AS timestamps_valid, CASE WHEN user_id % 20 = 4 THEN NULL ELSE user_id % 5 END AS entity_key, CASE WHEN user_id % 19 = 2 THEN 'unsupported' WHEN user_id % 19 = 7 THEN 'invalid' ELSE 'supported' END AS currency_status,
+          CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS linked_persons, 1 AS active_persons, ts + INTERVAL 1 HOUR AS linked_at
+        FROM {events}""",
+    "contact_record": """
+        SELECT event_id AS record_id, event_id % 4 AS source_key, CAST(user_id AS STRING) AS declarer_id, CAST(user_id + event_id % 5 - 2 AS STRING) AS contact_id,
+          CASE event_id % 9 WHEN 0 THEN 'Spouse' WHEN 1 THEN 'Next of Kin' WHEN 2 THEN 'a Referral' WHEN 3 THEN 'half-brother' WHEN 4 THEN 'friend' WHEN 5 THEN '' ELSE 'knows' END AS label
+        FROM {events}""",
+    "source_link": "SELECT DISTINCT event_id % 4 AS source_key, CAST(user_id AS STRING) AS source_record_id, user_id AS person_id FROM {events} WHERE user_id % 6 <> 0",
+}
+
 NAME = re.compile(r"\{(\w+)\}")
 
 

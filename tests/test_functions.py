@@ -80,15 +80,23 @@ def test_payload_facts(spark):
     cases = [('{"amount": null, "deal": {"amount": 5}}',), ('{"deal": {"amount": 5}}',), ('{"x": 1}',), ("no json",), (None,)]
     got = values(spark, lambda p: facts.payload_fact(p, "amount"), cases)
     assert [(g["present"], g["value"]) for g in got] == [(True, None), (True, "5"), (False, None), (False, None), (False, None)]
-    state = values(spark, lambda p, v: facts.amount_state(p == "y", v), [("n", None), ("y", None), ("y", "abc"), ("y", "1,200.5"), ("y", "-1")])
-    assert state == ["unavailable", "missing", "invalid", "known", "invalid"]
+    cases = {'{"amount": 0}': "zero", '{"amount": "1,000"}': "invalid", '{"opportunity": "1_0.5"}': "known", '{"amount": true}': "invalid", '{"amount": "inf"}': "invalid", '{"amount": -1}': "invalid", "{}": "missing", "[1]": "invalid", "no json": "invalid", '{"deal": {"OPPORTUNITY": 5}, "amount": null}': "missing"}
+    got = values(spark, facts.payload_facts, [(c,) for c in cases] + [(None,)])
+    assert [g["amount_state"] for g in got] == [*cases.values(), "missing"] and got[2]["amount_value"] == 10.5
+    cases = {'{"currency": " usd "}': "supported", '{"CURRENCY_ID": "EUR"}': "unsupported", '{"currency": "US1"}': "invalid", '{"currency": 7}': "invalid", '{"currency": ""}': "missing"}
+    assert [g["currency_status"] for g in values(spark, facts.payload_facts, [(c,) for c in cases])] == list(cases.values())
 
 
 def test_keys_times_and_forms(spark):
     assert values(spark, facts.key_of, [("ab", "c"), ("a", "bc")]) == ["sv1:2:ab1:c", "sv1:1:a2:bc"]
     got = values(spark, lambda t: facts.parse_timestamp(t).cast("string"), [("2024-01-01T00:00:00+08:00",), ("2024-01-01T00:00:00",), ("x",)])
     assert got == ["2023-12-31 16:00:00", None, None]
-    assert values(spark, lambda p: facts.display_percent(p.cast("double")), [("0.125",), ("1",)]) == ["12.5%", "100.0%"]
+    assert values(spark, lambda p: facts.display_percent(p.cast("double")), [("0.125",), ("0.135",), ("1",)]) == ["12%", "14%", "100%"]
+    assert values(spark, lambda t: facts.display_datetime(t.cast("timestamp"), "Asia/Singapore"), [("2024-01-01 04:05:00",), ("2024-01-01 16:30:00",), (None,)]) == ["01 Jan 2024, 12:05 PM", "02 Jan 2024, 12:30 AM", ""]
+    dob = values(spark, lambda d: facts.display_dob(d, F.to_date(F.lit("2024-06-01"))), [("1990-13-45",), ("1990-01-05",), ("2025-01-01",), ("1893-01-01",), (None,), ("",)])
+    assert [tuple(d) for d in dob] == [("1990-13-45", True), ("05 Jan 1990", False), ("2025-01-01", True), ("1893-01-01", True), ("—", False), ("—", False)]
+    labels = {"Next of Kin": "emergency_contact", "Referral by": "referrer", "half-brother": "family", "Father": "social", "": "social", None: "social"}
+    assert values(spark, normalize.relationship_category, [(x,) for x in labels]) == list(labels.values())
 
 
 def test_digests(spark):
