@@ -34,6 +34,8 @@ FALL, STEPS = 0.01, 15
 PRIOR = 40
 #: Quantile 0.999 of the chi-squared distribution with as many degrees of freedom as features.
 CUTOFF = 22.458
+#: Rows of groups, under a kilobyte each, that are broadcast; beyond, Spark joins them by key and splits hot groups.
+BROADCAST_ROWS = 8000
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -124,18 +126,23 @@ def per_row(rows: DataFrame, each, key: str, schema: str = ESTIMATE) -> DataFram
     return map_batches(rows, batch, f"{key}, {schema}")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """rows with the row of their group; one group may have most of the rows, so they stay where they are while the groups are few."""
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, key, how)
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """Three robust starts for each group (grp): medians with median deviations, then these with the correlation of the rows'
     hyperbolic tangents, then with that of their directions."""
     names = list(FEATURES)
     centre = rows.groupBy("grp").agg(*(F.percentile_approx(c, 0.5, 2000).alias(f"m_{c}") for c in names))
     centre = stage(centre, "quality-medians")
-    spread = rows.join(centre, "grp").groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000).alias(f"d_{c}") for c in names))
+    spread = with_groups(rows, centre, ["grp"]).groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000).alias(f"d_{c}") for c in names))
     own = stage(centre.join(spread, "grp"), "quality-spread")
     z = [(F.col(c) - F.col(f"m_{c}")) / F.sqrt(F.pow(1.4826 * F.col(f"d_{c}"), 2) + FEATURES[c] ** 2) for c in names]
     size = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
     shape = [*moments([F.tanh(x) for x in z]), *(F.sum(z[i] * z[j] / (size * size)).alias(f"u{i}_{j}") for i in range(P) for j in range(i, P))]
-    shapes = own.join(rows.join(own, "grp").groupBy("grp").agg(*shape), "grp")
+    shapes = own.join(with_groups(rows, own, ["grp"]).groupBy("grp").agg(*shape), "grp")
 
     def each(row: dict) -> list[dict]:
         mean = np.array([row[f"m_{c}"] for c in names])
@@ -161,9 +168,9 @@ def concentrated(rows: DataFrame) -> DataFrame:
         return [estimate({"grp": row["grp"], "start": row["start"]}, mean, CONSISTENCY * cov + LEAST)]
 
     for k in range(STEPS):
-        far = rows.join(now, "grp").select("grp", "start", *names, distance("mean", "inverse").alias("d"))
+        far = with_groups(rows, now, ["grp"]).select("grp", "start", *names, distance("mean", "inverse").alias("d"))
         limit = stage(far.groupBy("grp", "start").agg(F.percentile_approx("d", SHARE, 2000).alias("limit")), "quality-limit")
-        near = far.join(limit, ["grp", "start"]).where("d <= limit")
+        near = with_groups(far, limit, ["grp", "start"]).where("d <= limit")
         after = stage(per_row(near.groupBy("grp", "start").agg(*moments([F.col(c) for c in names])), each, "grp string, start int"), "quality-step")
         before, now = now.select("grp", "start", F.col("determinant").alias("was")), after
         if k and not has_rows(after.join(before, ["grp", "start"]).where(F.col("determinant") < (1 - FALL) * F.col("was"))):
@@ -182,19 +189,20 @@ def estimates(rows: DataFrame) -> DataFrame:
     found = stage(concentrated(rows.select(F.explode(F.array(*grp.values())).alias("grp"), *names)), "quality-concentrated")
     groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n_own"))
     groups = groups.join(groups.groupBy("lang").agg(F.sum("n_own").alias("n_lang")), "lang")
-    for level, key in grp.items():
-        groups = groups.join(found.select(F.col("grp").alias(f"at_{level}"), F.col("mean").alias(f"mean_{level}"), F.col("cov").alias(f"cov_{level}")), key == F.col(f"at_{level}"))
+    levels = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), key.alias("grp")) for level, key in grp.items()))).alias("x")
+    links = stage(groups.select("*", levels).select("lang", "source", "n_own", "n_lang", "x.*"), "quality-levels")
+    met = with_groups(links, found, ["grp"]).groupBy("lang", "source", "n_own", "n_lang").agg(F.collect_list(F.struct("level", "mean", "cov")).alias("levels"))
 
     def each(row: dict) -> list[dict]:
-        mean, cov = np.array(row["mean_all"]), np.array(row["cov_all"])
+        own = {x["level"]: (np.array(x["mean"]), np.array(x["cov"])) for x in row["levels"]}
+        mean, cov = own["all"]
         for level in ("lang", "own"):
             share = row[f"n_{level}"] / (row[f"n_{level}"] + PRIOR)
-            mean = share * np.array(row[f"mean_{level}"]) + (1 - share) * mean
-            cov = share * np.array(row[f"cov_{level}"]) + (1 - share) * cov
+            mean, cov = (share * x + (1 - share) * y for x, y in zip(own[level], (mean, cov), strict=True))
         return [estimate({"lang": row["lang"], "source": row["source"], "n": row["n_own"]}, mean, cov.reshape(P, P))]
 
-    drawn = stage(per_row(groups, each, "lang string, source string, n long"), "quality-drawn")
-    far = rows.join(drawn, ["lang", "source"]).groupBy("lang", "source", "n").agg(F.percentile_approx(distance("mean", "inverse"), SHARE, 2000).alias("middle"))
+    drawn = stage(per_row(met, each, "lang string, source string, n long"), "quality-drawn")
+    far = with_groups(rows, drawn, ["lang", "source"]).groupBy("lang", "source", "n").agg(F.percentile_approx(distance("mean", "inverse"), SHARE, 2000).alias("middle"))
     scale = F.pow(F.greatest(F.lit(1.0), F.col("middle") / CHI2_SHARE), F.col("n") / (F.col("n") + PRIOR))
     return stage(drawn.join(far.select("lang", "source", scale.alias("scale")), ["lang", "source"]).select("lang", "source", "mean", "inverse", "scale"), "quality-estimates")
 
@@ -209,7 +217,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     stats = with_statistics(docs, keep).withColumns({"lang": F.coalesce("lang", F.lit("\0")), "source": F.coalesce("source", F.lit("\0"))})
     stats = stage(stats, "quality-statistics")
     found = estimates(stats.where("not base_failed").select("lang", "source", *FEATURES))
-    far = stats.join(found, ["lang", "source"], "left").withColumn("distance", distance("mean", "inverse") / F.col("scale"))
+    far = with_groups(stats, found, ["lang", "source"], "left").withColumn("distance", distance("mean", "inverse") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return far.withColumn("kept", kept).select("doc_id", *COLUMNS, "base_failed", "distance", "kept", *keep)
 
