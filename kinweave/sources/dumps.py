@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,6 +23,7 @@ COPY_ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"
 RANGE_BYTES = 64 << 20
 
 TOKEN = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([(),])|([^\s'(),][^'(),]*)", re.S)
+QUOTE = re.compile(r"\\.", re.S)
 INSERT = re.compile(r"INSERT INTO\s+([`\"\w.]+)\s*(?:\(([^)]*)\))?\s*VALUES", re.I)
 COPY = re.compile(r"COPY\s+([\"\w.]+)\s*\(([^)]*)\)\s+FROM stdin;", re.I)
 CREATE = re.compile(r"CREATE TABLE\s+(?:IF NOT EXISTS\s+)?([`\"\w.]+)\s*\((.*)\)", re.I | re.S)
@@ -74,31 +76,28 @@ def copy_value(text: str):
 
 
 def quotes_open(text: str, inside: bool = False) -> bool:
-    """Whether a MySQL string is still open at the end of a text."""
-    skip = False
-    for c in text:
-        if skip:
-            skip = False
-        elif inside and c == "\\":
-            skip = True
-        elif c == "'":
-            inside = not inside
-    return inside
-
-
-def statements(lines: Iterator[tuple[int, str]], end: int) -> Iterator[tuple[str, Iterator[str] | str]]:
-    """('copy', header) with the block's lines, or ('sql', text), for statements that start before byte end."""
+    """Whether a MySQL string is still open at the end of a text: escapes aside, each quote opens or closes one."""
+    return inside != bool(QUOTE.sub("", text).count("'") % 2)
+
+
+def copy_lines(lines: Iterator[tuple[int, str]]) -> Iterator[str]:
+    for _, line in lines:
+        if line.rstrip("\r\n") == "\\.":
+            return
+        yield line.rstrip("\r\n")
+
+
+def statements(lines: Iterator[tuple[int, str]], end: int) -> Iterator[tuple[str, Iterator[str] | None]]:
+    """A COPY header with the lines of its block, as they are read, or a statement with None; those that start before byte end."""
     for at, line in lines:
         if at >= end:
             return
         head = line.lstrip()
         if COPY.match(head):
-            block = []
-            for _, own in lines:
-                if own.rstrip("\r\n") == "\\.":
-                    break
-                block.append(own.rstrip("\r\n"))
+            block = copy_lines(lines)
             yield head, block
+            for _ in block:  # of another table: passed over
+                pass
         elif head[:12].upper() in ("INSERT INTO ", "CREATE TABLE"):
             parts, inside = [line], quotes_open(line)
             while inside or not parts[-1].rstrip().endswith(";"):
@@ -110,6 +109,10 @@ def statements(lines: Iterator[tuple[int, str]], end: int) -> Iterator[tuple[str
             yield "".join(parts), None
 
 
+def created_columns(body: str) -> list[str]:
+    return [plain(line.strip().split()[0]) for line in body.splitlines() if line.strip()[:1] in ('`', '"')]
+
+
 def dump_rows(lines: Iterator[tuple[int, str]], table: str, columns: list[str] | None, end: int = 1 << 62) -> Iterator[dict]:
     """Rows of one table as dicts. Column names come from the statement, else from columns, else from CREATE TABLE."""
     made: list[str] | None = columns
@@ -121,7 +124,7 @@ def dump_rows(lines: Iterator[tuple[int, str]], table: str, columns: list[str] |
                 for line in block:
                     yield dict(zip(names, map(copy_value, line.split("\t")), strict=False))
         elif (m := CREATE.match(text.lstrip())) and plain(m[1]) == table and columns is None:
-            made = [plain(line.strip().split()[0]) for line in m[2].splitlines() if line.strip()[:1] in ('`', '"')]
+            made = created_columns(m[2])
         elif (m := INSERT.match(text.lstrip())) and plain(m[1]) == table:
             names = [plain(c) for c in m[2].split(",")] if m[2] else made
             if not names:
@@ -158,6 +161,7 @@ class DumpReader(DataSourceReader):
         self.schema, self.table = schema, options["table"]
         self.path, self.bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
         self.columns = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
+        self.made = options.get("made") == "true"
 
     def _open(self, path: str):
         from pyarrow.fs import FileSystem
@@ -166,16 +170,21 @@ class DumpReader(DataSourceReader):
         return fs, at
 
     def partitions(self):
-        """Ranges of the file. CREATE TABLE must be seen by every range that lacks column names, so such files are one range."""
+        """Ranges of the file, or of the files of a folder (hidden ones and marks aside)."""
+        from pyarrow.fs import FileSelector, FileType
+
         fs, at = self._open(self.path)
-        size = fs.get_file_info(at).size
-        named = self.columns is not None
-        step = self.bytes if named else max(size, 1)
-        return [DumpRange(self.path, s, min(s + step, size)) for s in range(0, max(size, 1), step)]
+        found = fs.get_file_info(at)
+        files = [f for f in fs.get_file_info(FileSelector(at)) if f.type == FileType.File and f.base_name[0] not in "._"] if found.type == FileType.Directory else [found]
+        return [DumpRange(f.path, s, min(s + self.bytes, f.size)) for f in files for s in range(0, max(f.size, 1), self.bytes)]
 
     def read(self, part: DumpRange):
-        fs, at = self._open(part.path)
-        with fs.open_input_file(at) as file:
+        fs, _ = self._open(self.path)
+        with fs.open_input_file(part.path) as file:
+            if self.made:
+                texts = (text.lstrip() for text, block in statements(self._lines(file, part.start), part.end) if block is None)
+                yield from ((",".join(created_columns(m[2])),) for m in map(CREATE.match, texts) if m and plain(m[1]) == self.table)
+                return
             yield from (tuple(cast(row.get(f.name), f.dataType) for f in self.schema) for row in dump_rows(self._lines(file, part.start), self.table, self.columns, part.end))
 
     def _lines(self, file, start: int) -> Iterator[tuple[int, str]]:
@@ -207,7 +216,11 @@ class DumpReader(DataSourceReader):
 
 
 class DumpSource(DataSource):
-    """spark.read.format('sqldump').schema(...).option('table', t).load(path); options columns and rangeBytes."""
+    """spark.read.format('sqldump').schema(...).option('table', t).load(path), a file or a folder of files.
+
+    Options: columns, the names for INSERT statements without their own; rangeBytes; made = true reads the column names that
+    CREATE TABLE gives instead of rows. Schemes are those of pyarrow, local paths included.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -217,12 +230,65 @@ class DumpSource(DataSource):
         return DumpReader(schema, dict(self.options))
 
 
-def read_dump(spark: SparkSession, path: str, table: str, schema: str, columns: list[str] | None = None) -> DataFrame:
+def read_dump(spark: SparkSession, path: str, table: str, schema: str, columns: list[str] | None = None, root: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """One table of a dump file or of a folder of them, in ranges of bytes; root, if given, is the folder that path must stay below.
+
+    Column names that are not given come from CREATE TABLE, which is looked for in all ranges first, so that every range knows them.
+    """
+    if root is not None:
+        path = f"{root.rstrip('/')}/{relative_path(path)}"
     spark.dataSource.register(DumpSource)
-    read = spark.read.format("sqldump").schema(schema).option("table", table)
+    read = spark.read.format("sqldump").option("table", table).option("rangeBytes", range_bytes)
+    if not columns:
+        names = read.schema("names string").option("made", "true").load(path).agg(F.min("names")).first()[0]
+        columns = names.split(",") if names else None
+    read = read.schema(schema).option("made", "false")
     return (read.option("columns", ",".join(columns)) if columns else read).load(path)
 
 
+def _block(head: str, end: str):
+    """Adds the lines around a COPY block to the lines of a task; tasks without lines write none."""
+
+    def wrap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        empty = True
+        for frame in frames:
+            if empty and len(frame):
+                empty = False
+                yield pd.DataFrame({"value": [head]})
+            yield frame
+        if not empty:
+            yield pd.DataFrame({"value": [end]})
+
+    return wrap
+
+
+def write_copy(rows: DataFrame, table: str, path: str) -> None:
+    """rows as a folder of PostgreSQL COPY text, one block a file; timestamps and numbers as Spark prints them."""
+    fields = []
+    for c, kind in rows.dtypes:
+        text = F.col(c).cast("string") if kind != "boolean" else F.when(F.col(c), "t").otherwise("f")
+        for char, mark in [("\\", "\\\\"), *((v, f"\\{k}") for k, v in COPY_ESCAPES.items())]:
+            text = F.replace(text, F.lit(char), F.lit(mark))
+        fields.append(F.when(F.col(c).isNull(), "\\N").otherwise(text))
+    lines = rows.select(F.concat_ws("\t", *fields).alias("value"))
+    lines.mapInPandas(_block(f"COPY {table} ({', '.join(rows.columns)}) FROM stdin;", "\\."), "value string").write.text(path)
+
+
+def write_inserts(rows: DataFrame, table: str, path: str) -> None:
+    """rows as a folder of MySQL text, one INSERT a row without column names, and one CREATE TABLE in a file of its own."""
+    fields = []
+    for c, kind in rows.dtypes:
+        text = F.col(c).cast("string")
+        if kind not in ("int", "bigint", "double"):
+            for char, mark in [("\\", "\\\\"), ("'", "\\'"), *((v, f"\\{k}") for k, v in MYSQL_ESCAPES.items() if k not in "b")]:
+                text = F.replace(text, F.lit(char), F.lit(mark))
+            text = F.concat(F.lit("'"), text, F.lit("'"))
+        fields.append(F.when(F.col(c).isNull(), "NULL").otherwise(text))
+    made = f"CREATE TABLE `{table}` (\n" + ",\n".join(f"  `{c}` text" for c in rows.columns) + "\n);"
+    lines = rows.select(F.concat(F.lit(f"INSERT INTO `{table}` VALUES ("), F.concat_ws(",", *fields), F.lit(");")).alias("value"))
+    rows.sparkSession.createDataFrame([(made,)], "value string").union(lines).write.text(path)
+
+
 # --- envelopes --------------------------------------------------------------------------------------------------------
 
 RECORD_TYPES = ["identity", "relationship", "sales", "bankruptcy", "rental", "crm_deal", "crm_history", "call", "conversation"]

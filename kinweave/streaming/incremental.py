@@ -56,21 +56,14 @@ def allocate_versions(stream: DataFrame) -> DataFrame:
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("source_record_id", "record_hash")) -> StreamingQuery:
     """Appends what is new of each micro-batch to the parquet table at target. The checkpoint is the committed high-water mark.
 
-    A batch that is run again writes into its own folder, batch=<id>, and replaces it: the effect is that of one run.
+    Keys that were seen are kept as state, dealt by key, so a batch costs what it brings and never a read of the target; at a large number of
+    keys take the RocksDB state store. A batch that is run again writes into its own folder, batch=<id>, and replaces it: the effect is that of one run.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        try:
-            held = spark.read.parquet(target).where(F.col("batch") != batch_id)
-            fresh = fresh.join(held.select(*keys), list(keys), "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates(list(keys)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def asserted(batch: DataFrame, expected: DataFrame, keys: list[str]) -> None:
@@ -128,5 +121,11 @@ def rule_extractor(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["conv_id", "identifier_type", "raw"]) if found else pd.DataFrame({"conv_id": pd.Series(dtype="int64"), "identifier_type": pd.Series(dtype=str), "raw": pd.Series(dtype=str)})
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
+def file_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000, kind: str = "json") -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(kind).load(path)
+
+
+def appended(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there now into the parquet table at target, and reads that."""
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)

@@ -227,6 +227,20 @@ def test_dumps(spark, tmp_path):
         assert rows(parts, "id", "name", "score") == want
 
 
+def test_dump_folders_find_their_columns_and_ranges(spark, tmp_path):
+    texts = ["it's", "a\\b\tc\nd\re", "INSERT INTO `t` VALUES (9,'x');", "", None, "\\N", "'); --", "x" * 5000]
+    given = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "id long, text string, ok boolean").repartition(3)
+    dumps.write_copy(given, "t", str(tmp_path / "copy"))
+    dumps.write_inserts(given.select("id", "text"), "t", str(tmp_path / "insert"))
+    want = [(i, t) for i, t in enumerate(texts)]
+    for size in (64, 300, 1 << 20):
+        copied = dumps.read_dump(spark, "copy", "t", "id long, text string, ok boolean", root=str(tmp_path), range_bytes=size)
+        assert rows(copied, "id", "text") == want and copied.where("ok").count() == 4
+        assert rows(dumps.read_dump(spark, str(tmp_path / "insert"), "t", "id long, text string", range_bytes=size), "id", "text") == want
+    with pytest.raises(ValueError, match="relative"):
+        dumps.read_dump(spark, "../copy", "t", "id long", root=str(tmp_path))
+
+
 def test_envelopes(spark, tmp_path):
     (tmp_path / "page.json").write_text('{"source_system":"a","source_record_id":"1","record_type":"identity","record_hash":"h"}\n{"source_system":"a","source_record_id":"2","record_type":"call","record_hash":"h"}\n{"source_system":"a","source_record_id":"3","record_type":"conversation","record_hash":"h"}\n{"source_system":"","source_record_id":"4"}\n')
     got = dumps.checked(dumps.read_landed(spark, str(tmp_path / "page.json")))
