@@ -5,12 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import connections as cx
-from kinweave.operators import crm, sales
-from kinweave.operators import lifecycle as lc
-from kinweave.operators import matching as mt
-from kinweave.operators import persons as ps
-from kinweave.operators import prediction as pr
+from kinweave.operators import merging, connections as cx
+from kinweave.operators import merging, crm, sales
+from kinweave.operators import merging, lifecycle as lc
+from kinweave.operators import merging, matching as mt
+from kinweave.operators import merging, persons as ps
+from kinweave.operators import merging, prediction as pr
 from kinweave.sources import dumps
 from kinweave.streaming import incremental as inc
 
@@ -227,6 +227,19 @@ def test_dumps(spark, tmp_path):
         assert rows(parts, "id", "name", "score") == want
 
 
+def test_edges_follow_merges_and_come_back(spark):
+    edges = spark.createDataFrame(
+        [("LIVES_AT", 1, "a"), ("LIVES_AT", 2, "a"), ("LIVES_AT", 3, "b"), ("LIVES_AT", 5, "c"), ("LIVES_AT", 5, "c"), ("KNOWS_OUT", 2, "1"), ("KNOWS_OUT", 7, "3"), ("KNOWS_IN", 1, "2")], "kind string, person_id long, target string"
+    )
+    log = "event_id long, absorbed long, survivor long, event_type string, created_at long"
+    merges = [(1, 2, 1, "auto_merge", 1), (2, 3, 2, "manual_merge", 2), (3, 5, 1, "auto_merge", 3), (4, 5, 1, "unmerge", 4)]
+    got = merging.edges_after_merges(edges, spark.createDataFrame(merges, log))
+    assert rows(got, "kind", "person_id", "target", "origins", "moved") == [("KNOWS_OUT", 7, "1", 1, False), ("LIVES_AT", 1, "a", 2, True), ("LIVES_AT", 1, "b", 1, True), ("LIVES_AT", 5, "c", 1, False)]
+    undone = merging.edges_after_merges(edges, spark.createDataFrame([*merges, (5, 2, 1, "unmerge", 5)], log))
+    assert rows(undone.where("kind = 'LIVES_AT'"), "person_id", "target") == [(1, "a"), (2, "a"), (2, "b"), (5, "c")]
+    assert merging.edges_after_merges(edges.limit(0), spark.createDataFrame(merges, log)).count() == 0
+
+
 def test_dump_folders_find_their_columns_and_ranges(spark, tmp_path):
     texts = ["it's", "a\\b\tc\nd\re", "INSERT INTO `t` VALUES (9,'x');", "", None, "\\N", "'); --", "x" * 5000]
     given = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "id long, text string, ok boolean").repartition(3)
