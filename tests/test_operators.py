@@ -5,12 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import merging, connections as cx
-from kinweave.operators import merging, crm, sales
-from kinweave.operators import merging, lifecycle as lc
-from kinweave.operators import merging, matching as mt
-from kinweave.operators import merging, persons as ps
-from kinweave.operators import merging, prediction as pr
+from kinweave.operators import connections as cx
+from kinweave.operators import crm, merging, sales
+from kinweave.operators import lifecycle as lc
+from kinweave.operators import matching as mt
+from kinweave.operators import persons as ps
+from kinweave.operators import prediction as pr
 from kinweave.sources import dumps
 from kinweave.streaming import incremental as inc
 
