@@ -2,55 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import edge_active
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one, which serves local masters alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-#: Folders that were written and not dropped yet, in order.
-_written: list[str] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def cut(df: DataFrame, name: str = "round") -> DataFrame:
-    """df written to the shared folder and read back: loops keep short plans that outlive executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written() -> int:
-    """How many folders there are by now; drop_written takes those after such a mark."""
-    return len(_written)
-
-
-def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the folders written after a mark but the newest few. Frames that read them are of no use from then on."""
-    until = len(_written) - keep
-    for path in _written[since:until]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _written[since:until]
+from ..staging import Scope, cut
 
 
 def shared_by(edges: DataFrame, key: list[str], persons: DataFrame, active: Column | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -122,8 +78,6 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, dead_ends: Data
         visited = visited.union(frontier.select("seed", "node", "hop"))
     if most is None:
         return visited
-    from pyspark.sql import Window
-
     return visited.withColumn("at", F.row_number().over(Window.partitionBy("seed").orderBy("hop", "node"))).where(F.col("at") <= most).drop("at")
 
 
@@ -158,21 +112,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     own = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    mark = written()
-    for _ in range(rounds):
-        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("component").alias("low"))
-        stepped = now.join(near, now.node == near.a).select("node", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        stepped = cut(stepped, "near")
-        above = stepped.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = stepped.join(above, "component").select("node", F.least("component", "above").alias("component"), (F.col("moved") | (F.col("above") < F.col("component"))).alias("moved"))
-        jumped = cut(jumped, "jump")
-        drop_written(spark, mark, keep=1)
-        now = jumped.drop("moved")
-        if not jumped.where("moved").take(1):
-            return now
-    raise RuntimeError("components did not settle")
+    with Scope(spark) as whole:
+        both = cut(own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+        with Scope(spark) as passed:
+            for _ in range(rounds):
+                near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("component").alias("low"))
+                stepped = now.join(near, now.node == near.a).select("node", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
+                stepped = cut(stepped, "near")
+                above = stepped.select(F.col("node").alias("component"), F.col("component").alias("above"))
+                jumped = stepped.join(above, "component").select("node", F.least("component", "above").alias("component"), (F.col("moved") | (F.col("above") < F.col("component"))).alias("moved"))
+                jumped = cut(jumped, "jump")
+                passed.drop(keep=1)
+                now = jumped.drop("moved")
+                if not jumped.where("moved").take(1):
+                    break
+            else:
+                raise RuntimeError("components did not settle")
+        whole.drop(keep=1)  # the last round holds the result
+    return now
 
 
 def audit_trail(events: DataFrame, lineage: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.connections import new_folder
+from ..staging import new_folder
 from ..sources import dumps
 from ..streaming import incremental as inc
 from .catalog import query
