@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.connections import cut, new_folder
+from ..staging import cut, new_folder
 
 #: Settings of Spark, their defaults, and what operators set in their place: a batch is held whole by a worker, and texts may be long.
 BATCH = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")]

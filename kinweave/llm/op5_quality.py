@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.connections import drop_written, written
+from ..staging import Scope
 from .common import has_rows, map_batches, stage, table
 
 #: What a coordinate may vary at least, as a standard deviation; keeps the covariance regular where all rows are equal.
@@ -161,21 +161,21 @@ def starts(rows: DataFrame) -> DataFrame:
 def concentrated(rows: DataFrame) -> DataFrame:
     """rows (grp, FEATURES) to one row per group: grp, mean, cov, inverse, determinant of the half with the smallest determinant found."""
     now, names = starts(rows), list(FEATURES)
-    spark, mark = rows.sparkSession, written()
 
     def each(row: dict) -> list[dict]:
         mean, cov = matrix(row)
         return [estimate({"grp": row["grp"], "start": row["start"]}, mean, CONSISTENCY * cov + LEAST)]
 
-    for k in range(STEPS):
-        far = with_groups(rows, now, ["grp"]).select("grp", "start", *names, distance("mean", "inverse").alias("d"))
-        limit = stage(far.groupBy("grp", "start").agg(F.percentile_approx("d", SHARE, 2000).alias("limit")), "quality-limit")
-        near = with_groups(far, limit, ["grp", "start"]).where("d <= limit")
-        after = stage(per_row(near.groupBy("grp", "start").agg(*moments([F.col(c) for c in names])), each, "grp string, start int"), "quality-step")
-        before, now = now.select("grp", "start", F.col("determinant").alias("was")), after
-        if k and not has_rows(after.join(before, ["grp", "start"]).where(F.col("determinant") < (1 - FALL) * F.col("was"))):
-            break
-        drop_written(spark, mark, keep=1)
+    with Scope(rows.sparkSession) as steps:
+        for k in range(STEPS):
+            far = with_groups(rows, now, ["grp"]).select("grp", "start", *names, distance("mean", "inverse").alias("d"))
+            limit = stage(far.groupBy("grp", "start").agg(F.percentile_approx("d", SHARE, 2000).alias("limit")), "quality-limit")
+            near = with_groups(far, limit, ["grp", "start"]).where("d <= limit")
+            after = stage(per_row(near.groupBy("grp", "start").agg(*moments([F.col(c) for c in names])), each, "grp string, start int"), "quality-step")
+            before, now = now.select("grp", "start", F.col("determinant").alias("was")), after
+            if k and not has_rows(after.join(before, ["grp", "start"]).where(F.col("determinant") < (1 - FALL) * F.col("was"))):
+                break
+            steps.drop(keep=1)
     return now.groupBy("grp").agg(F.min_by(F.struct("mean", "cov"), F.struct("determinant", "start")).alias("e")).select("grp", "e.*")
 
 
@@ -229,7 +229,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     doc_id, null included, are judged each. Repeated rows share their verdict.
     """
     digests = ("h1 of text", "h2 of text")
-    marked = docs.withColumns(dict(zip(digests, (F.xxhash64("text", "lang", "source"), F.crc32(F.col("text").cast("binary"))), strict=True)))
+    marked = docs.withColumns(dict(zip(digests, (F.xxhash64("text", "lang", "source", F.col("lang").isNull(), F.col("source").isNull()), F.crc32(F.col("text").cast("binary"))), strict=True)))
     key = ["doc_id", *digests]
     bad = stage(judge(marked, digests).where("not kept").select(*key).distinct(), "quality-rejected")
     same = reduce(lambda x, y: x & y, (marked[c].eqNullSafe(bad[c]) for c in key))

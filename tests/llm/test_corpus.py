@@ -628,13 +628,37 @@ def test_pipeline_stages_on_nulls_repeats_and_clashing_columns(spark, monkeypatc
 
 
 def test_pipeline_leaves_its_result_alone_behind(spark, data):
-    from kinweave.operators import connections
+    from kinweave.staging import Scope
 
     pipeline = pytest.importorskip("corpus_pipeline")
-    mark = connections.written()
-    out = pipeline.run(spark, data)
-    assert connections.written() - mark == 1 and out.count() > 0
-    connections.drop_written(spark, mark)
+    with Scope(spark) as made:
+        out = pipeline.run(spark, data)
+        assert len(made.paths) == 1 and out.count() > 0
+        made.drop()
+
+
+def test_queries_of_one_session_leave_each_other_alone(spark, data):
+    """Loops that write and delete tables, at once in four threads, have the rows that they have alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from kinweave.operators.connections import components
+    from kinweave.plans import catalog
+
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    runs = [lambda: components(chain), lambda: op5_quality.query(spark, data), lambda: op10_simhash.query(spark, data), lambda: catalog.queries()["vehicle_identity"](spark, data)]
+    rows = lambda run: sorted(map(str, run().collect()))
+    alone = [rows(run) for run in runs]
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(rows, runs)) == alone
+
+
+def test_quality_tells_null_languages_and_sources_apart(spark):
+    good, junk = prose(5, 120), "# $ % " * 40
+    docs = spark.createDataFrame([(9, good, None, "en"), (9, good, "en", None), (1, junk, "en", None)], "doc_id long, text string, lang string, source string")
+    judged = op5_quality.judge(docs).where("doc_id = 9").count()
+    marked = {(r["lang"], r["source"]) for r in op5_quality.keep_good(docs).where("doc_id = 9").collect()}
+    verdicts = [r["kept"] for r in op5_quality.judge(docs).collect() if r["doc_id"] == 9]
+    assert judged == 2 and len(marked) == sum(verdicts)
 
 
 def test_bpe_cache_turns_over(monkeypatch):
