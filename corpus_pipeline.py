@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import op1_toxicity, op2_packing, op5_quality, op10_simhash
 from kinweave.llm.common import stage, table, tokenizer_path
-from kinweave.operators.connections import drop_written, written
+from kinweave.staging import Scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the documents, each written to the shared folder and read again."""
-    docs, mark = table(spark, sf_dir, "documents"), written()
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-        drop_written(spark, mark, keep=1)  # what this stage was made from is not read again
+    docs = table(spark, sf_dir, "documents")
+    with Scope(spark) as made:
+        for name, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            made.drop(keep=1)  # what this stage was made from is not read again
     return docs
