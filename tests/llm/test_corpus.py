@@ -50,7 +50,7 @@ def packed(ids):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracles(spark, data, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations", "documents"):
+    for t in ("embeddings", "conversations", "documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     assert rows_of(registry.queries()[name](spark, data)) == rows_of(con.sql(registry.oracle_sql()[name]))
 
