@@ -129,11 +129,11 @@ def audit(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     sets = texts.where("set is not null").groupBy("set").agg(F.first("windows").alias("windows")).select("set", F.explode("windows").alias("window"))
     ids = sets.join(of_items, "window").groupBy("set").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
     listed = ids.select("set", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("digest"))
-    out = texts.join(listed, "set", "left").select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copy"),
-    )
-    return out.select("*", F.explode("copy").alias("one")).drop("copy", "one")
+    row = ["doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit"]
+    rest = [(F.col("n_hit") > 0).alias("contaminated"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("copy")]
+    hit = texts.where("set is not null").join(listed, "set").select(*row, F.col("n").alias("n_items"), F.col("digest").alias("items_sha256"), *rest)
+    clean = texts.where("set is null").select(*row, F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), *rest)
+    return hit.union(clean).select("*", F.explode("copy").alias("one")).drop("copy", "one")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
