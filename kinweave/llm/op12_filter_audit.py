@@ -39,6 +39,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     own = stage(own, "audit-flags")
     repeated = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    repeated = stage(repeated, "audit-repeated")  # so that the join below reads two exchanges, and a text of many rows can be split
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     out = own.join(repeated, "digest", "left").join(marks, "doc_id", "left")
     return out.select("doc_id", "part", "a", "b", "c", "d", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("e"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")))
