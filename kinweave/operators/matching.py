@@ -103,17 +103,18 @@ def deterministic(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, re
     return out.withColumns({"rule": rule, "verdict": verdict}).drop("same", "trusted")
 
 
-def identifier_evidence(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, near: bool = True) -> DataFrame:
+def identifier_evidence(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, near: bool = True, reach: DataFrame | None = None) -> DataFrame:
     """Per pair: evidence (uncapped), phone_exact, email_exact, high_fanout, corroborated, phone_near, email_near.
 
-    An edge may carry source_type; an edge from a conversation does not corroborate. near=False leaves near misses out.
+    An edge may carry source_type; an edge from a conversation does not corroborate. near=False leaves near misses out. reach holds the
+    edges that tell hot phones, where they are others than edges.
     """
     kinds = ["phone", "email"]
     mine = pairs.select("record_id", "person_id").join(identifiers.where(F.col("identifier_type").isin(*kinds)).select("record_id", "identifier_type", "normalized_value", F.col("is_verified").alias("mine_verified")), "record_id")
     system = (F.coalesce(F.col("source_type"), F.lit("conversation")) != "conversation") if "source_type" in edges.columns else F.lit(True)
     held = edges.where(usable_evidence() & F.col("identifier_type").isin(*kinds)).groupBy("person_id", "identifier_type", "normalized_value").agg(F.bool_or("is_verified").alias("held_verified"), F.bool_or(system).alias("system"))
-    reach = fanout(edges).where((F.col("identifier_type") == "phone") & (F.col("fanout") > PHONE_PERSONS)).select("identifier_type", "normalized_value", F.lit(True).alias("hot"))
-    exact = mine.join(held, ["person_id", "identifier_type", "normalized_value"], "left").join(reach, ["identifier_type", "normalized_value"], "left")
+    hot_phones = fanout(edges if reach is None else reach).where((F.col("identifier_type") == "phone") & (F.col("fanout") > PHONE_PERSONS)).select("identifier_type", "normalized_value", F.lit(True).alias("hot"))
+    exact = mine.join(held, ["person_id", "identifier_type", "normalized_value"], "left").join(hot_phones, ["identifier_type", "normalized_value"], "left")
     hit = F.col("held_verified").isNotNull()
     hot = hit & F.coalesce(F.col("hot"), F.lit(False))
     worth = F.when(hit, F.when(F.col("mine_verified") & F.col("held_verified"), WEIGHT["verified"]).otherwise(WEIGHT["unverified"])).otherwise(0.0) + F.when(hot, WEIGHT["high_fanout"]).otherwise(0.0)
@@ -226,15 +227,10 @@ def resolved_groups(merges: DataFrame, locks: DataFrame, now) -> DataFrame:
     return found.join(bad, "component", "left").select("node", "component", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
-def person_assignment(best: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Persons for all records of a batch: merged records go to theirs; the others, but those in review, are clustered by shared usable
-    identifiers with each other, and each cluster is one new person, named by its smallest record."""
+def person_assignment(best: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Persons for the records of a batch: merged records go to theirs, those in review to none yet, and the others to the
+    new person of their cluster (record_id, cluster), named by its smallest record."""
     to_person = best.where("decision = 'merge'").select("record_id", F.concat(F.lit("p:"), F.col("person_id").cast("string")).alias("person"))
     fresh = best.where("decision = 'no_match'").select("record_id")
-    own = identifiers.where(F.col("quality_flag").isin(*USABLE)).join(fresh, "record_id", "left_semi").select("record_id", "identifier_type", "normalized_value").distinct()
-    # each value links its records to their smallest, so a group of n makes n - 1 links
-    star = own.groupBy("identifier_type", "normalized_value").agg(F.min("record_id").alias("b"), F.count("*").alias("n"))
-    star = star.where(within_cap(F.col("identifier_type"), F.col("n"))).drop("n")
-    links = own.join(star, ["identifier_type", "normalized_value"]).select(F.col("record_id").alias("a"), "b").where("a <> b").distinct()
-    group = fresh.join(components(links), fresh.record_id == F.col("node"), "left").select("record_id", F.concat(F.lit("n:"), F.coalesce("component", "record_id").cast("string")).alias("person"))
+    group = fresh.join(clusters, "record_id", "left").select("record_id", F.concat(F.lit("n:"), F.coalesce("cluster", "record_id").cast("string")).alias("person"))
     return to_person.union(group)

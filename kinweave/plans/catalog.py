@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import graph_queries, intake_queries, matching_queries, merging_queries, review_queries, scalar_queries, source_queries, trade_queries  # noqa: F401
+    from . import batch_queries, graph_queries, intake_queries, matching_queries, merging_queries, review_queries, scalar_queries, source_queries, trade_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -88,51 +88,6 @@ def best_match(v: Views):
     return mt.best_match(scored(v)).withColumn("also_linked", F.array_join(F.col("also_linked").cast("array<string>"), ","))
 
 
-def assigned(v: Views, best, pairs):
-    """From picks to persons: every record, the owner it had before (every seventh had its neighbour), and new persons for what matched none."""
-    none = F.array().cast("array<bigint>")
-    every = v.person.select(F.col("person_id").alias("record_id")).join(best, "record_id", "left")
-    every = every.select("record_id", F.coalesce("decision", F.lit("no_match")).alias("decision"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "person_id", F.coalesce("also_linked", none).alias("also_linked"))
-    prior = v.person.where("person_id % 7 = 3").select(F.col("person_id").alias("record_id"), (F.col("person_id") - 1).alias("prior_id"))
-    settled = pr.saved(mt.continuity(every, prior, pairs), "settled")
-    return settled.join(mt.person_assignment(settled, incoming(v)), "record_id", "left").select("record_id", "decision", "confidence", "person_id", "had_owner", "person")
-
-
-@query(f"""
-    WITH RECURSIVE {SCORED.strip()}, b AS (SELECT *, CASE WHEN confidence >= 0.4 THEN 0 WHEN confidence >= 0.2 THEN 1 ELSE 2 END AS k FROM conf), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY k, confidence DESC, person_id) AS n, count(*) FILTER (k = 0) OVER (PARTITION BY record_id) AS merging FROM b),
-    best AS (SELECT p.person_id AS record_id, CASE k WHEN 0 THEN 'merge' WHEN 1 THEN 'review' ELSE 'no_match' END AS decision, CASE WHEN k < 2 THEN r.confidence ELSE 0 END::DOUBLE AS confidence, CASE WHEN k < 2 THEN r.person_id END AS person_id, k = 0 AND merging > 1 AS more FROM person p LEFT JOIN r ON r.record_id = p.person_id AND r.n = 1),
-    xc AS (SELECT best.*, CASE WHEN best.record_id % 7 = 3 THEN best.record_id - 1 END AS prior_id, conf.confidence AS own FROM best LEFT JOIN conf ON conf.record_id = best.record_id AND conf.person_id = best.record_id - 1 AND best.record_id % 7 = 3),
-    m AS (SELECT *, coalesce(own IS NOT NULL AND decision = 'merge' AND confidence >= 0.9 AND confidence - own + 1e-12 >= 0.1 AND NOT coalesce(more, false), false) AS moves, coalesce(person_id = prior_id, false) AND NOT coalesce(more, false) AS stays FROM xc),
-    s AS (SELECT record_id, CASE WHEN prior_id IS NULL OR stays THEN decision WHEN moves THEN 'merge' ELSE 'review' END AS decision, confidence, CASE WHEN prior_id IS NULL OR moves THEN person_id ELSE prior_id END AS person_id, prior_id IS NOT NULL AS had_owner FROM m),
-    ow AS (SELECT DISTINCT i.person_id AS record_id, identifier_type, normalized_value FROM identified_by i JOIN s ON s.record_id = i.person_id AND s.decision = 'no_match' WHERE quality_flag IN ('valid', 'partial_parse')),
-    st AS (SELECT identifier_type, normalized_value, min(record_id) AS b FROM ow GROUP BY ALL HAVING count(*) <= CASE identifier_type WHEN 'phone' THEN 50 WHEN 'email' THEN 100 ELSE 5 END),
-    ed AS (SELECT record_id AS a, b FROM ow JOIN st USING (identifier_type, normalized_value) WHERE record_id <> b UNION SELECT b, record_id FROM ow JOIN st USING (identifier_type, normalized_value) WHERE record_id <> b),
-    reach AS (SELECT DISTINCT a AS node, a AS at_ FROM ed UNION SELECT node, b FROM reach JOIN ed ON ed.a = at_), comp AS (SELECT node, min(at_) AS c FROM reach GROUP BY 1)
-    SELECT record_id, decision, confidence, s.person_id, had_owner, CASE decision WHEN 'merge' THEN 'p:' || s.person_id WHEN 'no_match' THEN 'n:' || coalesce(c, record_id) END AS person FROM s LEFT JOIN comp ON node = record_id""")
-def resolution(v: Views):
-    pairs = pr.saved(scored(v), "scored")
-    return assigned(v, mt.best_match(pairs), pairs)
-
-
-@query()
-def match_full(v: Views):
-    """The whole chain with rules, names and near misses, then the pick, continuity and persons for what matched none.
-
-    Names enter by a similarity whose form differs from DuckDB's; the rest of the chain is compared in resolution.
-    """
-    pairs = pr.saved(found(v), "pairs")
-    veto = mt.locked_candidates(pairs, incoming(v), v.identified_by, v.person, v.no_match_lock, 200)
-    pairs = pairs.join(veto, ["record_id", "person_id"], "left_anti").withColumn("record_type", F.lit("identity"))
-    ruled = pr.saved(mt.deterministic(pairs, incoming(v), v.identified_by), "ruled")
-    hard = ruled.where("verdict = 'merge'").select("record_id", "person_id", F.col("verdict").alias("decision"), F.lit(1.0).alias("confidence"))
-    evidence = mt.identifier_evidence(ruled.where("verdict is null").select("record_id", "person_id"), incoming(v), v.identified_by)
-    named = mt.name_similarity(pr.saved(evidence, "evidence"), v.person.select(F.col("person_id").alias("record_id"), F.array("preferred_full_name").alias("names")), v.person.select("person_id", F.array("preferred_full_name").alias("held_names")))
-    rows = named.join(v.person.select(F.col("person_id").alias("record_id"), F.col("preferred_dob").alias("dob")), "record_id").join(v.person.select("person_id", F.array("preferred_dob").alias("held_dobs")), "person_id")
-    soft = mt.scored(rows.withColumns({"address_match": F.floor(F.col("record_id") / 4) == F.floor(F.col("person_id") / 4), "record_type": F.lit("identity")})).select("record_id", "person_id", "decision", "confidence")
-    judged = pr.saved(hard.union(soft), "judged")
-    return assigned(v, mt.best_match(judged), judged)
-
-
 @query(f"""
     WITH k AS ({KEYS}), l AS {LOCKS}, pairs AS (SELECT DISTINCT x.person_id AS a, y.person_id AS b FROM k x JOIN k y USING (identifier_type, normalized_value) WHERE x.person_id < y.person_id)
     SELECT a, b FROM pairs WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.a = pairs.a AND l.b = pairs.b)""")

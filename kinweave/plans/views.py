@@ -146,6 +146,27 @@ VIEWS |= {
     "source_link": "SELECT DISTINCT event_id % 4 AS source_key, CAST(user_id AS STRING) AS source_record_id, user_id AS person_id FROM {events} WHERE user_id % 6 <> 0",
 }
 
+VIEWS |= {
+    # households of eight whose members share phones and mail addresses and hold different government ids; a tenth of them share one phone
+    "new_record": """
+        SELECT c_custkey AS record_id, CAST(floor(c_custkey / 8) AS BIGINT) AS home, c_custkey % 8 AS member,
+          CASE WHEN c_custkey % 8 IN (0, 1, 2, 3, 7) THEN '1980-01-01' WHEN c_custkey % 8 IN (4, 5) THEN '1990-02-02' END AS dob,
+          CASE WHEN c_custkey % 8 = 5 THEN 'Zoltan Quist' WHEN c_custkey % 2 = 0 THEN 'Anna Lim' ELSE 'Ana Lim' END AS name,
+          CASE WHEN c_custkey % 8 <> 3 THEN CAST(floor(c_custkey / 8) AS BIGINT) END AS address_id
+        FROM {customer}""",
+    "new_identifier": """
+        SELECT record_id, 'phone' AS identifier_type, CASE WHEN home % 10 = 0 THEN '+6599999999' WHEN member = 6 THEN '+65' || CAST(80000001 + home * 10 AS STRING) ELSE '+65' || CAST(80000000 + home * 10 AS STRING) END AS normalized_value,
+          member % 2 = 0 AS is_verified, 'valid' AS quality_flag, 2 AS position
+        FROM {new_record} WHERE member < 7
+        UNION ALL
+        SELECT record_id, 'email', 'household' || CAST(home AS STRING) || 'x' || CAST(CAST(floor(member / 2) AS BIGINT) AS STRING) || CASE WHEN member = 7 THEN '@gmial.com' ELSE '@gmail.com' END,
+          member < 4, CASE WHEN home % 7 = 5 THEN 'placeholder_value' ELSE 'valid' END, 3
+        FROM {new_record}
+        UNION ALL
+        SELECT record_id, 'nric', 'S' || CAST(1000000 + home AS STRING) || CASE WHEN member = 3 THEN 'B' ELSE 'A' END, true, 'valid', 1
+        FROM {new_record} WHERE member IN (0, 3) OR (member = 4 AND home % 3 = 0)""",
+}
+
 NAME = re.compile(r"\{(\w+)\}")
 
 

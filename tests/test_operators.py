@@ -118,7 +118,8 @@ def test_best_match_links_all_merges(spark):
 def test_new_records_cluster_with_each_other(spark):
     best = spark.createDataFrame([(1, "merge", 50), (2, "no_match", None), (3, "no_match", None), (4, "no_match", None), (5, "review", 9)], "record_id long, decision string, person_id long")
     ids = spark.createDataFrame([(2, "phone", "a", "valid"), (3, "phone", "a", "valid"), (4, "phone", "b", "invalid_format")], "record_id long, identifier_type string, normalized_value string, quality_flag string")
-    assert rows(mt.person_assignment(best, ids), "record_id", "person") == [(1, "p:50"), (2, "n:2"), (3, "n:2"), (4, "n:4")]
+    clusters = spark.createDataFrame([(2, 2), (3, 2)], "record_id long, cluster long")
+    assert rows(mt.person_assignment(best, clusters), "record_id", "person") == [(1, "p:50"), (2, "n:2"), (3, "n:2"), (4, "n:4")]
 
 
 def test_versions(spark):
