@@ -102,7 +102,6 @@ def constrained_components(links: DataFrame, classes: DataFrame, forbidden: Data
                     apart = banned.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select("x", "y").distinct()
                     held = apart.select("x").distinct().withColumn("held", F.lit(True))
                     pair = pair.join(apart, ["x", "y"], "left_anti")
-                pair = cut(pair, "batch-allowed")
                 ways = pair.select("x", "y", "s", F.col("cx").alias("own"), F.col("cy").alias("other")).union(pair.select("y", "x", "s", "cy", "cx"))
                 best = ways.groupBy("x").agg(F.max_by(F.struct("y", "own", "other"), "s").alias("best"), F.count("*").alias("degree"))
                 if banned is not None:
@@ -110,17 +109,18 @@ def constrained_components(links: DataFrame, classes: DataFrame, forbidden: Data
                 free = F.lit(True) if banned is None else F.col("held").isNull()
                 sure = (F.col("degree") == 1) & free & (F.col("best.own").isNull() | F.coalesce(F.col("best.own") == F.col("best.other"), F.lit(False)))
                 best = cut(best.select("x", F.col("best.y").alias("y"), sure.alias("sure")), "batch-best")
-                mutual = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"], "left_semi").select("x", "y")
-                taken = cut(mutual.union(best.where("sure").select("x", "y")).distinct(), "batch-taken")
-                if not taken.take(1):
+                if not best.take(1):  # while a link is left, the strongest of all is taken
                     break
-                joined = components(taken.toDF("a", "b")).toDF("component", "to")
-                after = now.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "cls")
-                now = cut(after, "batch-round")
+                # x chooses y, y chooses z, z chooses w: a pair chooses each other and takes the smaller's name; a sure one takes that of y's pair
+                chain = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").join(best.select(F.col("x").alias("z"), F.col("y").alias("w")), "z")
+                to = F.when(F.col("z") == F.col("x"), F.least("x", "y")).when(F.col("sure") & (F.col("w") == F.col("y")), F.least("y", "z")).when(F.col("sure"), F.col("y"))
+                named = chain.select(F.col("x").alias("component"), to.alias("to")).where("to <> component")
+                now = cut(now.join(named, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "cls"), "batch-round")
                 grown.drop(keep=1)
             else:
                 raise RuntimeError("clusters did not settle")
-        out = cut(clean.union(now.select("node", "component")), "batch-clusters")
+        low = now.groupBy("component").agg(F.min("node").alias("low"))
+        out = cut(clean.union(now.join(low, "component").select("node", "low")), "batch-clusters")
         whole.drop(keep=1)
     return out
 
