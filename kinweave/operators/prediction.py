@@ -149,9 +149,22 @@ def temporal_folds(rows: DataFrame, least: int = 3) -> DataFrame:
 
 
 def ranked(scores: DataFrame, group: list[str]) -> DataFrame:
-    """Scores (row_id, p, label) with rank by p and the running number of positives. Groups are test periods."""
-    w = Window.partitionBy(*group).orderBy(F.desc("p"), "row_id")
-    return scores.withColumns({"rank": F.row_number().over(w), "tp": F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n": F.count("*").over(Window.partitionBy(*group)), "pos": F.sum("label").over(Window.partitionBy(*group))})
+    """Scores (row_id, p, label) with rank by p, the running number of positives tp, and the totals n and pos. Groups are test periods.
+
+    Rows are dealt by ranges of group and score, so one period of all rows is ranked by all tasks: each range is ranked by itself,
+    and ranges add what comes before them in their group. Null groups are a group.
+    """
+    order = [F.desc("p"), F.col("row_id")]
+    dealt = saved(saved(scores, "scores").repartitionByRange(*(F.col(c) for c in group), *order).withColumn("range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*group, "range").orderBy(*order)
+    local = dealt.withColumns({"rank": F.row_number().over(own), "tp": F.sum("label").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    totals = dealt.groupBy(*group, "range").agg(F.count("*").alias("own_n"), F.sum("label").alias("own_pos"))  # a row for each range of a group
+    before, whole = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
+    sums = {"n_before": F.coalesce(F.sum("own_n").over(before), F.lit(0)), "pos_before": F.coalesce(F.sum("own_pos").over(before), F.lit(0)), "n": F.sum("own_n").over(whole), "pos": F.sum("own_pos").over(whole)}
+    totals = saved(totals.withColumns(sums), "range-totals").drop("own_n", "own_pos")
+    marked = totals.select(F.struct(*group, "range").alias("place"), "n_before", "pos_before", "n", "pos")
+    out = local.withColumn("place", F.struct(*group, "range")).join(marked, "place").withColumns({"rank": F.col("rank") + F.col("n_before"), "tp": F.col("tp") + F.col("pos_before")})
+    return out.drop("place", "range", "n_before", "pos_before")
 
 
 def binary_metrics(scores: DataFrame, group: list[str], share: float = 0.10, bins: int = 10) -> DataFrame:
@@ -270,23 +283,44 @@ def gate_report(labels: DataFrame, folds: Column) -> DataFrame:
     return deals.withColumn("decision", gate_decision(*(F.col(c) for c in ("matured_deals", "positives", "negatives", "months", "folds"))))
 
 
-def version_at(snapshots: DataFrame, versions: DataFrame) -> DataFrame:
-    """snapshots (parent, event_id, at) with the version in force: v, a struct of its columns, and why there is none.
+def as_known(entries: DataFrame, events: DataFrame, versions: DataFrame) -> DataFrame:
+    """entries (parent, event_id, at) with what was known of the parent at that moment, by one ordered pass over each parent.
+
+    state: that of the last event that had happened and was available; late: something other than open had happened and was not yet available;
+    n: how many versions were in force, and v, a struct of the columns of the only one. A version is in force from when it was observed,
+    ingested and activated until it was superseded, rejected or its link failed. selection says why there is none. won and won_known:
+    order and availability of the first win.
 
-    A version is in force from when it was observed, ingested and activated until it was superseded, rejected or its link failed. Exactly
-    one must be. Both sides are split by parent, so a snapshot meets its own parent's versions alone.
+    Every moment at which something changes is a row of a timeline: an event happens, an event is known, a version begins or ends. Running
+    maxima and sums over it are the state at each entry, so a parent costs its events and entries and not their product. The one
+    version in force is told by a running sum of numbers that versions have within their parent.
     """
-    began = [F.col(f"v.{c}") for c in ("observed_at", "ingested_at", "activated_at")]
-    ended = [F.col(f"v.{c}") for c in ("superseded_at", "rejected_at", "link_failed_at")]
-    live = F.col("v.timestamps_valid")
-    for c in began:
-        live = live & F.coalesce(c <= F.col("at"), F.lit(False))
-    for c in ended:
-        live = live & (c.isNull() | (c > F.col("at")))
-    met = snapshots.join(versions.select("parent", F.struct(*versions.columns).alias("v")), "parent", "left")
-    out = met.groupBy(*snapshots.columns).agg(F.count_if(live).alias("n"), F.max_by(F.when(live, F.col("v")), F.when(live, F.col("v.version_key"))).alias("only"), F.coalesce(F.bool_or(~F.col("v.timestamps_valid")), F.lit(False)).alias("invalid"))
-    why = F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "selected_parent_ambiguity").when(F.col("invalid"), "invalid_parent_timestamp").otherwise("missing_parent_at_snapshot")
-    return out.select(*snapshots.columns, F.when(F.col("n") == 1, F.col("only")).alias("v"), why.alias("selection"))
+    numbered = versions.withColumns({
+        "number": F.row_number().over(Window.partitionBy("parent").orderBy("version_key")),
+        "began": F.when(F.col("timestamps_valid") & F.col("observed_at").isNotNull() & F.col("ingested_at").isNotNull() & F.col("activated_at").isNotNull(), F.greatest("observed_at", "ingested_at", "activated_at")),
+        "ended": F.least("superseded_at", "rejected_at", "link_failed_at"),
+    })
+    numbered = saved(numbered, "versions-numbered")
+    moved = numbered.where("began is not null and (ended is null or ended > began)").withColumn("number", F.col("number").cast("long"))
+    none = {"kind": F.lit(0), "event_id": F.lit(None).cast(events.schema["event_id"].dataType), "known": F.lit(None), "late": F.lit(0), "live": F.lit(0), "number": F.lit(0).cast("long")}
+    row = lambda df, at, **set_: df.select("parent", F.col(at).alias("at"), *((set_.get(k, v)).alias(k) for k, v in none.items()))
+    order = F.struct(*(F.col(c) for c in _order()), F.col("mapped_state").alias("state"))
+    closing = (F.col("mapped_state") != "open").cast("int")
+    told = events.where("event_at is not null and available_at is not null").withColumn("known_at", F.greatest("event_at", "available_at"))
+    happened = row(told, "event_at", late=closing)
+    known = row(told, "known_at", known=order, late=-closing)
+    begins, ends = row(moved, "began", live=F.lit(1), number=F.col("number")), row(moved.where("ended is not null"), "ended", live=F.lit(-1), number=-F.col("number"))
+    asked = row(entries, "at", kind=F.lit(1), event_id=F.col("event_id"))
+    timeline = known.unionByName(happened).unionByName(begins).unionByName(ends).unionByName(asked)
+    so_far = Window.partitionBy("parent").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = timeline.withColumns({"last": F.max("known").over(so_far), "open_late": F.sum("late").over(so_far), "n": F.sum("live").over(so_far), "only": F.sum("number").over(so_far)}).where("kind = 1")
+    swept = swept.select("parent", "event_id", "at", F.col("last.state").alias("state"), (F.col("open_late") > 0).alias("late"), F.col("n").cast("long").alias("n"), F.when(F.col("n") == 1, F.col("only")).alias("only"))
+    wins = events.where("mapped_state = 'won'").groupBy("parent").agg(F.min(F.struct(*(F.col(c) for c in _order()), F.col("available_at"))).alias("won"))
+    invalid = numbered.groupBy("parent").agg(F.bool_or(~F.col("timestamps_valid")).alias("invalid"))
+    chosen = numbered.select("parent", F.col("number").cast("long").alias("only"), F.struct(*versions.columns).alias("v"))
+    out = swept.join(chosen, ["parent", "only"], "left").join(wins, "parent", "left").join(invalid, "parent", "left")
+    why = F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "selected_parent_ambiguity").when(F.coalesce("invalid", F.lit(False)), "invalid_parent_timestamp").otherwise("missing_parent_at_snapshot")
+    return out.select("parent", "event_id", "at", "state", "late", "won", F.col("won.available_at").alias("won_known"), "v", why.alias("selection"))
 
 
 def operational_labels(events: DataFrame, versions: DataFrame, entities: list, cutoff: Column, horizon_days: int) -> DataFrame:
@@ -297,15 +331,7 @@ def operational_labels(events: DataFrame, versions: DataFrame, entities: list, c
     """
     bad = invalid_parents(events, F.col("valid"))
     entries = open_entries(events).select("parent", "event_id", F.greatest("event_at", "available_at").alias("at"))
-    order = F.struct(*(F.col(f"e.{c}") for c in _order()))
-    e = events.select("parent", F.struct("event_at", "available_at", "head_version", "event_id", "mapped_state").alias("e"))
-    won = F.col("e.mapped_state") == "won"
-    known = (F.col("e.event_at") <= F.col("at")) & (F.col("e.available_at") <= F.col("at"))
-    late = (F.col("e.event_at") <= F.col("at")) & (F.col("e.available_at") > F.col("at")) & (F.col("e.mapped_state") != "open")
-    seen = entries.join(e, "parent").groupBy("parent", "event_id", "at").agg(
-        F.max_by(F.when(known, F.col("e.mapped_state")), F.when(known, order)).alias("state"), F.bool_or(late).alias("late"), F.min(F.when(won, order)).alias("won"), F.min_by(F.when(won, F.col("e.available_at")), F.when(won, order)).alias("won_known"),
-    )
-    out = version_at(seen, versions).join(bad.withColumn("bad", F.lit(True)), "parent", "left")
+    out = as_known(entries, events, versions).join(bad.withColumn("bad", F.lit(True)), "parent", "left")
     end = F.col("at") + F.expr(f"interval {horizon_days} days")
     first = F.col("won.event_at")
     linked = (F.col("v.linked_persons") == 1) & (F.col("v.active_persons") == 1) & F.coalesce(F.col("v.linked_at") <= F.col("at"), F.lit(False))

@@ -167,6 +167,14 @@ VIEWS |= {
         FROM {new_record} WHERE member IN (0, 3) OR (member = 4 AND home % 3 = 0)""",
 }
 
+VIEWS |= {
+    # one phone that a fifth of all persons hold, another that a seventh hold, and the identifiers that they have besides
+    "crowded_identifier": """
+        SELECT person_id, identifier_type, normalized_value, is_active FROM {identified_by}
+        UNION ALL SELECT person_id, 'phone', '+6560000001', true FROM {person} WHERE person_id % 5 = 0
+        UNION ALL SELECT person_id, 'phone', '+6560000002', person_id % 49 <> 0 FROM {person} WHERE person_id % 7 = 0""",
+}
+
 NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -32,22 +32,23 @@ def deduplicated(stream: DataFrame, at: str = "observed_at", keys: tuple[str, ..
 
 def _allocate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     version, last = state.get if state.exists else (0, None)
-    for rows in batches:
-        rows = rows.sort_values(["observed_at", "record_hash"], kind="stable")
-        out = []
-        for at, digest in zip(rows["observed_at"], rows["record_hash"], strict=True):
-            if digest != last:
-                version, last = version + 1, digest
-                out.append((*key, at, digest, version))
-        if out:
-            yield pd.DataFrame(out, columns=["source_system", "source_record_id", "observed_at", "record_hash", "version"])
+    # a key's rows come in several Arrow batches: they are put in order as a whole, repeats of one moment and hash once
+    parts = [rows[["observed_at", "record_hash"]].drop_duplicates() for rows in batches]
+    rows = pd.concat(parts).drop_duplicates().sort_values(["observed_at", "record_hash"], kind="stable")
+    out = []
+    for at, digest in zip(rows["observed_at"], rows["record_hash"], strict=True):
+        if digest != last:
+            version, last = version + 1, digest
+            out.append((*key, at, digest, version))
+    if out:
+        yield pd.DataFrame(out, columns=["source_system", "source_record_id", "observed_at", "record_hash", "version"])
     state.update((version, last))
 
 
 def allocate_versions(stream: DataFrame) -> DataFrame:
     """Versions per source identity, allocated by state: a hash that equals the one before is no new version.
 
-    State holds two values for an identity, whatever its history.
+    State holds two values for an identity, whatever its history; a task holds the moments and hashes that one micro-batch brings for one identity.
     """
     out = "source_system string, source_record_id string, observed_at timestamp, record_hash string, version long"
     return stream.groupBy("source_system", "source_record_id").applyInPandasWithState(_allocate, out, "version long, last string", "append", GroupStateTimeout.NoTimeout)
