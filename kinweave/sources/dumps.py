@@ -1,8 +1,10 @@
 """SQL dump files as a Spark data source: MySQL INSERT and PostgreSQL COPY text, one partition per file and byte range.
 
-A dump is read in ranges of bytes. A range begins at the first statement that starts inside of it and ends with the last one
-that does; a COPY block whose header lies in an earlier range is read by that range. So ranges of a file can be read by
-different tasks, and nothing is held but one row. Doubled quotes and \\N are read as SQL has them.
+A dump is read in ranges of bytes. What a line means depends on what came before it: it may stand outside of statements, in a COPY block,
+in a statement or in a string of one. So all ranges are scanned first, each for all four beginnings at once; a range's scan says how it
+ends for each of them, and one pass over these few numbers tells each range how it truly begins. Then any range is read from its
+first byte on: lines of a COPY block belong to the range that they begin in, and statements to the range that their first
+line begins in. One huge block is read by many tasks, and nothing is held but one row. Doubled quotes and \\N are read as SQL has them.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
 
+from ..staging import new_folder
+
 # Escapes of the two dialects.
 MYSQL_ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 COPY_ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 RANGE_BYTES = 64 << 20
+#: What a line can stand in.
+OUT, COPYING, STATEMENT, STRING = range(4)
 
 TOKEN = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([(),])|([^\s'(),][^'(),]*)", re.S)
 QUOTE = re.compile(r"\\.", re.S)
@@ -80,32 +86,79 @@ def quotes_open(text: str, inside: bool = False) -> bool:
     return inside != bool(QUOTE.sub("", text).count("'") % 2)
 
 
-def copy_lines(lines: Iterator[tuple[int, str]]) -> Iterator[str]:
-    for _, line in lines:
-        if line.rstrip("\r\n") == "\\.":
+def begins_statement(head: str) -> bool:
+    return head[:12].upper() in ("INSERT INTO ", "CREATE TABLE")
+
+
+def step(state: int, line: str) -> int:
+    """What the line after this one stands in."""
+    if state == COPYING:
+        return OUT if line.rstrip("\r\n") == "\\." else COPYING
+    if state == OUT:
+        head = line.lstrip()
+        if COPY.match(head):
+            return COPYING
+        if not begins_statement(head):
+            return OUT
+    if quotes_open(line, state == STRING):
+        return STRING
+    return OUT if line.rstrip().endswith(";") else STATEMENT
+
+
+def scan(lines: Iterator[tuple[int, str]], end: int) -> tuple[list[int], list[int]]:
+    """For each of the four beginnings of a range: how it ends, and the byte of the last COPY header in it (-1: none)."""
+    runs = {(state, -1): [state] for state in (OUT, COPYING, STATEMENT, STRING)}
+    for at, line in lines:
+        if at >= end:
+            break
+        after: dict[tuple[int, int], list[int]] = {}
+        for (state, header), starts in runs.items():  # beginnings that have met stay together
+            to = step(state, line)
+            after.setdefault((to, at if state == OUT and to == COPYING else header), []).extend(starts)
+        runs = after
+    found = {start: run for run, starts in runs.items() for start in starts}
+    return [found[s][0] for s in range(4)], [found[s][1] for s in range(4)]
+
+
+def copy_lines(lines: Iterator[tuple[int, str]], end: int) -> Iterator[str]:
+    for at, line in lines:
+        if at >= end or line.rstrip("\r\n") == "\\.":
             return
         yield line.rstrip("\r\n")
 
 
-def statements(lines: Iterator[tuple[int, str]], end: int) -> Iterator[tuple[str, Iterator[str] | None]]:
-    """A COPY header with the lines of its block, as they are read, or a statement with None; those that start before byte end."""
+def statements(lines: Iterator[tuple[int, str]], end: int, state: int = OUT, header: str = "") -> Iterator[tuple[str, Iterator[str] | None]]:
+    """A COPY header with those lines of its block that begin before byte end, or a statement that does with None.
+
+    state is what the first line stands in; header the line that opened the block where that is a COPY block.
+    """
+    if state == COPYING:
+        block = copy_lines(lines, end)
+        yield header, block
+        for _ in block:
+            pass
+    elif state != OUT:  # the rest of a statement of an earlier range
+        for _, line in lines:
+            state = step(state, line)
+            if state == OUT:
+                break
     for at, line in lines:
         if at >= end:
             return
         head = line.lstrip()
         if COPY.match(head):
-            block = copy_lines(lines)
+            block = copy_lines(lines, end)
             yield head, block
             for _ in block:  # of another table: passed over
                 pass
-        elif head[:12].upper() in ("INSERT INTO ", "CREATE TABLE"):
-            parts, inside = [line], quotes_open(line)
-            while inside or not parts[-1].rstrip().endswith(";"):
+        elif begins_statement(head):
+            parts, state = [line], step(OUT, line)
+            while state != OUT:
                 nxt = next(lines, None)
                 if nxt is None:
                     break
                 parts.append(nxt[1])
-                inside = quotes_open(nxt[1], inside)
+                state = step(state, nxt[1])
             yield "".join(parts), None
 
 
@@ -113,10 +166,10 @@ def created_columns(body: str) -> list[str]:
     return [plain(line.strip().split()[0]) for line in body.splitlines() if line.strip()[:1] in ('`', '"')]
 
 
-def dump_rows(lines: Iterator[tuple[int, str]], table: str, columns: list[str] | None, end: int = 1 << 62) -> Iterator[dict]:
+def dump_rows(lines: Iterator[tuple[int, str]], table: str, columns: list[str] | None, end: int = 1 << 62, state: int = OUT, header: str = "") -> Iterator[dict]:
     """Rows of one table as dicts. Column names come from the statement, else from columns, else from CREATE TABLE."""
     made: list[str] | None = columns
-    for text, block in statements(lines, end):
+    for text, block in statements(lines, end, state, header):
         if block is not None:
             m = COPY.match(text)
             if plain(m[1]) == table:
@@ -152,8 +205,8 @@ def cast(value, kind):
 
 
 class DumpRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, state: int = OUT, header: int = -1):
+        self.path, self.start, self.end, self.state, self.header = path, start, end, state, header
 
 
 class DumpReader(DataSourceReader):
@@ -161,7 +214,7 @@ class DumpReader(DataSourceReader):
         self.schema, self.table = schema, options["table"]
         self.path, self.bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
         self.columns = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
-        self.made = options.get("made") == "true"
+        self.mode, self.states = options.get("mode", "rows"), options.get("states")
 
     def _open(self, path: str):
         from pyarrow.fs import FileSystem
@@ -176,20 +229,41 @@ class DumpReader(DataSourceReader):
         fs, at = self._open(self.path)
         found = fs.get_file_info(at)
         files = [f for f in fs.get_file_info(FileSelector(at)) if f.type == FileType.File and f.base_name[0] not in "._"] if found.type == FileType.Directory else [found]
-        return [DumpRange(f.path, s, min(s + self.bytes, f.size)) for f in files for s in range(0, max(f.size, 1), self.bytes)]
+        ranges = [DumpRange(f.path, s, min(s + self.bytes, f.size)) for f in files for s in range(0, max(f.size, 1), self.bytes)]
+        return self._begun(ranges) if self.states else ranges
+
+    def _begun(self, ranges: list[DumpRange]) -> list[DumpRange]:
+        """Each range with how it begins: the ends of the scanned ranges of its file, followed from the first on. Eight numbers a range."""
+        from pyarrow.dataset import dataset
+
+        fs, at = self._open(self.states)
+        scanned = {(r["path"], r["start"]): r for r in dataset(at, filesystem=fs, format="parquet").to_table().to_pylist()}
+        path, state, header = None, OUT, -1
+        for part in ranges:
+            if part.path != path:
+                path, state, header = part.path, OUT, -1
+            part.state, part.header = state, header
+            found = scanned[part.path, part.start]
+            header = header if found["headers"][state] < 0 else found["headers"][state]
+            state = found["ends"][state]
+        return ranges
 
     def read(self, part: DumpRange):
         fs, _ = self._open(self.path)
         with fs.open_input_file(part.path) as file:
-            if self.made:
-                texts = (text.lstrip() for text, block in statements(self._lines(file, part.start), part.end) if block is None)
+            if self.mode == "scan":
+                yield (part.path, part.start, *scan(self._lines(file, part.start), part.end))
+                return
+            header = next(self._lines(file, part.header))[1].lstrip() if part.state == COPYING else ""
+            lines = self._lines(file, part.start)
+            if self.mode == "names":
+                texts = (text.lstrip() for text, block in statements(lines, part.end, part.state, header) if block is None)
                 yield from ((",".join(created_columns(m[2])),) for m in map(CREATE.match, texts) if m and plain(m[1]) == self.table)
                 return
-            yield from (tuple(cast(row.get(f.name), f.dataType) for f in self.schema) for row in dump_rows(self._lines(file, part.start), self.table, self.columns, part.end))
+            yield from (tuple(cast(row.get(f.name), f.dataType) for f in self.schema) for row in dump_rows(lines, self.table, self.columns, part.end, part.state, header))
 
     def _lines(self, file, start: int) -> Iterator[tuple[int, str]]:
-        """(byte, line) from the first line that begins at start or later. A line that only looks like a statement inside a string or a
-        COPY block is told apart by the whole-statement rules of dump writers: statements begin lines with their keyword."""
+        """(byte, line) from the first line that begins at start or later."""
         file.seek(max(start - 1, 0))
         held, at = b"", max(start - 1, 0)
         if start > 0:
@@ -218,8 +292,9 @@ class DumpReader(DataSourceReader):
 class DumpSource(DataSource):
     """spark.read.format('sqldump').schema(...).option('table', t).load(path), a file or a folder of files.
 
-    Options: columns, the names for INSERT statements without their own; rangeBytes; made = true reads the column names that
-    CREATE TABLE gives instead of rows. Schemes are those of pyarrow, local paths included.
+    Options: columns, the names for INSERT statements without their own; rangeBytes; states, a folder with the scan of all ranges, without
+    which every range is taken to begin outside of statements; mode: rows, or scan for how ranges end, or names for the columns that CREATE TABLE
+    gives. Schemes are those of pyarrow, local paths included.
     """
 
     @classmethod
@@ -239,10 +314,13 @@ def read_dump(spark: SparkSession, path: str, table: str, schema: str, columns:
         path = f"{root.rstrip('/')}/{relative_path(path)}"
     spark.dataSource.register(DumpSource)
     read = spark.read.format("sqldump").option("table", table).option("rangeBytes", range_bytes)
+    states = new_folder(spark, "dump-states")
+    read.schema("path string, start long, ends array<int>, headers array<long>").option("mode", "scan").load(path).write.parquet(states)
+    read = read.option("states", states)
     if not columns:
-        names = read.schema("names string").option("made", "true").load(path).agg(F.min("names")).first()[0]
+        names = read.schema("names string").option("mode", "names").load(path).agg(F.min("names")).first()[0]
         columns = names.split(",") if names else None
-    read = read.schema(schema).option("made", "false")
+    read = read.schema(schema).option("mode", "rows")
     return (read.option("columns", ",".join(columns)) if columns else read).load(path)
 
 

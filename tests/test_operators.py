@@ -241,6 +241,25 @@ def test_edges_follow_merges_and_come_back(spark):
     assert merging.edges_after_merges(edges.limit(0), spark.createDataFrame(merges, log)).count() == 0
 
 
+@pytest.mark.parametrize("size", [37, 400, 1000, 1 << 20])
+def test_lines_that_look_like_statements_and_ranges_of_any_size(spark, tmp_path, size):
+    """200 rows of a COPY block, many of which begin like statements, then strings over lines; any range starts right."""
+    looks = ["INSERT INTO docs VALUES (1,'x');", "COPY docs (id) FROM stdin;", "CREATE TABLE docs (", "it's", "plain"]
+    lines = [f"{looks[i % 5]}\t{i}" for i in range(200)]
+    texts = ["it\\'s; INSERT INTO notes VALUES (9,''no'');", "COPY docs (text, id) FROM stdin;\n", "\\.\n'' quoted '' \n;", "-- end"]
+    inserts = [f"INSERT INTO notes (id, text) VALUES ({i},'{texts[i % 4]}\nline {i}'),\n  ({i + 100},NULL);" for i in range(40)]
+    dump = "\n".join(["-- it's a dump", "COPY docs (text, id) FROM stdin;", *lines, "\\.", "", *inserts, "COPY docs (text, id) FROM stdin;", "last\t999", "\\."]) + "\n"
+    (tmp_path / "dump.sql").write_text(dump)
+    docs = dumps.read_dump(spark, str(tmp_path / "dump.sql"), "docs", "id long, text string", range_bytes=size)
+    held = docs.collect()
+    assert {r["id"]: r["text"] for r in held} == {i: looks[i % 5] for i in range(200)} | {999: "last"} and len(held) == 201
+    if size <= 1000:
+        assert docs.where("id < 200").select(F.spark_partition_id()).distinct().count() > 3  # one block, many tasks
+    notes = dumps.read_dump(spark, str(tmp_path / "dump.sql"), "notes", "id long, text string", range_bytes=size).collect()
+    want = {i: texts[i % 4].replace("\\'", "'").replace("''", "'").replace("\\.", ".") + f"\nline {i}" for i in range(40)} | {i + 100: None for i in range(40)}
+    assert {r["id"]: r["text"] for r in notes} == want and len(notes) == 80
+
+
 def test_dump_folders_find_their_columns_and_ranges(spark, tmp_path):
     texts = ["it's", "a\\b\tc\nd\re", "INSERT INTO `t` VALUES (9,'x');", "", None, "\\N", "'); --", "x" * 5000]
     given = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "id long, text string, ok boolean").repartition(3)
