@@ -41,7 +41,9 @@ CELL_ENDS = {"td", "th", "tr", "tbody", "tfoot"}
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": CELL_ENDS, "th": CELL_ENDS}
 #: Words in a class, id or role that mark parts beside the main text. Reader comments, adverts and consent
 #: can outweigh a short article, so their weight alone never makes them the text.
-FOREIGN = set("ad ads advert advertisement adverts sponsor sponsored cookie cookies consent popup comment comments reply replies respond disqus newsletter".split())
+FOREIGN = set("ad ads advert advertisement adverts sponsor sponsored cookie cookies consent popup comment comments reply replies respond discussion discussions disqus newsletter".split())
+#: Of these, words that may also name a remark inside a sentence: they mute no inline text.
+REMARKS = set("comment comments reply replies respond discussion discussions".split())
 BESIDE = set("promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside header footer notice notices modal related share sharing social subscribe signup login toolbar widget".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -78,7 +80,7 @@ class Blocks:
 
     A path lists the labels of the open block tags; parent is the number of the element around the innermost one, so that
     equal numbers mean the same element; weight is the length of the text that is not in a link, as it stands in the markup.
-    Inline tags do not end a block. Those of HIDDEN, and those named by a word of FOREIGN, mute the text up to their end.
+    Inline tags do not end a block. Those of HIDDEN, and those named by a word of FOREIGN but REMARKS, mute the text up to their end.
     """
 
     def __init__(self, page: str):
@@ -134,7 +136,7 @@ class Blocks:
             return
         alone = attributes.endswith("/")
         if tag not in BLOCKS:
-            if not alone and (tag in HIDDEN or (attributes and not FOREIGN.isdisjoint(words_of(attributes)))):
+            if not alone and (tag in HIDDEN or (attributes and not (FOREIGN - REMARKS).isdisjoint(words_of(attributes)))):
                 self.mute.append((tag, len(self.stack)))
             elif self.mute and not alone and any(tag == x for x, _ in self.mute):
                 self.mute.append((tag, len(self.stack)))  # the same tag again, so that its end is told from the outer one's
@@ -321,7 +323,18 @@ def is_constant(part: dict) -> bool:
 
 
 def in_main(path: str) -> bool:
-    return any(x.rstrip("?") in MAIN for x in path.split("/"))
+    """Whether a path leads through an article or main part that does not lie in a part with a foreign name: articles there are comments."""
+    for x in path.split("/"):
+        if x.endswith("#"):
+            return False
+        if x.rstrip("?") in MAIN:
+            return True
+    return False
+
+
+def in_any_main(path: str) -> bool:
+    """in_main, for hosts all of whose articles lie in parts with a foreign name, as of a frame."""
+    return any(x.rstrip("?#") in MAIN for x in path.split("/"))
 
 
 def doubtful(path: str) -> list[str]:
@@ -339,7 +352,7 @@ def content_paths(wrapper: list[dict]) -> list[str]:
             for path, weight in part["mass"].items():
                 if "!" not in path:
                     weights[path] = weights.get(path, 0) + weight
-    kinds = {"main": in_main, "title": lambda p: p.split("/")[-1] == "h1", "all": lambda p: True}
+    kinds = {"main": in_main, "any main": in_any_main, "title": lambda p: p.split("/")[-1] == "h1", "all": lambda p: True}
     share: dict[str, dict[str, int]] = {}  # of each kind, by the beginning of a path; all of it under ""
     for kind, fits in kinds.items():
         share[kind] = {"": 0}
@@ -358,17 +371,15 @@ def content_paths(wrapper: list[dict]) -> list[str]:
 def reader(wrapper: list[dict]) -> dict:
     """What pages are read by: paths of main text, and the parts of the wrapper with their constants, if it has any.
 
-    Constants inside article and main parts count only where they are less than half of these parts' text: pages that
-    share more are copies of one article, not of a template.
+    What stands in an article or main part is its text, however many pages share it: headings recur, and pages may be copies of one
+    article. So constants are taken out of other parts alone.
     """
     kept = set(content_paths(wrapper))
-    main = [(sum(w for p, w in x["mass"].items() if in_main(p)), is_constant(x)) for x in wrapper]
-    copies = 2 * sum(w for w, c in main if c) >= sum(w for w, _ in main)
 
     def constants(part: dict) -> list | None:
         if len(part["pages"]) < LEAST_PAGES or part["texts"] is None:
             return None
-        own = [[] if texts is None or (copies and in_main(path)) else texts for path, texts in part["texts"]]
+        own = [[] if texts is None or in_any_main(path) else texts for path, texts in part["texts"]]
         return own if any(any(x) for x in own) else None
 
     parts = [[x["content"], constants(x)] for x in wrapper]
@@ -399,7 +410,7 @@ def read(page: str | None, rules: dict) -> str:
 
 def main_text(found: list[tuple[str, str]]) -> str:
     """The text of a page from its (path, text) of slots: those in an article or main part where this page has them, else all."""
-    inside = [t for p, t in found if in_main(p)]
+    inside = [t for p, t in found if in_main(p)] or [t for p, t in found if in_any_main(p)]
     return "\n".join(inside or [t for _, t in found])
 
 
