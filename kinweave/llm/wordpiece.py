@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain, filterfalse
+from itertools import chain
 
 from .common import held
 
@@ -37,7 +37,7 @@ class Encoder:
         cut = [(BETWEEN.findall(t) if OTHER_BLANKS.search(t) else t.split()) if t else [] for t in texts]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        new = set(filterfalse(self.pieces.__contains__, chain.from_iterable(cut)))
+        new = set(chain.from_iterable(cut)).difference(self.pieces)  # repeats go first, which is cheaper than looking each up
         if new:
             self._learn(new)
         get = self.pieces.__getitem__
