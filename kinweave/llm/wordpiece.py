@@ -6,14 +6,18 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
+
 from .common import held
 
 #: Blanks at which a text may be cut: the vocabulary's splitter never joins text across them.
 BETWEEN = re.compile(r"[^ \t\n\r]+")
 #: Other characters at which str.split would cut too; texts that hold one are cut by the pattern.
 OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ASCII_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Marks behind a word, which the splitter parts from it.
 MARKS = ",.;:!?"
+MARK = ";"
 #: Entries of each cache; a dict of up to 2^20 * 2 / 3 takes half the room of a larger one.
 PIECES, CORES = 640_000, 640_000
 #: Longer pieces, which may be whole texts, are forgotten after the batch.
@@ -32,9 +36,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces, self.cores = Tokenizer.from_file(path), {}, {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _other_blanks(self, text: str) -> bool:
+        return any(b in text for b in ASCII_BLANKS) if text.isascii() else OTHER_BLANKS.search(text) is not None
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of ASCII words of letters and digits: all as one text with marks between them, which the splitter parts from words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) if len(self.mark) == 1 else []
+        if len(ends) != len(words):
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        raw, starts = ids.tobytes(), [0, *(4 * ends[:-1] + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, (4 * ends).tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(BETWEEN.findall(t) if OTHER_BLANKS.search(t) else t.split()) if t else [] for t in texts]
+        cut = [(BETWEEN.findall(t) if self._other_blanks(t) else t.split()) if t else [] for t in texts]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         new = set(chain.from_iterable(cut)).difference(self.pieces)  # repeats go first, which is cheaper than looking each up
@@ -60,8 +77,13 @@ class Encoder:
             self.cores.clear()
         cores = self.cores
         unseen = list(set(chain.from_iterable(parts.values())).difference(cores))
-        for at in range(0, len(unseen), 4096):
-            some = unseen[at : at + 4096]
+        plain = [c for c in unseen if c.isascii() and c.isalnum() and len(c) <= HELD_CHARS]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            cores.update(zip(some, self._ids(some), strict=True))
+        rest = [c for c in unseen if c not in cores]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for core, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 cores[core] = array("I", e.ids).tobytes()
         pieces = self.pieces
