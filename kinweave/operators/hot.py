@@ -56,3 +56,19 @@ def others_counted(edges: DataFrame, key: list[str], persons: DataFrame, limit:
     apart = pairs.where(~F.coalesce(F.arrays_overlap("things", "theirs"), F.lit(False)))
     both = apart.groupBy("person_id").agg(F.count("*").alias("n")).union(by_hot)
     return both.groupBy("person_id").agg(F.sum("n").cast("long").alias("others")).where("others > 0")
+
+
+def others_of(chosen: DataFrame, edges: DataFrame, key: list[str], persons: DataFrame) -> DataFrame:
+    """others_counted for a page of persons, chosen (person_id): (person_id, others), persons without any have no row. A thing with a null in its key is shared by none, as there.
+
+    Only things of the page count, so all their holders fall into a few classes by which of those things they hold; classes are counted
+    and no pair is made. A chosen person who is not merged is a member of their own class and is taken off again.
+    """
+    live = edges.where(edge_active()).na.drop(subset=key).select("person_id", F.md5(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in key))).alias("thing")).distinct()
+    own = cut(live.join(chosen.select("person_id").distinct(), "person_id", "left_semi"), "own")
+    near = live.join(own.select("thing").distinct(), "thing", "left_semi").join(persons.where("status <> 'merged'").select("person_id"), "person_id", "left_semi")
+    classes = near.groupBy("person_id").agg(F.sort_array(F.collect_set("thing")).alias("things")).groupBy("things").agg(F.count("*").alias("members"))
+    spread = classes.withColumn("sign", F.md5(F.array_join("things", ","))).select("sign", "members", F.explode("things").alias("thing"))
+    met = own.join(spread, "thing").select("person_id", "sign", "members").distinct().groupBy("person_id").agg(F.sum("members").alias("reach"))
+    themselves = persons.join(own.select("person_id").distinct(), "person_id", "left_semi").select("person_id", (F.col("status") != "merged").cast("int").alias("self"))
+    return met.join(themselves, "person_id", "left").select("person_id", (F.col("reach") - F.coalesce("self", F.lit(0))).alias("others")).where("others > 0")

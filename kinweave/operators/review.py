@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import all_of, any_of, contains_ci, order_nulls_last
+from ..staging import cut
+
 #: The state of a case after a command; the last two end it.
 COMMANDS = {"assign": "assigned", "unassign": "open", "defer": "deferred", "reopen": "open", "resolve": "resolved", "cancel": "cancelled"}
 ENDING = ("resolve", "cancel")
 SORTS = {"priority", "confidence", "created_at", "sla_due_at", "queue_state"}
+#: Keys of the list, and whether the largest comes first where nothing is said.
+ORDERS = {"priority": False, "confidence": True, "sla_due_at": False, "created_at": True, "updated_at": True, "queue_state": False}
+CLOSED = ("resolved", "cancelled")
 
 
 def due(cases: DataFrame) -> DataFrame:
@@ -27,6 +33,75 @@ def queue_page(cases: DataFrame, sort: str, descending: bool, skip: int, limit:
     return cases.orderBy(key, F.col("sla_due_at").asc_nulls_last(), "created_at", "case_id").offset(skip).limit(limit)
 
 
+#: Filters of the list by name: what they ask of a case with its decision.
+FILTERS = {
+    "queue_state": lambda v: F.col("queue_state") == v,
+    "assigned_to": lambda v: F.col("assigned_to") == v,
+    "priority_lte": lambda v: F.col("priority") <= v,
+    "priority_gte": lambda v: F.col("priority") >= v,
+    "decision": lambda v: F.col("decision") == v,
+    "engine": lambda v: F.col("engine") == v,
+    "confidence_gte": lambda v: F.col("confidence") >= v,
+    "confidence_lte": lambda v: F.col("confidence") <= v,
+    "created_after": lambda v: F.col("created_at") >= F.lit(v),
+    "created_before": lambda v: F.col("created_at") <= F.lit(v),
+    "sla_due_after": lambda v: F.col("sla_due_at") >= F.lit(v),
+    "sla_due_before": lambda v: F.col("sla_due_at") <= F.lit(v),
+    "overdue_at": lambda v: (F.col("sla_due_at") < F.lit(v)) & ~F.col("queue_state").isin(*CLOSED),
+    "resolved": lambda v: F.col("queue_state").isin(*CLOSED) == F.lit(v),
+}
+#: What a search looks at on each side of a pair.
+SEARCHED = ("preferred_full_name", "preferred_phone", "preferred_email")
+
+
+def _sides(rows: DataFrame, persons: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """rows with left_ and right_ columns of the persons on both sides; null where a side is no person."""
+    for side in ("left", "right"):
+        own = persons.select(F.col("person_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_known"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        rows = rows.join(own, f"{side}_id", "left")
+    return rows
+
+
+def listed(cases: DataFrame, decisions: DataFrame, persons: DataFrame, involved: DataFrame, q: str | None = None, person_id: int | None = None, **filters) -> DataFrame:
+    """Cases of the list with their decision and sla_due_at; a filter of None is not given, unknown ones are refused.
+
+    involved (decision_id, lifecycle_status, is_latest) are the records that decisions are about: a case stays only while every one of
+    its records waits for review, or has no state and is expressly the latest. q is looked for, in any case of letters, in the id,
+    decision, engine and assignee of a case and in name, phone and mail address of both persons; person_id asks for either side.
+    Persons are joined only for these two, so a plain list reads none.
+    """
+    given = {k: v for k, v in filters.items() if v is not None}
+    if unknown := sorted(set(given) - set(FILTERS)):
+        raise ValueError(f"no such filters: {unknown}")
+    waits = F.coalesce(F.col("lifecycle_status") == "pending_review", F.coalesce("is_latest", F.lit(False)))
+    rows = due(cases).join(decisions, "decision_id").where(all_of([FILTERS[k](v) for k, v in given.items()]))
+    rows = rows.join(involved.where(~waits).select("decision_id"), "decision_id", "left_anti")
+    if person_id is not None:
+        asked = persons.where(F.col("person_id") == person_id)
+        either = [asked.select(F.lit(True).alias(f"{side}_asked"), F.col("person_id").alias(f"{side}_id")) for side in ("left", "right")]
+        rows = rows.where((F.col("left_id") == person_id) | (F.col("right_id") == person_id)).join(either[0], "left_id", "left").join(either[1], "right_id", "left")
+        rows = rows.where("left_asked or right_asked").drop("left_asked", "right_asked")
+    if q is None:
+        return rows
+    seen = _sides(rows, persons, SEARCHED).withColumn("case text", F.col("case_id").cast("string"))
+    fields = ["case text", "decision", "engine", "assigned_to", *(f"{side}_{c}" for side in ("left", "right") for c in SEARCHED)]
+    return seen.where(any_of([F.coalesce(contains_ci(f, q), F.lit(False)) for f in fields])).select(*rows.columns)
+
+
+def list_page(rows: DataFrame, persons: DataFrame, sort: str | None = None, descending: bool | None = None, skip: int = 0, limit: int = 20) -> DataFrame:
+    """A page of listed rows, then names and states of both persons, which only the page's pairs are joined for.
+
+    Each key has a direction of its own; what is not an allowed key is priority. place, from 1, is the order of the page.
+    """
+    sort = sort if sort in ORDERS else "priority"
+    descending = ORDERS[sort] if descending is None else descending
+    order = [order_nulls_last(sort, descending), F.col("sla_due_at").asc_nulls_last(), F.col("created_at").asc(), F.col("case_id").asc()]
+    chosen = rows.orderBy(*order).offset(skip).limit(limit)
+    # the limit has cut the rows to one page, which one task can number
+    placed = cut(chosen.withColumn("place", F.row_number().over(Window.orderBy(*order)) + skip), "cases")
+    return _sides(placed, persons, ("preferred_full_name", "status"))
+
+
 def after_commands(cases: DataFrame, commands: DataFrame) -> DataFrame:
     """cases (case_id, queue_state, assigned_to) after commands (case_id, seq, command, user): the last one before or at the first that ends the case counts.
 

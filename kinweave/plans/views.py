@@ -175,6 +175,26 @@ VIEWS |= {
         UNION ALL SELECT person_id, 'phone', '+6560000002', person_id % 49 <> 0 FROM {person} WHERE person_id % 7 = 0""",
 }
 
+VIEWS |= {
+    "address": """
+        SELECT CAST(floor(c_custkey / 4) AS BIGINT) AS address_id, min(c_mktsegment) || ' Road' AS street_name, '#' || CAST(min(c_custkey % 30) AS STRING) AS unit_number, max(n_name) AS city,
+          CAST(100000 + CAST(floor(min(c_custkey) / 4) AS BIGINT) AS STRING) AS postal_code, min(r_name) AS country_code
+        FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey GROUP BY CAST(floor(c_custkey / 4) AS BIGINT)""",
+    # every tenth person has a second address, that of the next household
+    "residence": """
+        SELECT person_id, address_id, is_active FROM {lives_at}
+        UNION ALL SELECT person_id, address_id + 1, CASE WHEN person_id % 20 = 3 THEN true ELSE person_id % 3 = 0 END FROM {lives_at} WHERE person_id % 10 = 3""",
+    "listed_person": """
+        SELECT p.*, o.updated_at, d.crm_deal_count, CASE WHEN p.person_id % 14 <> 0 THEN CAST(floor(p.person_id / 4) AS BIGINT) END AS preferred_address_id
+        FROM {person} p LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS updated_at FROM {orders} GROUP BY o_custkey) o ON o.o_custkey = p.person_id
+          LEFT JOIN (SELECT person_id, count(*) AS crm_deal_count FROM {source_record} WHERE record_type = 'crm_deal' GROUP BY person_id) d ON d.person_id = p.person_id""",
+    "bankruptcy_edge": """
+        SELECT c_custkey AS person_id, o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS is_active
+        FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE c_acctbal < 0""",
+    "involved_record": """
+        SELECT decision_id, record_id, lifecycle_status, is_latest FROM {match_decision} JOIN {source_record} ON record_id = decision_id WHERE engine = 'deterministic'""",
+}
+
 NAME = re.compile(r"\{(\w+)\}")
 
 
