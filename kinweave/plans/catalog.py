@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import batch_queries, graph_queries, intake_queries, listing_queries, matching_queries, merging_queries, paged_queries, record_queries, review_queries, scale_queries, scalar_queries, source_queries, trade_queries  # noqa: F401
+    from . import batch_queries, graph_queries, intake_queries, listing_queries, matching_queries, merging_queries, paged_queries, record_queries, review_queries, scale_queries, scalar_queries, snapshot_queries, source_queries, trade_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

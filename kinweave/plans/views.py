@@ -195,6 +195,28 @@ VIEWS |= {
         SELECT decision_id, record_id, lifecycle_status, is_latest FROM {match_decision} JOIN {source_record} ON record_id = decision_id WHERE engine = 'deterministic'""",
 }
 
+VIEWS |= {
+    # several facts a record, with flags and tiers of their own; a third have no confidence, some are withdrawn
+    "snapshot_fact": """
+        SELECT person_id, record_id, CASE (record_id + k) % 9 WHEN 0 THEN 'stale' WHEN 1 THEN 'source_untrusted' WHEN 2 THEN 'odd' WHEN 3 THEN NULL WHEN 4 THEN 'shared_suspected' ELSE 'valid' END AS quality_flag,
+          CASE WHEN record_id % 8 <> 7 THEN 'tier_' || CAST(1 + (record_id + 3 * k) % 4 AS STRING) END AS trust_tier, CASE WHEN (record_id + k) % 3 <> 0 THEN (record_id % 11 + k) / CAST(20 AS DOUBLE) END AS confidence,
+          CASE WHEN record_id % 6 = 0 THEN NULL ELSE (record_id + k) % 5 <> 0 END AS is_active
+        FROM {source_record} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t WHERE record_id % 10 >= k * 3""",
+    "snapshot_order": """
+        SELECT o_orderkey AS order_id, o_custkey AS person_id, CASE WHEN o_orderkey % 41 <> 0 THEN o_orderdate END AS ordered_at, o_totalprice AS total_amount, CASE WHEN o_orderkey % 5 <> 0 THEN 'SGD' END AS currency,
+          CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 13 <> 1 END AS is_active
+        FROM {orders}""",
+    "vehicle": """
+        SELECT p_partkey AS vehicle_id, CASE WHEN p_partkey % 15 <> 0 THEN p_name END AS product, p_type AS category, p_brand AS manufacturer, CASE WHEN p_partkey % 4 <> 0 THEN 'M' || CAST(p_size AS STRING) END AS model
+        FROM {part}""",
+    "mention": "SELECT record_id, CAST(floor(person_id / 3) AS BIGINT) + record_id % 6 AS vehicle_id, CASE WHEN record_id % 5 <> 0 THEN record_id % 7 <> 0 END AS is_active FROM {source_record} WHERE record_type IN ('conversation', 'crm_deal')",
+    # what is said of the same two persons again has an id of its own; those who order much know many
+    "known_edge": """
+        SELECT 'k' || CAST(src AS STRING) || '-' || CAST(dst AS STRING) AS knows_id, src, dst, CASE label WHEN 'Father' THEN 'family' WHEN 'old friend' THEN 'friend' END AS relationship_category,
+          CASE WHEN src % 9 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS last_confirmed_at, is_active FROM {knows}
+        UNION ALL SELECT 'o' || CAST(o_orderkey AS STRING), o_custkey, CAST(floor(o_custkey / 5) AS BIGINT) * 5, 'colleague', o_orderdate, o_orderkey % 12 <> 5 FROM {orders}""",
+}
+
 NAME = re.compile(r"\{(\w+)\}")
 
 
