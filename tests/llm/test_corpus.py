@@ -252,6 +252,14 @@ def test_licenses_count_each_pair_of_a_template_once(spark):
     assert got[4]["base_labels"] == "mit" and got[4]["n_words"] == 4  # A-Z alone are lowered
 
 
+def test_license_query_has_the_phrases_of_its_contract(spark, tmp_path):
+    texts = ["Released under the MIT License.", "MIT License", "under the mit license under the mit license", "under the\u00e9 mit license; CC-BY-NC", None]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op4_licenses.query(spark, str(tmp_path)).collect()}
+    seen = [(got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"], got[i]["labels"]) for i in range(5)]
+    assert seen == [(5, 1, 1, 1, "mit", "mit"), (2, 0, None, None, "", "mit"), (8, 2, 0, 4, "mit", "mit"), (7, 1, 4, 4, "cc-by-nc", "cc-by-nc,mit"), (0, 0, None, None, "", "")]
+
+
 def test_licenses_equal_their_sql_on_edges(spark, tmp_path):
     docs = documents(spark, [*EDGE, "permission is hereby granted free of charge to any person obtaining a copy of the software", "x " * 30 + "under the very apache license version 2 0", "cc by nc cc by nc"])
     docs.write.parquet(str(tmp_path / "documents"))
