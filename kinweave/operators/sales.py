@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.facts import json_kind
 from ..functions.normalize import normalize_lta_tag, normalize_serial
 from ..functions.predicates import edge_active
+from ..staging import cut
 from .connections import components
 
+#: What an observation is known by.
+IDENTITY = ["lta_tag", "serial_number", "product_sku"]
+
 
 def sales_history(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
     """One row per order: its lines as a list in line order, each with product and total."""
@@ -66,7 +70,9 @@ def without(rows: DataFrame, excluded: DataFrame, key: str, drop_null: bool = Fa
 
 def clean_observations(observations: DataFrame) -> DataFrame:
     """Vehicle observations with normalised tag and serial; those without a product or any identifier are dropped."""
-    out = observations.withColumns({"lta_tag": normalize_lta_tag(F.col("lta_tag")), "serial_number": normalize_serial(F.col("serial_number"))})
+    both = F.struct(normalize_lta_tag(F.col("lta_tag")).alias("lta_tag"), normalize_serial(F.col("serial_number")).alias("serial_number"))
+    # a generator of one row: a filter over its columns is not worked out a second time below it
+    out = observations.select(*(c for c in observations.columns if c not in ("lta_tag", "serial_number")), F.inline(F.array(both))).select(*observations.columns)
     return out.where((F.trim("product_sku") != "") & F.coalesce("lta_tag", "serial_number").isNotNull())
 
 
@@ -101,6 +107,33 @@ def tag_or_serial(observations: DataFrame, asked: DataFrame) -> DataFrame:
     return by_tag.select("ask_id", "observation_id").union(by_serial.select("ask_id", "observation_id")).distinct()
 
 
+def _by_id(rows: DataFrame, key: str) -> DataFrame:
+    """One row an id: tag, serial and product of it, and whether its rows differ in them (mixed)."""
+    each = rows.groupBy(key).agg(F.min(F.struct(*IDENTITY)).alias("low"), F.max(F.struct(*IDENTITY)).alias("high"))
+    return cut(each.select(key, "low.*", (~F.col("low").eqNullSafe(F.col("high"))).alias("mixed")), "vehicle-ids")
+
+
+def tag_or_serial_counts(observations: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """How many observations tag_or_serial finds for each ask that finds any: ask_id, found. Without asked, each observation asks for itself.
+
+    Those of the tag and those of the serial less those of both are counted as groups, and no pairs are made. Only ids whose rows differ in tag, serial or product
+    are paired, as they may be met in several ways.
+    """
+    known = _by_id(observations, "observation_id")
+    asks = known.withColumnRenamed("observation_id", "ask_id") if asked is None else _by_id(asked, "ask_id")
+    one, serial = known.where("not mixed"), ["serial_number", "product_sku"]
+    of = lambda keys, name: one.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name))
+    met = asks.where("not mixed").join(of(["lta_tag"], "by_tag"), "lta_tag", "left").join(of(serial, "by_serial"), serial, "left").join(of(IDENTITY, "by_both"), IDENTITY, "left").na.fill(0, ["by_tag", "by_serial", "by_both"])
+    found = met.select("ask_id", (F.col("by_tag") + F.col("by_serial") - F.col("by_both")).alias("found")).where("found > 0")
+    if not (known.where("mixed").take(1) or asks.where("mixed").take(1)):
+        return found
+    every = observations.select(F.col("observation_id").alias("ask_id"), *IDENTITY) if asked is None else asked
+    mixed = lambda rows, ids, key: rows.join(ids.where("mixed").select(F.col(key).alias("own")), F.col(key).eqNullSafe(F.col("own")), "left_semi")
+    single = asks.where("not mixed").select("ask_id", *IDENTITY)
+    pairs = tag_or_serial(observations, mixed(every, asks, "ask_id")).union(tag_or_serial(mixed(observations, known, "observation_id"), single))
+    return found.union(pairs.groupBy("ask_id").agg(F.count("*").alias("found"))).groupBy("ask_id").agg(F.sum("found").alias("found"))
+
+
 def vehicle_candidates(sales: DataFrame, contacts: DataFrame, holders: DataFrame, persons: DataFrame, edges: DataFrame, decided: DataFrame) -> DataFrame:
     """Who a waiting sale may belong to: sale_id, person_id, vehicle_id, rel_type, is_active, conflict_flag, last_confirmed_at, channels, nric_blocked.
 

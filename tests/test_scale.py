@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import normalize, trees
-from kinweave.operators import hot
+from kinweave.operators import hot, sales
 from kinweave.operators import prediction as pr
 from kinweave.operators import search as se
 from kinweave.streaming import incremental as inc
@@ -135,3 +135,15 @@ def test_versions_of_one_identity_over_many_arrow_batches(spark, tmp_path):
 def test_addresses_word_by_word(spark, text, want):
     a = spark.createDataFrame([(text,)], "x string").select(normalize.normalize_address(F.col("x")).alias("a")).first()["a"]
     assert (a and (a["unit_number"], a["street_number"], a["street_name"], a["postal_code"], a["quality"])) == want
+
+
+def test_tag_or_serial_counts_make_no_pairs(spark):
+    """One tag of 20,000 observations, which are 400,000,000 pairs; and ids that come again with other tags, which are met once."""
+    many = spark.range(20000).select(F.col("id").alias("observation_id"), F.lit("T").alias("lta_tag"), F.concat(F.lit("s"), F.floor(F.col("id") / 2)).alias("serial_number"), F.lit("K").alias("product_sku"))
+    got = sales.tag_or_serial_counts(many)
+    assert [tuple(r) for r in got.groupBy("found").count().collect()] == [(20000, 20000)]
+    rows = [(1, "a", "s", "K"), (1, "b", "s", "K"), (1, "a", "s", "K"), (2, "b", None, "K"), (3, None, "s", "K"), (4, None, "s", "L"), (None, "a", None, "K"), (None, "a", "u", None), (5, "c", "s", "K"), (5, "c", "s", "K")]
+    few = spark.createDataFrame(rows, "observation_id long, lta_tag string, serial_number string, product_sku string")
+    asks = few.withColumnRenamed("observation_id", "ask_id")
+    want = {(r["ask_id"], r["count"]) for r in sales.tag_or_serial(few, asks).groupBy("ask_id").count().collect()}
+    assert {tuple(r) for r in sales.tag_or_serial_counts(few).collect()} == {tuple(r) for r in sales.tag_or_serial_counts(few, asks).collect()} == want
