@@ -1,7 +1,7 @@
 """Paged sources as streams: chains of pages, each page naming the cursor of the next one.
 
 A chain is one resource or one session of a source. Cursors are opaque, so what follows a page is known only once it is read. A step is up to
-pagesPerStep pages of one chain, read in one task; when it ends, the task pins the next step's cursor in the state folder. Offsets
+pagesPerStep pages of one chain, read in one task, or twice as many as the step before up to mostPages; when it ends, the task pins the next step's cursor in the state folder. Offsets
 of the stream are numbers of steps by chain, so the checkpoint of the query says which steps are committed, and a step that is
 run again starts at the same cursor and must end at the same one: within a run the source is a snapshot. The driver handles numbers of
 steps and one small pin a chain, and no page. Chains are read side by side; within one, pages come one after another.
@@ -47,20 +47,27 @@ def _children(uri: str) -> list:
 
 @dataclass
 class FolderPages:
-    """Pages that lie in root/chain=<chain>/cursor=<cursor>/, one file of one line each, as write_pages leaves them."""
+    """Pages that lie in root/chain=<chain>/cursor=<name>/, one file with a page a line, as write_pages leaves them. A cursor is a name, whose first line is meant, or <name>~<line>."""
 
     root: str
+    at: str = ""
+    lines: tuple[bytes, ...] = ()
 
     def chains(self) -> list[str]:
         return sorted(f.base_name.removeprefix("chain=") for f in _children(self.root) if f.base_name.startswith("chain="))
 
     def page(self, chain: str, cursor: str | None, since: str | None) -> dict:
-        at = f"{self.root}/chain={chain}/cursor={cursor or FIRST}"
-        found = [f.path for f in _children(at) if f.is_file and not f.base_name.startswith(("_", "."))]
-        if len(found) != 1:
-            raise ValueError(f"{at} holds {len(found)} pages")
-        with _files(self.root)[0].open_input_file(found[0]) as file:
-            return json.loads(file.read())
+        name, _, line = (cursor or FIRST).rpartition("~")
+        if not (name and line.isdecimal()):
+            name, line = cursor or FIRST, "0"
+        at = f"{self.root}/chain={chain}/cursor={name}"
+        if line == "0" or at != self.at:  # the file read last is held; its first line is always read anew
+            found = [f.path for f in _children(at) if f.is_file and not f.base_name.startswith(("_", "."))]
+            if len(found) != 1:
+                raise ValueError(f"{at} holds {len(found)} files of pages")
+            with _files(self.root)[0].open_input_file(found[0]) as file:
+                self.at, self.lines = at, tuple(file.read().rstrip(b"\n").split(b"\n"))
+        return json.loads(self.lines[int(line)])
 
 
 @dataclass
@@ -108,6 +115,7 @@ class PagedReader(DataSourceStreamReader):
         names = [n for n in options.get("chains", "").split(",") if n]
         self.source = FolderPages(options["path"]) if "path" in options else HttpPages(options["url"], names, int(options.get("limit", 500)), options.get("auth", ""))
         self.state, self.pages, self.since = options["state"].rstrip("/"), int(options.get("pagesPerStep", 20)), options.get("since")
+        self.most = int(options.get("mostPages", self.pages))
         if self.pages < 1:
             raise ValueError("pagesPerStep must be at least 1")
         self.pinned: dict[str, int] = {}
@@ -160,6 +168,10 @@ class PagedReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Step]:
         return [Step(chain, n) for chain, last in sorted(end.items()) for n in range(start.get(chain, 0), last)]
 
+    def length(self, number: int) -> int:
+        """Pages of a step by its number alone, so a step that is run again is as long. A micro-batch costs its time whatever it holds: long chains take few."""
+        return min(self.pages << min(number, 40), max(self.pages, self.most))
+
     def read(self, partition: Step) -> Iterator:
         import pyarrow as pa
 
@@ -167,7 +179,7 @@ class PagedReader(DataSourceStreamReader):
         chain, pin = partition.chain, self._pin(partition.chain, partition.number)
         if pin is None:
             raise ValueError(f"step {partition.number} of {chain} has no pin: the state folder and the checkpoint belong together")
-        for _ in range(self.pages):
+        for _ in range(self.length(partition.number)):
             page = self.source.page(chain, pin["cursor"], self.since)
             data, meta = page["data"], page["meta"]
             records = [json.dumps(r, ensure_ascii=False) for r in data]
@@ -197,7 +209,7 @@ def follow(pin: dict, meta: dict, chain: str) -> dict:
 
 
 class PagedSource(DataSource):
-    """Options: path of a folder, or url, chains (comma-separated), limit and auth; state (a shared folder of this run), pagesPerStep, since."""
+    """Options: path of a folder, or url, chains (comma-separated), limit and auth; state (a shared folder of this run), pagesPerStep, mostPages, since."""
 
     @classmethod
     def name(cls) -> str:
@@ -260,20 +272,23 @@ def retry_state(outcomes: DataFrame, key: str, most: int = 5) -> DataFrame:
     return outcomes.select(key, "failed").groupBy(key).applyInPandasWithState(step, f"{key} string, tries long, status string", "tries long", "append", GroupStateTimeout.NoTimeout)
 
 
-def write_pages(records: DataFrame, path: str) -> None:
-    """records (chain, page long, place, record: JSON text) as a folder of pages in the order of page; a page is held by one task.
+def write_pages(records: DataFrame, path: str, together: int = 64) -> None:
+    """records (chain, page long, place, record: JSON text) as a folder of pages in the order of page; so many pages of a chain are one file, held by one task.
 
-    Chains and pages may be given with gaps; a page's cursor is p<page>, that of a chain's first page is FIRST.
+    Chains and pages may be given with gaps. The first file of a chain is named FIRST, others by their number.
     """
     from pyspark.sql import Window
 
-    body = F.transform(F.array_sort(F.collect_list(F.struct("place", "record"))), lambda r: r["record"])
+    # line ends in JSON stand between its tokens only
+    body = F.transform(F.array_sort(F.collect_list(F.struct("place", F.translate("record", "\n\r", "  ").alias("record")))), lambda r: r["record"])
     pages = records.groupBy("chain", "page").agg(F.concat(F.lit("["), F.concat_ws(",", body), F.lit("]")).alias("data"))
     order = Window.partitionBy("chain").orderBy("page")
     # one narrow row a page is put in order; texts are joined to it afterwards
-    links = records.select("chain", "page").distinct().select(
-        "chain", "page", F.lead("page").over(order).alias("next"), F.when(F.lag("page").over(order).isNull(), FIRST).otherwise(F.concat(F.lit("p"), F.col("page").cast("string"))).alias("cursor")
-    )
-    more = F.when(F.col("next").isNull(), '"has_more":false').otherwise(F.concat(F.lit('"has_more":true,"next_cursor":"p'), F.col("next").cast("string"), F.lit('"')))
-    value = F.concat(F.lit('{"data":'), F.col("data"), F.lit(',"meta":{'), more, F.lit("}}"))
-    pages.join(links, ["chain", "page"]).select("chain", "cursor", value.alias("value")).write.partitionBy("chain", "cursor").text(path)
+    links = records.select("chain", "page").distinct().select("chain", "page", (F.row_number().over(order) - 1).alias("n"), F.lead("page").over(order).isNotNull().alias("more"))
+    name = lambda n: F.when(n < together, FIRST).otherwise(F.concat(F.lit("g"), F.floor(n / together).cast("string")))
+    cursor = F.concat(name(F.col("n") + 1), F.when((F.col("n") + 1) % together > 0, F.concat(F.lit("~"), ((F.col("n") + 1) % together).cast("string"))).otherwise(""))
+    meta = F.when(F.col("more"), F.concat(F.lit('"has_more":true,"next_cursor":"'), cursor, F.lit('"'))).otherwise('"has_more":false')
+    value = F.concat(F.lit('{"data":'), F.col("data"), F.lit(',"meta":{'), meta, F.lit("}}"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", value.alias("value")))), lambda p: p["value"])
+    files = pages.join(links, ["chain", "page"]).groupBy("chain", name(F.col("n")).alias("cursor")).agg(F.concat_ws("\n", lines).alias("value"))
+    files.write.partitionBy("chain", "cursor").text(path)

@@ -69,6 +69,30 @@ def test_a_step_that_ends_elsewhere_when_run_again_is_refused(source, tmp_path):
         list(reader.read(paged.Step("a", 5)))
 
 
+def test_long_chains_take_few_steps(tmp_path):
+    lay(tmp_path / "pages", "a", [("first" if i == 0 else f"c{i}", [{"id": i}], f"c{i + 1}" if i < 399 else None) for i in range(400)])
+    reader = paged.PagedReader({"path": str(tmp_path / "pages"), "state": str(tmp_path / "pins"), "pagesPerStep": "2", "mostPages": "64"})
+    rows, steps = [], 0
+    while (last := reader.latestOffset()["a"]) > steps:
+        rows.append([r["record"] for part in reader.partitions({"a": steps}, {"a": last}) for b in reader.read(part) for r in b.to_pylist()])
+        steps = last
+    assert [len(r) for r in rows] == [2, 4, 8, 16, 32, *[64] * 5, 18] and sum(rows, []) == [json.dumps({"id": i}) for i in range(400)]
+    assert [b.to_pylist()[0]["record"] for b in reader.read(paged.Step("a", 2))] == rows[2]
+
+
+def test_pages_of_a_chain_share_files(spark, tmp_path):
+    rows = [("a", 3 * n, p, json.dumps({"id": 10 * n + p}, indent=1)) for n in range(10) for p in (1, 0)] + [("b", 5, 0, '{"id": "x\\ny"}')]
+    paged.write_pages(spark.createDataFrame(rows, "chain string, page long, place int, record string").repartition(5), str(tmp_path / "pages"), together=4)
+    assert len(list((tmp_path / "pages").rglob("*.txt"))) == 4
+    reader = paged.PagedReader({"path": str(tmp_path / "pages"), "state": str(tmp_path / "pins"), "pagesPerStep": "3"})
+    got, steps = {"a": [], "b": []}, {}
+    while (last := reader.latestOffset()) != steps:
+        for part in reader.partitions(steps, last):
+            got[part.chain] += [json.loads(r["record"])["id"] for b in reader.read(part) for r in b.to_pylist()]
+        steps = last
+    assert got == {"a": [10 * n + p for n in range(10) for p in (0, 1)], "b": ["x\ny"]}
+
+
 @pytest.mark.parametrize("tail,length", [(0, 1), (0, 5), (3, 1), (10, 7), (50, 20)])
 def test_circles_are_found_within_three_times_their_pages(tail, length):
     pin, n = paged.PagedReader({"path": "", "state": ""})._pin("x", 0), 0
