@@ -20,7 +20,7 @@ def landed(v: Views, name: str) -> tuple[DataFrame, str]:
     """The events as pages, read as a stream of rows with their errors, and a new folder for what becomes of it."""
     pages, out = new_folder(v.spark, f"{name}-pages"), new_folder(v.spark, name)
     paged.write_pages(v.sql(LANDED), pages)
-    stream = paged.paged_stream(v.spark, f"{out}/pins", path=pages, pagesPerStep="25")
+    stream = paged.paged_stream(v.spark, f"{out}/pins", path=pages, pagesPerStep="25", mostPages="6400")
     return paged.parsed(stream, "event_id long, user_id long, amount double", "event_id"), out
 
 
