@@ -84,12 +84,13 @@ def vehicle_identity(observations: DataFrame) -> DataFrame:
     """
     tag = F.concat(F.lit("t:"), "lta_tag")
     serial = F.concat_ws("|", F.lit("s:"), "source_key", "product_sku", "serial_number")
-    node = observations.withColumns({"tag_node": F.when(F.col("lta_tag").isNotNull(), tag), "serial_node": F.when(F.col("serial_number").isNotNull(), serial)})
+    node = cut(observations, "observations").withColumns({"tag_node": F.when(F.col("lta_tag").isNotNull(), tag), "serial_node": F.when(F.col("serial_number").isNotNull(), serial)})
     edges = node.where("tag_node is not null and serial_node is not null").select(F.col("serial_node").alias("a"), F.col("tag_node").alias("b")).distinct()
     found = components(edges)
-    named = node.withColumn("node", F.coalesce("serial_node", "tag_node")).join(found, "node", "left").withColumn("vehicle_id", F.coalesce("component", "node"))
-    tags = named.groupBy("vehicle_id").agg(F.count_distinct("lta_tag").alias("n_tags"))
-    return named.join(tags, "vehicle_id").select(*observations.columns, "vehicle_id", (F.col("n_tags") > 1).alias("identity_conflict"))
+    # tags of a component are nodes of it, and an observation outside of all has one tag at most, so components are counted and not observations
+    tags = found.groupBy("component").agg((F.count_if(F.col("node").startswith("t:")) > 1).alias("identity_conflict"))
+    named = node.withColumn("node", F.coalesce("serial_node", "tag_node")).join(found.join(tags, "component"), "node", "left")
+    return named.select(*observations.columns, F.coalesce("component", "node").alias("vehicle_id"), F.coalesce("identity_conflict", F.lit(False)).alias("identity_conflict"))
 
 
 def owner_conflicts(observations: DataFrame) -> DataFrame:

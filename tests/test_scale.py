@@ -147,3 +147,14 @@ def test_tag_or_serial_counts_make_no_pairs(spark):
     asks = few.withColumnRenamed("observation_id", "ask_id")
     want = {(r["ask_id"], r["count"]) for r in sales.tag_or_serial(few, asks).groupBy("ask_id").count().collect()}
     assert {tuple(r) for r in sales.tag_or_serial_counts(few).collect()} == {tuple(r) for r in sales.tag_or_serial_counts(few, asks).collect()} == want
+
+
+def test_vehicle_conflicts_are_told_from_components(spark):
+    """Tags are counted among the nodes, and rows of observations are dealt out by their node alone."""
+    rows = [(1, "a", "s"), (2, "b", "s"), (3, "c", None), (4, None, "s"), (5, None, "u"), (6, "b", None), (7, "d", "v")]
+    seen = spark.createDataFrame(rows, "observation_id long, lta_tag string, serial_number string").withColumns({"source_key": F.lit(1), "product_sku": F.lit("K")})
+    out = sales.vehicle_identity(seen)
+    assert {r["observation_id"]: (r["vehicle_id"], r["identity_conflict"]) for r in out.collect()} == {
+        **{i: ("s:|1|K|s", True) for i in (1, 2, 4, 6)}, 3: ("t:c", False), 5: ("s:|1|K|u", False), 7: ("s:|1|K|v", False),
+    }
+    assert "hashpartitioning(vehicle_id" not in out._jdf.queryExecution().toString() and "count(distinct" not in out._jdf.queryExecution().toString()
