@@ -581,6 +581,23 @@ def test_simhash_finds_the_same_links_with_any_number_of_blocks(spark, blocks):
     assert [op10_simhash.blocks_for(n, 4) for n in (10, 10**7, 10**8, 10**10)] == [6, 6, 7, 8]
 
 
+def test_simhash_buckets_hold_few_chance_neighbours(spark, monkeypatch):
+    """Unrelated fingerprints hardly meet, and only links leave a bucket, so rows do not grow with the square of the documents."""
+    made, stage = {}, op10_simhash.stage
+    monkeypatch.setattr(op10_simhash, "stage", lambda df, name: made.setdefault(name, stage(df, name)))
+    edges, components = [], op10_simhash.components
+    monkeypatch.setattr(op10_simhash, "components", lambda e: components(edges.append(e) or e))
+    r = random.Random(5)
+    prints = {r.getrandbits(63) for _ in range(100_000)}
+    x = min(prints)
+    prints |= {x ^ 5, x ^ 80}
+    got = op10_simhash.fingerprint_components(spark.createDataFrame(pd.DataFrame({"fp": sorted(prints)})))
+    assert got.count() == len(prints) and got.groupBy("label").count().where("count > 1").count() == 1
+    assert made["simhash-buckets"].count() < len(prints) / 10
+    plan = edges[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(b#" not in plan  # no row is exploded to be dropped
+
+
 def test_dedup_decides_by_row_and_not_by_id(spark):
     """Two texts under one doc_id, in any order of rows: one row of each group of copies stays, and a text without copies stays."""
     a, b = prose(1, 80), prose(2, 80)
