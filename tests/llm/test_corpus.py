@@ -517,6 +517,37 @@ def test_caches_hold_no_long_pieces():
     assert max(map(len, codec.cache)) <= 64
 
 
+def test_latin_words_and_their_marks_skip_the_normaliser():
+    """Words of Latin letters in any case, with marks behind them, have the library's ids, and only their marks are given to the whole tokenizer."""
+    from kinweave.llm import wordpiece
+
+    own, r = wordpiece.Encoder(tokenizer_path("word_bpe_49k.json")), random.Random(4)
+    letters = [chr(c) for c in range(0x41, 0x180) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA, 0x130)]
+    words = ["".join(r.choices(letters, k=r.randint(1, 12))) + r.choice(["", ",", ".", "###", "'", ".*&", "<|"]) for _ in range(5000)]
+    given, tokenizer = [], own.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    own.tokenizer = Counting()
+    got = own.encode([" ".join(words)])[0]
+    whole = tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert got == struct.pack(f"<{len(whole)}I", *whole)
+    assert len(given) < 10
+
+
+def test_every_character_in_a_word_has_the_ids_of_the_library():
+    from kinweave.llm import wordpiece
+
+    own = wordpiece.Encoder(tokenizer_path("word_bpe_49k.json"))
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0 or chr(c).lower() != chr(c))]
+    texts = [f"Ab{c}c {c}X, y{c}. x{c}## {c} a{c}'s <|{c} 1{c}2" for c in chars] + ["foo<|endoftext|>, <|ENDOFTEXT|> a<|startoftext|>b e\u0301, E\u0301### 'twas dogs' dog's, İx, ſ. ŉ! K, Å. ẞ;"]
+    want = own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [g for g, e in zip(own.encode(texts), want, strict=True) if g != struct.pack(f"<{len(e.ids)}I", *e.ids)] == []
+
+
 def fingerprint_by_hand(text):
     words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
     if not words:
