@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import edge_active
-from ..staging import Scope, cut
+from ..staging import Scope, cut, joined
 
 
 def shared_by(edges: DataFrame, key: list[str], persons: DataFrame, active: Column | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -108,20 +108,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round every node passes its label to its neighbours and then takes the label of its label, so the number of rounds
     follows the logarithm of the longest path. A round is written, which costs a lost executor one round; those before it are deleted.
-    Null ends are left out.
+    Null ends are left out. Rounds of many edges send nothing through the driver.
     """
     spark = edges.sparkSession
     own = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     with Scope(spark) as whole:
         both = cut(own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        far = joined(both.count())
         now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
         with Scope(spark) as passed:
             for _ in range(rounds):
-                near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("component").alias("low"))
-                stepped = now.join(near, now.node == near.a).select("node", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
+                near = both.join(far(now), both.b == now.node).groupBy("a").agg(F.min("component").alias("low"))
+                stepped = now.join(far(near), now.node == near.a).select("node", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
                 stepped = cut(stepped, "near")
                 above = stepped.select(F.col("node").alias("component"), F.col("component").alias("above"))
-                jumped = stepped.join(above, "component").select("node", F.least("component", "above").alias("component"), (F.col("moved") | (F.col("above") < F.col("component"))).alias("moved"))
+                jumped = stepped.join(far(above), "component").select("node", F.least("component", "above").alias("component"), (F.col("moved") | (F.col("above") < F.col("component"))).alias("moved"))
                 jumped = cut(jumped, "jump")
                 passed.drop(keep=1)
                 now = jumped.drop("moved")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import USABLE, usable_evidence
 from ..functions.similarity import best_name_similarity, email_near_match, phone_near_match
+from ..staging import joined
 from .connections import components
 
 #: How many persons an identifier may reach before it is no key any more; other types are not capped.
@@ -83,38 +84,39 @@ def locked_candidates(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame
     return pairs.join(hit, ["record_id", "person_id"], "left_semi").select("record_id", "person_id").distinct()
 
 
-def deterministic(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, record_type: str = "record_type") -> DataFrame:
+def deterministic(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, record_type: str = "record_type", far=joined(0)) -> DataFrame:
     """Pairs (with record_type) with rule and verdict where a hard rule holds; others get null.
 
     Government ids in the record's order: the first that the person has merges, the first that conflicts with another valid one of the
-    person forbids. Merging is left to records of systems; so are trusted ids.
+    person forbids. Merging is left to records of systems; so are trusted ids. far marks what is joined (see staging.joined).
     """
     system = ~F.col(record_type).isin(*NOT_SYSTEM)
     mine = identifiers.where("quality_flag = 'valid'")
     held = edges.where(F.coalesce(F.col("is_active"), F.lit(False)))
     ids = held.where("identifier_type = 'nric' and quality_flag = 'valid'").groupBy("person_id").agg(F.collect_set("normalized_value").alias("held"))
-    gov = pairs.select("record_id", "person_id").join(mine.where("identifier_type = 'nric'").select("record_id", "normalized_value", "position"), "record_id").join(ids, "person_id")
+    gov = pairs.select("record_id", "person_id").join(far(mine.where("identifier_type = 'nric'").select("record_id", "normalized_value", "position")), "record_id").join(far(ids), "person_id")
     first = gov.groupBy("record_id", "person_id").agg(F.min_by(F.array_contains("held", F.col("normalized_value")), "position").alias("same"))
     trusted = mine.where(F.col("identifier_type").isin(*TRUSTED)).select("record_id", "identifier_type", "normalized_value").join(held.select("person_id", "identifier_type", "normalized_value").distinct(), ["identifier_type", "normalized_value"])
     trusted = trusted.select("record_id", "person_id").distinct().withColumn("trusted", F.lit(True))
-    out = pairs.join(first, ["record_id", "person_id"], "left").join(trusted, ["record_id", "person_id"], "left")
+    out = pairs.join(far(first), ["record_id", "person_id"], "left").join(far(trusted), ["record_id", "person_id"], "left")
     verdict = F.when(~F.col("same"), "no_match").when(F.col("same") & system, "merge").when(F.col("trusted") & system, "merge")
     rule = F.when(~F.col("same"), "government_id_conflict").when(F.col("same") & system, "government_id").when(F.col("trusted") & system, "trusted_id")
     return out.withColumns({"rule": rule, "verdict": verdict}).drop("same", "trusted")
 
 
-def identifier_evidence(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, near: bool = True, reach: DataFrame | None = None) -> DataFrame:
+def identifier_evidence(pairs: DataFrame, identifiers: DataFrame, edges: DataFrame, near: bool = True, reach: DataFrame | None = None, far=joined(0)) -> DataFrame:
     """Per pair: evidence (uncapped), phone_exact, email_exact, high_fanout, corroborated, phone_near, email_near.
 
     An edge may carry source_type; an edge from a conversation does not corroborate. near=False leaves near misses out. reach holds the
-    edges that tell hot phones, where they are others than edges.
+    edges that tell hot phones, where they are others than edges. far marks what is joined (see staging.joined); hot phones are not marked, as
+    all rows of one would meet in a task.
     """
     kinds = ["phone", "email"]
-    mine = pairs.select("record_id", "person_id").join(identifiers.where(F.col("identifier_type").isin(*kinds)).select("record_id", "identifier_type", "normalized_value", F.col("is_verified").alias("mine_verified")), "record_id")
+    mine = pairs.select("record_id", "person_id").join(far(identifiers.where(F.col("identifier_type").isin(*kinds)).select("record_id", "identifier_type", "normalized_value", F.col("is_verified").alias("mine_verified"))), "record_id")
     system = (F.coalesce(F.col("source_type"), F.lit("conversation")) != "conversation") if "source_type" in edges.columns else F.lit(True)
     held = edges.where(usable_evidence() & F.col("identifier_type").isin(*kinds)).groupBy("person_id", "identifier_type", "normalized_value").agg(F.bool_or("is_verified").alias("held_verified"), F.bool_or(system).alias("system"))
     hot_phones = fanout(edges if reach is None else reach).where((F.col("identifier_type") == "phone") & (F.col("fanout") > PHONE_PERSONS)).select("identifier_type", "normalized_value", F.lit(True).alias("hot"))
-    exact = mine.join(held, ["person_id", "identifier_type", "normalized_value"], "left").join(hot_phones, ["identifier_type", "normalized_value"], "left")
+    exact = mine.join(far(held), ["person_id", "identifier_type", "normalized_value"], "left").join(hot_phones, ["identifier_type", "normalized_value"], "left")
     hit = F.col("held_verified").isNotNull()
     hot = hit & F.coalesce(F.col("hot"), F.lit(False))
     worth = F.when(hit, F.when(F.col("mine_verified") & F.col("held_verified"), WEIGHT["verified"]).otherwise(WEIGHT["unverified"])).otherwise(0.0) + F.when(hot, WEIGHT["high_fanout"]).otherwise(0.0)
@@ -126,9 +128,9 @@ def identifier_evidence(pairs: DataFrame, identifiers: DataFrame, edges: DataFra
     if not near:
         return out.withColumns({"phone_near": F.lit(False), "email_near": F.lit(False)})
     unmatched = exact.where(~hit).select("record_id", "person_id", "identifier_type", F.col("normalized_value").alias("x"))
-    others = unmatched.join(held.select("person_id", "identifier_type", F.col("normalized_value").alias("y")), ["person_id", "identifier_type"])
+    others = unmatched.join(far(held.select("person_id", "identifier_type", F.col("normalized_value").alias("y"))), ["person_id", "identifier_type"])
     close = others.groupBy("record_id", "person_id").agg(F.bool_or(of("phone") & phone_near_match(F.col("x"), F.col("y"))).alias("phone_near"), F.bool_or(of("email") & email_near_match(F.col("x"), F.col("y"))).alias("email_near"))
-    out = out.join(close, ["record_id", "person_id"], "left").na.fill(False, ["phone_near", "email_near"])
+    out = out.join(far(close), ["record_id", "person_id"], "left").na.fill(False, ["phone_near", "email_near"])
     return out.withColumn("evidence", F.col("evidence") + F.when(F.col("phone_near"), WEIGHT["near"]).otherwise(0) + F.when(F.col("email_near"), WEIGHT["near"]).otherwise(0))
 
 

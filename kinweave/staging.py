@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Steps of more rows join by sorted shuffles alone.
+FEW_ROWS = 100_000
+
+
+def joined(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """How a step of so many rows marks what it joins. A table is sent to all through the driver where it is small as a file, and
+    files of keys are small up to a million rows; in a step of many joins or rounds that sum grows with the input. So only few rows may be.
+    """
+    return (lambda df: df.hint("merge")) if rows > FEW_ROWS else (lambda df: df)
+
+
 def cut(df: DataFrame, name: str = "round") -> DataFrame:
     """df written to the shared folder and read back: loops keep short plans that outlive executors."""
     path = new_folder(df.sparkSession, name)

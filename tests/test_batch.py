@@ -104,3 +104,24 @@ def test_a_hot_phone_is_no_key_and_makes_no_pairs(spark):
     frame = spark.createDataFrame([(i, "identity", None, None, 1) for i in range(300)], RECORDS)
     own = spark.createDataFrame([(i, "phone", "+6599999999", True, "valid", 2) for i in range(300)], IDENTIFIERS)
     assert bt.batch_pairs(own, frame).count() == 0
+
+
+def test_a_large_batch_is_joined_without_the_driver(spark, monkeypatch):
+    """Beyond a number of rows no table is broadcast, be its file ever so small; the rows stay the same."""
+    from kinweave import staging
+    from kinweave.operators import connections
+
+    records = [(i, "1980-01-01" if i % 2 else None, ["Anna Lim"], i // 4) for i in range(1, 41)]
+    own = [nric(i, f"S{i // 4}{'AB'[i % 8 == 3]}") for i in range(1, 41) if i % 4 in (0, 3)] + [phone(i, f"+658{i // 4:07d}") for i in range(1, 41)]
+    want, plans = clusters(spark, records, own), []
+
+    def seen(df, name="round"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staging.cut(df, name)
+
+    monkeypatch.setattr(staging, "FEW_ROWS", -1, raising=False)
+    monkeypatch.setattr(bt, "cut", seen)
+    monkeypatch.setattr(connections, "cut", seen)
+    assert clusters(spark, records, own) == want
+    assert {"batch-best", "batch-round", "jump"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
